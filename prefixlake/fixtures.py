@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from prefixlake.session import materialize
+
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -85,6 +87,7 @@ select distinct c_custkey % 1000 release_id, TS '2024-01-01 00:00:00' + cast(c_c
 select event_id, ts, user_id client_key, case event_type when 'click' then 1 when 'view' then 1 when 'signup' then 2 when 'purchase' then 5 else 50 end request_cost from events""",
 }
 
+_opened: dict[tuple[str, str], DataFrame] = {}
 _WORD = re.compile(r"\bfx_\w+")
 
 
@@ -142,5 +145,21 @@ def fixture(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """
     text = spark_sql(f"select * from {sql}" if " " not in sql.strip() else sql)
     for name in _tables_in(text):
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+        _table(spark, f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
     return spark.sql(text)
+
+
+def _table(spark: SparkSession, path: str) -> DataFrame:
+    """Open a given table once per application; opening reads its footer each time."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _opened:
+        _opened[key] = spark.read.parquet(path)
+    return _opened[key]
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A fixture written once per application as a table, the way a release is stored."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}#{name}")
+    if key not in _opened:
+        _opened[key] = materialize(fixture(spark, sf_dir, name), name)
+    return _opened[key]

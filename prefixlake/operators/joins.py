@@ -15,13 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from prefixlake.session import materialize
+
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_PARTS = 1000
 
 _FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.NullType)
 
 
-def _row_bytes(df: DataFrame) -> Column:
+def row_bytes(df: DataFrame) -> Column:
     """Approximate width of a row: fixed-width columns count 8 bytes, the rest their length."""
     size = F.lit(16)
     for field in df.schema.fields:
@@ -37,7 +39,7 @@ def _row_bytes(df: DataFrame) -> Column:
 
 def measured_bytes(df: DataFrame) -> int:
     """Size of a frame, from one distributed aggregation."""
-    return df.agg(F.sum(_row_bytes(df).cast("bigint"))).first()[0] or 0
+    return df.agg(F.sum(row_bytes(df).cast("bigint"))).first()[0] or 0
 
 
 def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:
@@ -62,14 +64,22 @@ def skew_join(
     how: str = "inner",
     limit: int | None = None,
     parts: int = HOT_PARTS,
+    small: bool | None = None,
+    store: str | None = None,
 ) -> DataFrame:
     """Join on equal columns; ``right`` must hold a bounded number of rows per key.
 
-    ``how`` is inner, left, left_semi or left_anti. NULL keys match nothing.
+    ``how`` is inner, left, left_semi or left_anti. NULL keys match nothing. ``small``
+    passes on a measurement already made. ``store`` names a scratch table for a right
+    side that is costly to compute, so that measuring it does not compute it twice.
     """
     if how in ("left_semi", "left_anti"):
         right = right.select(*on).distinct()
-    if fits_broadcast(right, limit):
+    if store is not None:
+        right = materialize(right, store)
+    if small is None:
+        small = fits_broadcast(right, limit)
+    if small:
         return left.join(F.broadcast(right), on, how)
     hot = hot_keys(left, on, parts)
     marked = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), on, "left")

@@ -6,7 +6,7 @@ of at most 48 (bits, length) pairs, and an official block is one of three.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,8 +16,9 @@ from prefixlake.functions.bits import (
     ADDRESS_BITS, ADDRESS_LIMIT, format_prefix, prefix_key, shift_right,
 )
 from prefixlake.functions.ranking import verification_rank
-from prefixlake.operators.joins import fits_broadcast, skew_join
+from prefixlake.operators.joins import BROADCAST_BYTES, fits_broadcast, row_bytes, skew_join
 from prefixlake.operators.suppress import unsuppressed_assignments, unsuppressed_claims
+from prefixlake.session import materialize
 
 # Official block lengths, longest first.
 OFFICIAL_LENGTHS = (36, 28, 24)
@@ -46,6 +47,20 @@ class Release:
     claim_history: DataFrame | None = None
 
 
+def visible(release: Release, as_of: datetime | str, with_claims: bool = True) -> Release:
+    """The release without its suppressed rows, stored once for all the joins of a lookup."""
+    assignments = unsuppressed_assignments(
+        release.assignments, release.suppressions, as_of, release.assignment_history, release.run_id
+    )
+    shown = replace(release, assignments=materialize(assignments, "shown-assignments"))
+    if not with_claims:
+        return shown
+    claims = unsuppressed_claims(
+        release.claims, release.suppressions, as_of, release.claim_history, release.run_id
+    )
+    return replace(shown, claims=materialize(claims, "shown-claims"))
+
+
 def official_index(assignments: DataFrame) -> DataFrame:
     """One official block per (length, bits); company identifiers never answer a lookup."""
     rest = [name for name in assignments.columns if name not in ("registry", "prefix_bits", "prefix_length")]
@@ -69,12 +84,13 @@ def longest_official(
     then probed once per block length and never shuffled. Larger releases take a
     shuffle over the distinct prefixes, and a skew-safe join back.
     """
+    small = fits_broadcast(assignments.filter(F.col("registry") != "CID"), limit)
     index = official_index(assignments)
     answer = F.struct(
         F.col("official.registry").alias("registry"), "prefix_bits", "prefix_length",
         *[F.col(f"official.{name}").alias(name) for name in index.schema["official"].dataType.names[1:]],
     )
-    if fits_broadcast(index, limit):
+    if small:
         out = df
         for block in OFFICIAL_LENGTHS:
             side = index.filter(F.col("prefix_length") == block).select(
@@ -148,14 +164,17 @@ def enrich_claims(
         .filter(F.col("_rank") <= k + 1)
         .drop("_rank")
     )
-    # At most 48 numbers: only lengths that occur are probed.
-    lengths = [row[0] for row in wanted.select("prefix_length").distinct().collect()]
+    # One pass gives the size to check and the at most 48 lengths that have to be probed.
+    measured = best.agg(
+        F.sum(row_bytes(best).cast("bigint")).alias("bytes"), F.collect_set("prefix_length").alias("lengths")
+    ).first()
+    lengths, small = measured["lengths"], (measured["bytes"] or 0) <= (BROADCAST_BYTES if limit is None else limit)
     addresses = macs.select(mac).filter((F.col(mac) >= 0) & (F.col(mac) < ADDRESS_LIMIT)).distinct()
     probes = F.array(*[F.lit(length) for length in sorted(lengths)]).cast("array<int>")
     candidates = addresses.select(mac, F.explode(probes).alias("_length")).select(
         mac, prefix_key(shift_right(mac, F.lit(ADDRESS_BITS) - F.col("_length")), "_length").alias("_key")
     )
-    matched = skew_join(candidates, best, ["_key"], "inner", limit).drop("_key")
+    matched = skew_join(candidates, best, ["_key"], "inner", small=small).drop("_key")
     per_address = Window.partitionBy(mac)
     return (
         matched.withColumn("claim_rank", F.row_number().over(per_address.orderBy(*order)))
@@ -198,11 +217,15 @@ def lookup(
     """One nested answer per distinct valid address. ``official`` mode builds no claim plan."""
     if mode not in ("official", "enriched"):
         raise ValueError("mode must be official or enriched")
-    assignments = unsuppressed_assignments(
-        release.assignments, release.suppressions, as_of, release.assignment_history, release.run_id
-    )
+    return answer_from(macs, visible(release, as_of, mode == "enriched"), mode, mac, limit)
+
+
+def answer_from(
+    macs: DataFrame, shown: Release, mode: str = "enriched", mac: str = "mac_value", limit: int | None = None
+) -> DataFrame:
+    """Answers from a release whose suppressed rows are already left out."""
     addresses = macs.select(mac).filter((F.col(mac) >= 0) & (F.col(mac) < ADDRESS_LIMIT)).distinct()
-    found = enrich_official(addresses, assignments, mac, limit)
+    found = enrich_official(addresses, shown.assignments, mac, limit)
     assignment = F.when(
         F.col("official").isNotNull(),
         F.struct(
@@ -220,18 +243,16 @@ def lookup(
         "match_status",
         assignment.alias("assignment"),
         F.struct(
-            F.concat(F.lit("rr_"), F.lit(release.run_id)).alias("resolved_release_id"),
-            F.lit(release.active_version).alias("active_version"),
-            F.lit(release.publication_version).alias("publication_version"),
-            F.lit(release.policy_version).alias("policy_version"),
-            F.lit(release.generated_at).alias("generated_at"),
+            F.concat(F.lit("rr_"), F.lit(shown.run_id)).alias("resolved_release_id"),
+            F.lit(shown.active_version).alias("active_version"),
+            F.lit(shown.publication_version).alias("publication_version"),
+            F.lit(shown.policy_version).alias("policy_version"),
+            F.lit(shown.generated_at).alias("generated_at"),
         ).alias("release"),
     )
     if mode == "official":
         return answer
-    claims = unsuppressed_claims(
-        release.claims, release.suppressions, as_of, release.claim_history, release.run_id
-    )
+    claims = shown.claims
     shared = [
         F.concat(F.lit("clm_"), F.col("claim_id")).alias("claim_id"),
         format_prefix("prefix_bits", "prefix_length").alias("prefix"),
@@ -259,7 +280,7 @@ def restore_inputs(
     inputs: DataFrame, answers: DataFrame, mac: str = "mac_value", limit: int | None = None
 ) -> DataFrame:
     """Give every input row, duplicates included, the answer computed once for its address."""
-    return skew_join(inputs, answers, [mac], "left", limit)
+    return skew_join(inputs, answers, [mac], "left", limit, store="answers")
 
 
 def exact_assignments(keys: DataFrame, assignments: DataFrame) -> DataFrame:

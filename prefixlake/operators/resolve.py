@@ -11,6 +11,7 @@ from prefixlake.functions.hashes import json_key, stable_id
 from prefixlake.functions.text import trim_space
 from prefixlake.operators.joins import skew_join
 from prefixlake.operators.lookup import CURATED_KINDS, INSIGHT_KINDS, longest_official
+from prefixlake.session import materialize
 
 CLAIM_KINDS = CURATED_KINDS + INSIGHT_KINDS
 
@@ -95,19 +96,21 @@ def _assignments(grouped: DataFrame) -> DataFrame:
     )
 
 
-def assignment_conflicts(records: DataFrame) -> DataFrame:
+def assignment_conflicts(records: DataFrame, grouped: DataFrame | None = None) -> DataFrame:
     """The records of every key on which authoritative sources disagree, one row each."""
     keyed = _authoritative(records)
-    disputed = _grouped(keyed).filter(~F.col("agreed")).select(*_key_columns())
+    grouped = _grouped(keyed) if grouped is None else grouped
+    disputed = grouped.filter(~F.col("agreed")).select(*_key_columns())
     return skew_join(keyed, disputed, _key_columns(), "left_semi").select(
         *_key_columns(), "source_slug", "registry", "organization_name", "raw_record_hash"
     )
 
 
-def assignment_roles(records: DataFrame) -> DataFrame:
+def assignment_roles(records: DataFrame, grouped: DataFrame | None = None) -> DataFrame:
     """Evidence: the core record of a key is ``selected``, the others ``corroborating``."""
     keyed = _authoritative(records)
-    agreed = _grouped(keyed).filter("agreed").select(*_key_columns(), "core")
+    grouped = _grouped(keyed) if grouped is None else grouped
+    agreed = grouped.filter("agreed").select(*_key_columns(), "core")
     agreed = agreed.select(
         *_key_columns(),
         F.col("core.record_id").alias("core_record_id"),
@@ -135,7 +138,7 @@ def corroborate(claims: DataFrame, kind: str = "record_kind") -> DataFrame:
     # Two distinct sources exist exactly when the smallest and largest differ.
     support = keyed.groupBy(*keys).agg((F.min("source_slug") != F.max("source_slug")).alias("_shared"))
     supported = support.filter("_shared")
-    joined = skew_join(keyed, supported, keys, "left")
+    joined = skew_join(keyed, supported, keys, "left", store="corroborated")
     status = (
         F.when(F.col("verification_status") == "reviewed", "reviewed")
         .when(F.coalesce("_shared", F.lit(False)), "corroborated")
@@ -177,14 +180,15 @@ def resolve_claims(records: DataFrame, assignments: DataFrame) -> DataFrame:
 
 
 def resolve(records: DataFrame) -> Resolution:
-    """Full resolution. Callers that write the tables should store ``assignments`` first
-    and pass the stored table to :func:`resolve_claims`, so it is computed once."""
-    assignments = resolve_assignments(records)
+    """Full resolution. The grouped keys and the assignments are stored once, because
+    conflicts, evidence and the claim comparison all read them."""
+    grouped = materialize(_grouped(_authoritative(records)), "resolved-keys")
+    assignments = materialize(_assignments(grouped), "resolved-assignments")
     return Resolution(
         assignments=assignments,
         claims=resolve_claims(records, assignments),
-        evidence=assignment_roles(records),
-        conflicts=assignment_conflicts(records),
+        evidence=assignment_roles(records, grouped),
+        conflicts=assignment_conflicts(records, grouped),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from prefixlake.fixtures import define, fixture
+from prefixlake.fixtures import define, fixture, stored
 from prefixlake.operators import lookup as lk
 from prefixlake.operators import suppress
 from prefixlake.queries.registry import AS_OF, query
@@ -101,7 +101,7 @@ def ranked_insights(spark, sf_dir):
 
 @query("active_suppressions", _ACTIVE.format(table="fx_overlay"))
 def active_suppressions(spark, sf_dir):
-    return suppress.active_at(fixture(spark, sf_dir, "fx_overlay"), AS_OF)
+    return suppress.active_at(stored(spark, sf_dir, "fx_overlay"), AS_OF)
 
 
 def _kept(rows: str, old: str, surface: str, slug: str, row_id: str, target: str, twin: str) -> str:
@@ -133,20 +133,20 @@ _KEPT_CLAIMS = _kept(
 
 
 def _published_assignments(spark, sf_dir):
-    current = fixture(spark, sf_dir, "fx_resolved_assignments")
-    old = fixture(spark, sf_dir, "fx_old_assignments")
+    current = stored(spark, sf_dir, "fx_resolved_assignments")
+    old = stored(spark, sf_dir, "fx_old_assignments")
     history = current.unionByName(old, allowMissingColumns=True)
     return suppress.unsuppressed_assignments(
-        current, fixture(spark, sf_dir, "fx_overlay"), AS_OF, history, run_id="run-1"
+        current, stored(spark, sf_dir, "fx_overlay"), AS_OF, history, run_id="run-1"
     )
 
 
 def _published_claims(spark, sf_dir):
-    current = fixture(spark, sf_dir, "fx_resolved_claims")
-    old = fixture(spark, sf_dir, "fx_old_claims")
+    current = stored(spark, sf_dir, "fx_resolved_claims")
+    old = stored(spark, sf_dir, "fx_old_claims")
     history = current.unionByName(old, allowMissingColumns=True)
     return suppress.unsuppressed_claims(
-        current, fixture(spark, sf_dir, "fx_overlay"), AS_OF, history, run_id="run-1"
+        current, stored(spark, sf_dir, "fx_overlay"), AS_OF, history, run_id="run-1"
     )
 
 
@@ -163,13 +163,13 @@ def unsuppressed_claims(spark, sf_dir):
 def _release(spark, sf_dir) -> lk.Release:
     return lk.Release(
         "run-1", 3, 7, "v1", AS_OF,
-        fixture(spark, sf_dir, "fx_resolved_assignments"),
-        fixture(spark, sf_dir, "fx_resolved_claims"),
-        fixture(spark, sf_dir, "fx_overlay"),
-        fixture(spark, sf_dir, "fx_resolved_assignments").unionByName(
-            fixture(spark, sf_dir, "fx_old_assignments"), allowMissingColumns=True),
-        fixture(spark, sf_dir, "fx_resolved_claims").unionByName(
-            fixture(spark, sf_dir, "fx_old_claims"), allowMissingColumns=True),
+        stored(spark, sf_dir, "fx_resolved_assignments"),
+        stored(spark, sf_dir, "fx_resolved_claims"),
+        stored(spark, sf_dir, "fx_overlay"),
+        stored(spark, sf_dir, "fx_resolved_assignments").unionByName(
+            stored(spark, sf_dir, "fx_old_assignments"), allowMissingColumns=True),
+        stored(spark, sf_dir, "fx_resolved_claims").unionByName(
+            stored(spark, sf_dir, "fx_old_claims"), allowMissingColumns=True),
     )
 
 
@@ -281,6 +281,6 @@ left join fx_records r using (record_id) left join fx_release_sources s on s.sou
 )
 def assignment_evidence(spark, sf_dir):
     return lk.assignment_evidence(
-        fixture(spark, sf_dir, "fx_resolved_assignments"), fixture(spark, sf_dir, "fx_evidence"),
-        fixture(spark, sf_dir, "fx_records"), fixture(spark, sf_dir, "fx_release_sources"),
+        stored(spark, sf_dir, "fx_resolved_assignments"), stored(spark, sf_dir, "fx_evidence"),
+        stored(spark, sf_dir, "fx_records"), stored(spark, sf_dir, "fx_release_sources"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from prefixlake.fixtures import define, fixture
+from prefixlake.fixtures import define, fixture, stored
 from prefixlake.operators import resolve as rs
 from prefixlake.queries.registry import query
 
@@ -30,7 +30,7 @@ select registry, prefix_bits, prefix_length, organization_name, source_slug core
 from ({_AGREED}) where versions = 1 and rn = 1""",
 )
 def resolved_assignments(spark, sf_dir):
-    found = rs.resolve_assignments(fixture(spark, sf_dir, "fx_resolver_records"))
+    found = rs.resolve_assignments(stored(spark, sf_dir, "fx_resolver_records"))
     return found.select(
         "registry", "prefix_bits", "prefix_length", "organization_name", "core_source_slug", "core_record_id", "corroborating_count"
     )
@@ -42,7 +42,7 @@ def resolved_assignments(spark, sf_dir):
 select space, prefix_length, prefix_bits, source_slug, registry, organization_name, raw_record_hash from ({_AGREED}) where versions > 1""",
 )
 def assignment_conflicts(spark, sf_dir):
-    return rs.assignment_conflicts(fixture(spark, sf_dir, "fx_resolver_records"))
+    return rs.assignment_conflicts(stored(spark, sf_dir, "fx_resolver_records"))
 
 
 @query(
@@ -52,7 +52,7 @@ select prefix_length, prefix_bits, record_id, source_slug, raw_record_hash, case
 from ({_AGREED}) where versions = 1""",
 )
 def assignment_roles(spark, sf_dir):
-    return rs.assignment_roles(fixture(spark, sf_dir, "fx_resolver_records")).drop("assignment_id", "evidence_id")
+    return rs.assignment_roles(stored(spark, sf_dir, "fx_resolver_records")).drop("assignment_id", "evidence_id")
 
 
 _SUPPORT = """
@@ -102,7 +102,7 @@ select (select count(*) from ({_AGREED}) where versions = 1 and rn = 1) assignme
  (select count(*) from ({_AGREED}) where versions > 1 and rn = 1) conflict_count""",
 )
 def run_validation_summary(spark, sf_dir):
-    return rs.run_summary(rs.resolve(fixture(spark, sf_dir, "fx_resolver_records")))
+    return rs.run_summary(rs.resolve(stored(spark, sf_dir, "fx_resolver_records")))
 
 
 _WORDS = ", ".join(
