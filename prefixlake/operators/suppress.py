@@ -26,6 +26,12 @@ CLAIM_TWIN = (
 )
 
 
+# Formats of reason codes and opaque references; surfaces a prefix can be withheld on.
+REASON_CODE = r"\A[a-z0-9][a-z0-9._-]{0,63}\z"
+OPAQUE_REFERENCE = r"\A[A-Za-z0-9][A-Za-z0-9._:/#-]{0,127}\z"
+SURFACES = ("official", "curated", "both")
+
+
 def instant(as_of: datetime | str) -> Column:
     """A fixed UTC instant; gates never read the clock themselves."""
     text = as_of if isinstance(as_of, str) else as_of.strftime("%Y-%m-%d %H:%M:%S.%f")
@@ -113,3 +119,136 @@ def unsuppressed_claims(
         claims, active_at(suppressions, as_of), history, "curated", "source_slug",
         "claim_id", "resolved_claim_id", CLAIM_TWIN, run_id,
     )
+
+
+def _assignment_keys(assignments: DataFrame) -> DataFrame:
+    return assignments.select("assignment_id", F.concat(F.lit("a:"), json_key(*ASSIGNMENT_TWIN)).alias("_key"))
+
+
+def _claim_keys(claims: DataFrame) -> DataFrame:
+    return claims.select("claim_id", F.concat(F.lit("c:"), json_key(*CLAIM_TWIN)).alias("_key"))
+
+
+def _prefix_target_key() -> Column:
+    return F.concat(
+        F.lit("p:"), json_key(F.lit(None).cast("string").alias("run"), "prefix_bits", "prefix_length", "surface",
+                              F.coalesce("source_slug", F.lit("")).alias("slug"))
+    )
+
+
+def expire_due(overlay: DataFrame, as_of: datetime | str) -> DataFrame:
+    """Active suppressions whose end has come become ``expired``."""
+    due = (F.col("status") == "active") & (F.col("expires_at") <= instant(as_of))
+    return overlay.withColumn("status", F.when(F.coalesce(due, F.lit(False)), "expired").otherwise(F.col("status")))
+
+
+def apply_suppression_requests(
+    requests: DataFrame,
+    overlay: DataFrame,
+    assignments: DataFrame,
+    claims: DataFrame,
+    active_slugs: DataFrame,
+    as_of: datetime | str,
+    run_id: str,
+    assignment_history: DataFrame | None = None,
+    claim_history: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """``(new overlay, refused requests)`` for a table of create and revoke requests.
+
+    Due suppressions expire first, then revocations apply, then creations in order of
+    ``request_seq``: of several requests for one target the first is taken. A target named
+    by id counts as suppressed when its semantic twin already is.
+    """
+    overlay = expire_due(overlay, as_of)
+    revokes = requests.filter(F.col("action") == "revoke")
+    creates = requests.filter(F.col("action") == "create")
+
+    known = overlay.select("suppression_id", F.col("status").alias("_status"), F.col("resolution_run_id").alias("_run"))
+    first = revokes.groupBy("suppression_id").agg(F.min("request_seq").alias("_first"))
+    revokes = skew_join(skew_join(revokes, known, ["suppression_id"], "left"), first, ["suppression_id"], "left")
+    revoke_error = (
+        F.when(F.col("_status").isNull(), "SUPPRESSION_NOT_FOUND")
+        .when((F.col("_status") != "active") | (F.col("request_seq") != F.col("_first")), "SUPPRESSION_NOT_ACTIVE")
+        .when(F.col("_run") != F.lit(run_id), "SUPPRESSION_NOT_CURRENT")
+    )
+    revokes = revokes.withColumn("error_code", revoke_error)
+    revoked = revokes.filter(F.col("error_code").isNull()).select("suppression_id", F.lit(True).alias("_revoked"))
+    overlay = skew_join(overlay, revoked, ["suppression_id"], "left").withColumn(
+        "status", F.when(F.col("_revoked"), "revoked").otherwise(F.col("status"))
+    ).drop("_revoked")
+
+    rename = {"assignment_id": "resolved_assignment_id", "claim_id": "resolved_claim_id"}
+    by_assignment = _assignment_keys(assignments).withColumnsRenamed(rename).withColumnRenamed("_key", "_a_key")
+    by_claim = _claim_keys(claims).withColumnsRenamed(rename).withColumnRenamed("_key", "_c_key")
+    slugs = active_slugs.select("source_slug").distinct().withColumn("_slug_known", F.lit(True))
+    keyed = skew_join(creates, by_assignment, ["resolved_assignment_id"], "left")
+    keyed = skew_join(keyed, by_claim, ["resolved_claim_id"], "left")
+    keyed = skew_join(keyed, slugs, ["source_slug"], "left")
+    is_prefix = F.col("prefix_bits").isNotNull()
+    keyed = keyed.withColumn(
+        "_key",
+        F.when(F.col("resolved_assignment_id").isNotNull(), F.col("_a_key"))
+        .when(F.col("resolved_claim_id").isNotNull(), F.col("_c_key"))
+        .otherwise(_prefix_target_key()),
+    )
+
+    active = overlay.filter(F.col("status") == "active")
+    old_assignments = _assignment_keys(assignments if assignment_history is None else assignment_history)
+    old_claims = _claim_keys(claims if claim_history is None else claim_history)
+    taken = (
+        skew_join(old_assignments, active.select(F.col("resolved_assignment_id").alias("assignment_id")).dropna(),
+                  ["assignment_id"], "left_semi").select("_key")
+        .unionByName(
+            skew_join(old_claims, active.select(F.col("resolved_claim_id").alias("claim_id")).dropna(),
+                      ["claim_id"], "left_semi").select("_key")
+        )
+        .unionByName(
+            active.filter(F.col("prefix_bits").isNotNull() & F.col("resolution_run_id").isNull())
+            .select(_prefix_target_key().alias("_key"))
+        )
+        .distinct()
+        .withColumn("_taken", F.lit(True))
+    )
+    keyed = skew_join(keyed, taken, ["_key"], "left")
+    targets = sum(
+        (F.when(F.col(name).isNotNull(), 1).otherwise(0)
+         for name in ("resolved_assignment_id", "resolved_claim_id", "prefix_bits")),
+        F.lit(0),
+    )
+    bad_prefix = ~(
+        F.col("prefix_length").between(1, 48) & (F.col("prefix_bits") >= 0)
+        & (F.col("prefix_bits") < F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("prefix_length")))
+        & F.col("surface").isin(*SURFACES)
+    )
+    opaque = F.lit(True)
+    for name in ("ticket_reference", "created_by"):
+        if name in requests.columns:
+            opaque = opaque & F.coalesce(F.col(name).rlike(OPAQUE_REFERENCE), F.lit(False))
+    error = (
+        F.when(~opaque, "INVALID_REFERENCE")
+        .when(~F.coalesce(F.col("reason_code").rlike(REASON_CODE), F.lit(False)), "INVALID_REASON")
+        .when(targets != 1, "INVALID_TARGET")
+        .when(F.col("expires_at") <= instant(as_of), "INVALID_EXPIRY")
+        .when(~is_prefix & F.col("_key").isNull(), "TARGET_NOT_ACTIVE")
+        .when(is_prefix & F.coalesce(bad_prefix, F.lit(True)), "INVALID_TARGET")
+        .when(is_prefix & F.col("source_slug").isNotNull() & F.col("_slug_known").isNull(), "SOURCE_NOT_ACTIVE")
+        .when(F.col("_taken"), "ALREADY_SUPPRESSED")
+    )
+    judged = keyed.withColumn("error_code", error)
+    winners = judged.filter(F.col("error_code").isNull()).groupBy("_key").agg(F.min("request_seq").alias("_first"))
+    judged = skew_join(judged, winners, ["_key"], "left").withColumn(
+        "error_code",
+        F.when(F.col("error_code").isNull() & (F.col("request_seq") != F.col("_first")), "ALREADY_SUPPRESSED")
+        .otherwise(F.col("error_code")),
+    )
+    created = judged.filter(F.col("error_code").isNull()).select(
+        "suppression_id", F.lit(None).cast("string").alias("resolution_run_id"), "resolved_assignment_id",
+        "resolved_claim_id", "prefix_bits", "prefix_length", "surface", "source_slug", "reason_code",
+        F.lit("active").alias("status"), instant(as_of).alias("starts_at"), "expires_at",
+    )
+    refused = (
+        revokes.select("request_seq", "action", "error_code")
+        .unionByName(judged.select("request_seq", "action", "error_code"))
+        .filter(F.col("error_code").isNotNull())
+    )
+    return overlay.unionByName(created), refused
