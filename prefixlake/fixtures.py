@@ -117,8 +117,9 @@ def _with_fixtures(sql: str) -> str:
         return sql
     tables = ", ".join(f"{name} as ({FIXTURES[name].strip()})" for name in names)
     text = sql.strip()
-    if text.lower().startswith("with "):
-        return f"with {tables}, {text[5:]}"
+    for start in ("with recursive ", "with "):
+        if text.lower().startswith(start):
+            return f"{start}{tables}, {text[len(start):]}"
     return f"with {tables} {text}"
 
 
