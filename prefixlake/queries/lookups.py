@@ -284,3 +284,43 @@ def assignment_evidence(spark, sf_dir):
         stored(spark, sf_dir, "fx_resolved_assignments"), stored(spark, sf_dir, "fx_evidence"),
         stored(spark, sf_dir, "fx_records"), stored(spark, sf_dir, "fx_release_sources"),
     )
+
+
+# The scale check: one synthetic /24 block and one /48 claim per order, addresses from events.
+define("fx_probe_macs", """
+select event_id, case event_id % 3 when 0 then 187723572702975 when 1 then event_id * 16777216 + 1 else 281474959933441 + event_id end mac_value from events""")
+
+
+@query(
+    "synthetic_official_lookup",
+    """
+select m.event_id, m.mac_value, case when o.o_orderkey is null then 'no_match' else 'matched' end match_status,
+ case when o.o_orderkey is not null then concat('Benchmark Vendor ', o.o_orderkey) end organization_name
+from fx_probe_macs m left join orders o on o.o_orderkey = m.mac_value >> 24""",
+)
+def synthetic_official_lookup(spark, sf_dir):
+    """Hits, misses and the crowded address against a synthetic release."""
+    from prefixlake.sources.synthetic import synthetic_assignments
+
+    numbers = fixture(spark, sf_dir, "select o_orderkey series from orders")
+    found = lk.enrich_official(fixture(spark, sf_dir, "fx_probe_macs"), synthetic_assignments(numbers))
+    return found.select("event_id", "mac_value", "match_status", F.col("official.organization_name").alias("organization_name"))
+
+
+@query(
+    "synthetic_claim_lookup",
+    """
+with claims as (select 70368744177664 + o_orderkey bits, 48 l, concat('background-claim:', o_orderkey) seed from orders
+ union all select 187723572702975 >> (48 - l), l, concat('claim:', l) from (select unnest(range(1, 49)) l)),
+ hits as (select m.mac_value, c.l prefix_length, c.bits prefix_bits, concat('sha256:', sha256(seed)) claim_id,
+  row_number() over (partition by m.mac_value order by c.l desc, sha256(seed)) claim_rank
+  from (select distinct mac_value, l, mac_value >> (48 - l) bits from fx_probe_macs, (select unnest(range(1, 49)) l)) m join claims c on c.l = m.l and c.bits = m.bits)
+select mac_value, prefix_length, prefix_bits, claim_id, claim_rank, max(claim_rank) over (partition by mac_value) > 20 truncated from hits qualify claim_rank <= 20""",
+)
+def synthetic_claim_lookup(spark, sf_dir):
+    """A claim at every length over one address, behind many claims that match nothing."""
+    from prefixlake.sources.synthetic import synthetic_claims
+
+    numbers = fixture(spark, sf_dir, "select o_orderkey series from orders")
+    found = lk.enrich_claims(fixture(spark, sf_dir, "fx_probe_macs"), synthetic_claims(numbers))
+    return found.select("mac_value", "prefix_length", "prefix_bits", "claim_id", "claim_rank", "truncated")

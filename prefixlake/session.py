@@ -20,6 +20,9 @@ def get_session(app_name: str = "prefixlake", master: str | None = None, **conf:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # Distinct addresses are few bytes but expand to up to 48 probes each, so small
+        # shuffle partitions are worth keeping apart.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     )
     if master:
         builder = builder.master(master)
