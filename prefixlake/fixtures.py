@@ -162,5 +162,6 @@ def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture written once per application as a table, the way a release is stored."""
     key = (spark.sparkContext.applicationId, f"{sf_dir}#{name}")
     if key not in _opened:
-        _opened[key] = materialize(fixture(spark, sf_dir, name), name)
+        parts = spark.sparkContext.defaultParallelism
+        _opened[key] = materialize(fixture(spark, sf_dir, name).repartition(parts), name)
     return _opened[key]

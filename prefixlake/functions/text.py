@@ -11,8 +11,12 @@ from pyspark.sql import types as T
 
 # Control, zero-width and directional characters refused in display text.
 FORBIDDEN_CLASS = r"\u0000-\u001F\u007F-\u009F\u200B-\u200F\u202A-\u202E\u2060-\u206F\uFEFF"
-# The white space that trimming removes.
+# The white space that trimming removes, as a pattern class and as characters.
 SPACE_CLASS = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+SPACES = (
+    "\t\n\x0B\f\r \u00A0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200A"
+    "\u2028\u2029\u202F\u205F\u3000\uFEFF"
+)
 # Fixed value: largest text field.
 FIELD_BYTES = 16 * 1024
 # Fixed value: RFC 3339 instants in UTC with at most milliseconds.
@@ -33,19 +37,29 @@ def nfc(value: Column | str, ascii_only: bool = False) -> Column:
     value = F.col(value) if isinstance(value, str) else value
     if ascii_only:
         return value
-    non_ascii = F.octet_length(value) != F.length(value)
-    return F.coalesce(_nfc(F.when(non_ascii, value)), value)
+    return F.coalesce(_nfc(F.when(~_is_ascii(value), value)), value)
 
 
 def trim_space(value: Column) -> Column:
-    return F.regexp_replace(value, rf"\A[{SPACE_CLASS}]+|[{SPACE_CLASS}]+\z", "")
+    return F.btrim(value, F.lit(SPACES))
+
+
+def _is_ascii(value: Column) -> Column:
+    return F.octet_length(value) == F.length(value)
+
+
+def has_forbidden(value: Column) -> Column:
+    """ASCII text, nearly all of it, needs only the short and fast pattern."""
+    return F.when(_is_ascii(value), value.rlike(r"[\x00-\x1F\x7F]")).otherwise(value.rlike(f"[{FORBIDDEN_CLASS}]"))
 
 
 def clean(value: Column | str, ascii_only: bool = False) -> Column:
     """Lenient display text: unsafe characters and runs of space become one space."""
     text = nfc(value, ascii_only)
-    text = F.regexp_replace(text, rf"[{FORBIDDEN_CLASS}{SPACE_CLASS}]+", " ")
-    return F.trim(text)
+    spaced = F.when(_is_ascii(text), F.regexp_replace(text, r"[\x00-\x20\x7F]+", " ")).otherwise(
+        F.regexp_replace(text, rf"[{FORBIDDEN_CLASS}{SPACE_CLASS}]+", " ")
+    )
+    return F.trim(spaced)
 
 
 def clean_text(df: DataFrame, cols: list[str], ascii_only: bool = False) -> DataFrame:
@@ -65,7 +79,7 @@ def strict_text(value: Column | str, required: Column | bool = False, ascii_only
         F.when(missing & required, "MISSING_FIELD")
         .when(missing, None)
         .when(F.octet_length(text) > FIELD_BYTES, "FIELD_TOO_LARGE")
-        .when(text.rlike(f"[{FORBIDDEN_CLASS}]"), "UNSAFE_TEXT")
+        .when(has_forbidden(text), "UNSAFE_TEXT")
     )
     return F.struct(
         F.when(error.isNull() & ~missing, F.nullif(text, F.lit(""))).alias("value"),

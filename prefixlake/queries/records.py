@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from prefixlake.fixtures import define, fixture
+from prefixlake.fixtures import define, fixture, stored
 from prefixlake.functions import hashes, ranking, text
 from prefixlake.functions.claims import canonical_json
 from prefixlake.operators import contract
@@ -169,7 +169,7 @@ from (select *, claim_id % 31 r, concat('row:', cast(claim_id as varchar(20))) l
 
 @query("refused_records", f"select locator, error_code from ({_REFUSED}) where error_code is not null")
 def refused_records(spark, sf_dir):
-    return contract.validate_records(fixture(spark, sf_dir, "fx_batch"), _RULES)[1]
+    return contract.validate_records(stored(spark, sf_dir, "fx_batch"), _RULES)[1]
 
 
 @query(
@@ -181,7 +181,7 @@ select r.locator, c.claim_type record_kind, 'eligible' record_status, c.prefix_b
 from ({_REFUSED}) r join fx_claims c using (claim_id) where r.error_code is null""",
 )
 def accepted_records(spark, sf_dir):
-    accepted = contract.validate_records(fixture(spark, sf_dir, "fx_batch"), _RULES)[0]
+    accepted = contract.validate_records(stored(spark, sf_dir, "fx_batch"), _RULES)[0]
     return accepted.select(
         "locator", "record_kind", "record_status", "prefix_bits", "prefix_length", "organization_name", "claim_json",
         "origin_type", "rights_basis", "verification_status", "reviewed_by",
