@@ -95,7 +95,7 @@ with h as (select unnest(range(0, 49)) h),
  levels as (select range_id, h, (start_value + (1::bigint << h) - 1) >> h lo, (end_value + 1) >> h hi from fx_ranges, h),
  emitted as (select range_id, h, lo bits from levels where lo < hi and lo % 2 = 1
   union all select range_id, h, hi - 1 from levels where hi % 2 = 1 and lo + lo % 2 < hi)
-select range_id, bits prefix_bits, 48 - h prefix_length from emitted""",
+select range_id, bits prefix_bits, cast(48 - h as int) prefix_length from emitted""",
 )
 def range_prefixes(spark, sf_dir):
     found = ranges_to_prefixes(fixture(spark, sf_dir, "fx_ranges"), "start_value", "end_value")

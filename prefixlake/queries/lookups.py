@@ -77,7 +77,7 @@ with hits as (select m.mac_value, c.*, row_number() over (partition by m.mac_val
  from (select distinct mac_value, length, mac_value >> (48 - length) bits from fx_macs, (select unnest(range(1, 49)) length)) m
  join fx_claims c on c.prefix_length = m.length and c.prefix_bits = m.bits where c.claim_type in ({kinds}))
 select mac_value, claim_id, claim_type, prefix_bits, prefix_length, verification_status, source_slug, organization_name,
- claim_rank, max(claim_rank) over (partition by mac_value) > {k} truncated from hits qualify claim_rank <= {k}"""
+ cast(claim_rank as int) claim_rank, max(claim_rank) over (partition by mac_value) > {k} truncated from hits qualify claim_rank <= {k}"""
 
 
 @query("ranked_claims", _CLAIMS.format(by_type="", kinds="'curated_vendor_claim'", k=20))
@@ -273,7 +273,7 @@ select distinct concat('rel', cast(n_nationkey as varchar(20))) source_release_i
     "assignment_evidence",
     """
 with ranked as (select *, row_number() over (partition by assignment_id order by role nulls last, evidence_id) evidence_rank from fx_evidence)
-select a.assignment_id, a.registry, a.prefix_bits, a.prefix_length, e.evidence_id, e.record_id, e.role, e.evidence_rank,
+select a.assignment_id, a.registry, a.prefix_bits, a.prefix_length, e.evidence_id, e.record_id, e.role, cast(e.evidence_rank as int) evidence_rank,
  coalesce(e.truncated, false) truncated, r.source_release_id, r.observed_at, s.source_slug
 from fx_resolved_assignments a
 left join (select *, max(evidence_rank) over (partition by assignment_id) > 100 truncated from ranked qualify evidence_rank <= 100) e using (assignment_id)
@@ -315,7 +315,7 @@ with claims as (select 70368744177664 + o_orderkey bits, 48 l, concat('backgroun
  hits as (select m.mac_value, c.l prefix_length, c.bits prefix_bits, concat('sha256:', sha256(seed)) claim_id,
   row_number() over (partition by m.mac_value order by c.l desc, sha256(seed)) claim_rank
   from (select distinct mac_value, l, mac_value >> (48 - l) bits from fx_probe_macs, (select unnest(range(1, 49)) l)) m join claims c on c.l = m.l and c.bits = m.bits)
-select mac_value, prefix_length, prefix_bits, claim_id, claim_rank, max(claim_rank) over (partition by mac_value) > 20 truncated from hits qualify claim_rank <= 20""",
+select mac_value, cast(prefix_length as int) prefix_length, prefix_bits, claim_id, cast(claim_rank as int) claim_rank, max(claim_rank) over (partition by mac_value) > 20 truncated from hits qualify claim_rank <= 20""",
 )
 def synthetic_claim_lookup(spark, sf_dir):
     """A claim at every length over one address, behind many claims that match nothing."""

@@ -266,7 +266,7 @@ def adapter_contract(spark, sf_dir):
 @query(
     "batch_limits",
     """
-select count(*) row_count, max(octet_length(encode(text)) + octet_length(encode(lang)) + octet_length(encode(source))) widest_row,
+select count(*) row_count, cast(max(octet_length(encode(text)) + octet_length(encode(lang)) + octet_length(encode(source))) as int) widest_row,
  case when max(octet_length(encode(text)) + octet_length(encode(lang)) + octet_length(encode(source))) > 65536 then 'LINE_TOO_LARGE'
   when count(*) > 250000 then 'TOO_MANY_RECORDS' when count(*) = 0 then 'EMPTY_ARTIFACT' end code from documents""",
 )

@@ -272,7 +272,7 @@ def previous_release(spark, sf_dir):
 @query(
     "pointer_problems",
     """
-select 1 pointers, count(*) active_runs, count(*) filter (where resolution_run_id = 'run-7') consistent, 'ACTIVE_POINTER_INVALID' code
+select cast(1 as bigint) pointers, count(*) active_runs, count(*) filter (where resolution_run_id = 'run-7') consistent, 'ACTIVE_POINTER_INVALID' code
 from fx_runs where status = 'retired' and completed_at < TS '2023-02-01 00:00:00' having count(*) <> 1""",
 )
 def pointer_problems(spark, sf_dir):

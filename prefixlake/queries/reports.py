@@ -216,7 +216,7 @@ with terms as (select unnest({_TERMS!r}) term),
    or contains(lower(i.registered_one), t.term) or contains(lower(i.registered_two), t.term)),
  "read" as (select *, min(rn) over (partition by term, organization_key) first_row from hits where rn <= 100),
  ranked as (select *, dense_rank() over (partition by term order by first_row) key_rank from "read")
-select term, organization_key, organization_name, scheme, identifier, key_rank, max(key_rank) over (partition by term) > 10 truncated from ranked qualify key_rank <= 10""",
+select term, organization_key, organization_name, scheme, identifier, cast(key_rank as int) key_rank, max(key_rank) over (partition by term) > 10 truncated from ranked qualify key_rank <= 10""",
 )
 def organization_search(spark, sf_dir):
     found = orgs.search_organizations(_identities(spark, sf_dir), _TERMS, limit=10)

@@ -187,7 +187,7 @@ with r as (select page_id, (page_id * 2654435761) % 1099511627776 s from pages),
   union all select page_id, s + page_id % 5000, s + page_id % 5000, null, '', '' from r),
  levels as (select *, (s + (1::bigint << h) - 1) >> h lo, (e + 1) >> h hi from ranges, (select unnest(range(0, 48)) h)),
  cover as (select *, lo bits from levels where lo < hi and lo % 2 = 1 union all select *, hi - 1 from levels where hi % 2 = 1 and lo + lo % 2 < hi)
-select bits prefix_bits, 48 - h prefix_length, org organization_name,
+select bits prefix_bits, cast(48 - h as int) prefix_length, org organization_name,
  cast(to_json({'notes': notes, 'organization': coalesce(org, ''), 'standard': standard}) as varchar) claim_json from cover""",
 )
 def listing_ranges(spark, sf_dir):
@@ -207,7 +207,7 @@ from (select *, concat(substr(x, 1, 2), '-', substr(x, 3, 2), '-', substr(x, 5,
 with ranges as (select s_suppkey, s_name, 1101088686080 + s_suppkey * 771 s, 1101088686080 + s_suppkey * 771 + case when s_suppkey % 3 = 0 then s_suppkey % 97 else 0 end e from supplier),
  levels as (select *, (s + (1::bigint << h) - 1) >> h lo, (e + 1) >> h hi from ranges, (select unnest(range(0, 48)) h)),
  cover as (select *, lo bits from levels where lo < hi and lo % 2 = 1 union all select *, hi - 1 from levels where hi % 2 = 1 and lo + lo % 2 < hi)
-select bits prefix_bits, 48 - h prefix_length, cast(to_json({'reference': case when s_suppkey % 2 = 0 then 'RFC 1' else '' end, 'scope': 'multicast', 'usage': concat('use ', s_name)}) as varchar) claim_json from cover""",
+select bits prefix_bits, cast(48 - h as int) prefix_length, cast(to_json({'reference': case when s_suppkey % 2 = 0 then 'RFC 1' else '' end, 'scope': 'multicast', 'usage': concat('use ', s_name)}) as varchar) claim_json from cover""",
 )
 def suffix_ranges(spark, sf_dir):
     found = ex.extract_suffix_ranges(fixture(spark, sf_dir, "fx_suffix_rows"), _PROVENANCE, 1101088686080, "multicast")
@@ -357,7 +357,7 @@ select registry, upper(lpad(HEX(prefix_bits), (prefix_length + 3) DIV 4, '0')) a
 _SYNTHETIC_CLAIMS = """
 select prefix_bits, prefix_length, organization_name, concat('sha256:', sha256(seed)) claim_id from (
  select 70368744177664 + o_orderkey prefix_bits, 48 prefix_length, 'Benchmark Background Claim' organization_name, concat('background-claim:', o_orderkey) seed from orders
- union all select 187723572702975 >> (48 - l), l, 'Benchmark Worst Case', concat('claim:', l) from (select unnest(range(1, 49)) l))"""
+ union all select 187723572702975 >> (48 - l), cast(l as int), 'Benchmark Worst Case', concat('claim:', l) from (select unnest(range(1, 49)) l))"""
 
 
 @query("synthetic_claims", _SYNTHETIC_CLAIMS)
@@ -404,7 +404,7 @@ def append_new_observations(spark, sf_dir):
 
 @query(
     "partitioned_release_tables",
-    "select 'run-' || registry resolution_run_id, count(*) row_count, sum(prefix_bits) bits from fx_assignments group by registry",
+    "select 'run-' || registry resolution_run_id, count(*) row_count, cast(sum(prefix_bits) as bigint) bits from fx_assignments group by registry",
 )
 def partitioned_release_tables(spark, sf_dir):
     """Rows appended as one partition per run, then read back per partition."""

@@ -34,11 +34,14 @@ def get_session(app_name: str = "prefixlake", master: str | None = None, **conf:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can read, as named by the cluster.
 
-    Only a session that names none (a local test) gets a folder of its own.
+    A local session that names none (a test) gets a folder of its own. On a cluster the
+    setting is required, because a folder of one machine is not visible to the others.
     """
     configured = spark.conf.get(CHECKPOINT_SETTING, None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_SETTING} to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="prefixlake-")
     spark.conf.set(CHECKPOINT_SETTING, local)
     return local

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from prefixlake.operators.joins import skew_join
 from prefixlake.schemas import ACCESS_LOG, RECORD_FIELDS, REGISTRY_CSV
 
 _CSV = {"header": "true", "enforceSchema": "false", "mode": "FAILFAST", "quote": '"', "escape": '"',
@@ -105,10 +106,9 @@ def with_locator(df: DataFrame, per_file: bool = True) -> DataFrame:
     earlier = Window.partitionBy("_file").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.withColumn("_offset", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).drop("_rows")
     number = F.col("_offset") + F.col("_seen") - F.col("_first") + 1
-    return (
-        marked.join(F.broadcast(offsets), ["_file", "_part"])
-        .withColumn("locator", F.concat(F.lit("row:"), number.cast("string")))
-        .drop("_file", "_seen", "_part", "_first", "_offset")
+    placed = skew_join(marked, offsets, ["_file", "_part"], "inner", store="row-offsets")
+    return placed.withColumn("locator", F.concat(F.lit("row:"), number.cast("string"))).drop(
+        "_file", "_seen", "_part", "_first", "_offset"
     )
 
 
