@@ -70,7 +70,7 @@ def main() -> None:
     names = [name for name in (sys.argv[1:] or HEADLINE) if name in QUERIES]
     for name in names:  # stored input tables and compiled code, as in a long-lived application
         run(name)
-    seconds = {name: round(min(run(name), run(name)), 3) for name in names}
+    seconds = {name: round(run(name), 3) for name in names}
     print(json.dumps({
         "metric": "total seconds of the headline queries, warm",
         "value": round(sum(seconds.values()), 3),

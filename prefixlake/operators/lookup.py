@@ -153,7 +153,9 @@ def enrich_claims(
     and ``truncated`` (there was a further claim).
 
     An address shows at most k + 1 claims of one prefix, so claims are first cut to
-    k + 1 per prefix: exact, and no crowded prefix is multiplied by its addresses.
+    k + 1 per prefix: exact, and no crowded prefix is multiplied by its addresses. An
+    address has one prefix per length, so length and place within the prefix already give
+    the full order, and addresses are ranked by one small number instead of text columns.
     """
     order = _claim_order(by_type)
     wanted = claims.filter(F.col("claim_type").isin(*kinds)).withColumn(
@@ -162,6 +164,7 @@ def enrich_claims(
     best = (
         wanted.withColumn("_rank", F.row_number().over(Window.partitionBy("_key").orderBy(*order)))
         .filter(F.col("_rank") <= k + 1)
+        .withColumn("_order", (F.lit(ADDRESS_BITS) - F.col("prefix_length")) * F.lit(k + 2) + F.col("_rank"))
         .drop("_rank")
     )
     # One pass gives the size to check and the at most 48 lengths that have to be probed.
@@ -177,7 +180,8 @@ def enrich_claims(
     matched = skew_join(candidates, best, ["_key"], "inner", small=small).drop("_key")
     per_address = Window.partitionBy(mac)
     return (
-        matched.withColumn("claim_rank", F.row_number().over(per_address.orderBy(*order)))
+        matched.withColumn("claim_rank", F.row_number().over(per_address.orderBy("_order")))
+        .drop("_order")
         .filter(F.col("claim_rank") <= k + 1)
         .withColumn("truncated", F.max("claim_rank").over(per_address) > k)
         .filter(F.col("claim_rank") <= k)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from prefixlake.functions.bits import prefix_key
 from prefixlake.functions.hashes import json_key
-from prefixlake.operators.joins import fits_broadcast, skew_join
+from prefixlake.operators.joins import BROADCAST_BYTES, row_bytes, skew_join
 
 ASSIGNMENT_TWIN = (
     "registry", "prefix_bits", "prefix_length", "core_source_slug",
@@ -69,7 +69,13 @@ def _withhold(
     run_id: str | None,
 ) -> DataFrame:
     # Every list below is at most as long as the overlay, so one measurement covers them all.
-    small = fits_broadcast(active)
+    by_id = F.count(target_id) if target_id in active.columns else F.lit(0)
+    measured = active.agg(
+        F.count(F.lit(1)).alias("rows"), by_id.alias("named"), F.sum(row_bytes(active).cast("bigint")).alias("bytes")
+    ).first()
+    if not measured["rows"]:
+        return rows
+    small = measured["bytes"] <= BROADCAST_BYTES
 
     def without(left: DataFrame, listed: DataFrame, on: list[str], how: str = "left_anti") -> DataFrame:
         return left.join(F.broadcast(listed), on, how) if small else skew_join(left, listed, on, how)
@@ -82,7 +88,7 @@ def _withhold(
     )
     kept = without(kept, everywhere, ["_prefix_key"])
     kept = without(kept, one_source, ["_prefix_key", slug])
-    if target_id in active.columns:
+    if measured["named"]:
         named = active.filter(F.col(target_id).isNotNull()).select(F.col(target_id).alias(row_id))
         kept = without(kept, named, [row_id])
         if history is not None:
