@@ -1,7 +1,7 @@
 """Token ids of whole texts by a public word-level BPE file, with a cache of words.
 
-The vocabulary drops white space and ends every word, so the ids of a text are those of
-its white-space-separated chunks in order. Each distinct chunk is encoded once per task
+The vocabulary drops white space, of any kind, and ends every word, so the ids of a text are
+those of its white-space-separated chunks in order. Each distinct chunk is encoded once per task
 and kept as packed little-endian 32-bit ids; the cache is emptied when it is full.
 """
 
@@ -16,6 +16,7 @@ CACHED_CHUNKS = 700_000  # about 140 MB
 CACHED_STEMS = 1_000_000  # about 200 MB
 _JOINED = 512  # letter-only words that one call of the tokenizer encodes together
 _CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
+_KEPT_MARKS = "\x1c\x1d\x1e\x1f"  # str.split() cuts at these, the vocabulary does not
 _ASCII_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _encoders: dict[int, Callable[[list[str]], list[bytes]]] = {}
@@ -71,7 +72,7 @@ def _build(definition: str) -> Callable[[list[str]], list[bytes]]:
         return (chunk,)
 
     def encode(texts: list[str]) -> list[bytes]:
-        found = [_CHUNK.findall(text) for text in texts]
+        found = [_CHUNK.findall(t) if any(c in t for c in _KEPT_MARKS) else t.split() for t in texts]
         missing = set().union(*found).difference(chunks)
         if missing:
             if len(chunks) + len(missing) > CACHED_CHUNKS:
