@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from prefixlake.llm.words import Texts, text_groups
 
-CHUNK_WORDS = 2_000_000
+CHUNK_WORDS = 1_500_000
+GROUP_BYTES = 2 << 20
 CHUNK_DOCS = 400_000
 PART_BYTES = 6 << 20  # text for which one more part is made
 ROW_BITS = 20  # a document's number: chunk number, then its place in the chunk
@@ -78,8 +79,12 @@ class Chunk:
         self.columns, self.vocabulary, self.words, self.offsets = columns, vocabulary, words, offsets
 
     def pack(self) -> bytes:
+        """Words are written by their rank among the chunk's words, commonest first: most ranks are small."""
         parts = [squeeze(c) for c in self.columns]
-        parts += [squeeze_sorted(self.vocabulary), squeeze(self.words.astype("<u4")), squeeze(np.diff(self.offsets))]
+        number = np.bincount(self.words, minlength=len(self.vocabulary))
+        rank = np.empty(len(number), dtype="<u4")
+        rank[np.argsort(-number, kind="stable")] = np.arange(len(number))
+        parts += [squeeze(number), squeeze_sorted(self.vocabulary), squeeze(rank[self.words]), squeeze(np.diff(self.offsets))]
         sizes = np.array([len(parts), *map(len, parts)], dtype="<i8").tobytes()
         return sizes + b"".join(parts)
 
@@ -90,7 +95,8 @@ class Chunk:
         cuts = np.cumsum(np.concatenate([[8 * (count + 1)], sizes]))
         parts = [body[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         offsets = np.concatenate([[0], np.cumsum(expand(parts[-1]))]).astype(np.int64)
-        return Chunk([expand(p) for p in parts[:-3]], expand_sorted(parts[-3]), expand(parts[-2]).astype(np.int64), offsets)
+        by_rank = np.argsort(-expand(parts[-4]), kind="stable")
+        return Chunk([expand(p) for p in parts[:-4]], expand_sorted(parts[-3]), by_rank[expand(parts[-2])], offsets)
 
     def select(self, documents: np.ndarray) -> Chunk:
         """The chunk of the marked documents alone."""
@@ -107,19 +113,23 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str, numbers: list[str]) ->
     words = documents = 0
 
     def close() -> Chunk:
+        """The chunk of what is held, which is let go before the chunk is worked on."""
         columns = [np.concatenate(c) for c in zip(*[h[0] for h in held], strict=True)]
-        vocabulary, index = np.unique(np.concatenate([h[1] for h in held]), return_inverse=True)
+        hashes = np.concatenate([h[1] for h in held])
         offsets = np.concatenate([[0], np.cumsum(np.concatenate([h[2] for h in held]))]).astype(np.int64)
-        return Chunk(columns, vocabulary, index, offsets)
+        held.clear()
+        vocabulary, index = np.unique(hashes, return_inverse=True)
+        return Chunk(columns, vocabulary, index.astype(np.int32), offsets)
 
-    for batch in text_groups(batches, text):
+    for batch in text_groups(batches, text, GROUP_BYTES):
         texts = Texts(batch.column(batch.schema.get_field_index(text)))
         columns = [batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False).astype(np.int64) for n in numbers]
         held.append((columns, texts.word_hashes(lower=True), np.diff(texts.word_offsets)))
         words, documents = words + len(texts.starts), documents + batch.num_rows
+        del texts, batch
         if words >= CHUNK_WORDS or documents >= CHUNK_DOCS:
             yield close()
-            held, words, documents = [], 0, 0
+            words = documents = 0
     if held:
         yield close()
 

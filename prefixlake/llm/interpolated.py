@@ -57,20 +57,23 @@ class _Tokens:
         self.words = np.append(chunk.vocabulary, _END)
         order = np.argsort(self.words, kind="stable")
         self.words = self.words[order]
-        rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.arange(len(order))
-        self.owner = np.repeat(np.arange(documents), lengths + 1)
+        rank = np.empty(len(order), dtype=np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        self.owner = np.repeat(np.arange(documents, dtype=np.int32), lengths + 1)
         self.offsets = chunk.offsets + np.arange(documents + 1)
-        self.token = np.full(len(self.owner), rank[-1], dtype=np.int64)
+        self.token = np.full(len(self.owner), rank[-1], dtype=np.int32)
         inside = np.ones(len(self.owner), dtype=bool)
         inside[self.offsets[1:] - 1] = False
         self.token[inside] = rank[chunk.words]
         first = np.zeros(len(self.owner), dtype=bool)
         first[self.offsets[:-1]] = True
         self.context = np.where(first, -1, np.roll(self.token, 1))  # -1: start of the text
-        before = np.where(first, _START, self.words[self.context])
-        key = scramble(scramble(before) + self.words[self.token]) >> np.uint64(shift)
-        self.pairs, self.pair = np.unique(key, return_inverse=True)
+        before = np.append(scramble(self.words), scramble(np.array([_START])))[self.context]  # -1 is the start
+        before += self.words[self.token]
+        key = scramble(before) >> np.uint64(shift)
+        del before, inside, first
+        self.pairs, pair = np.unique(key, return_inverse=True)
+        self.pair = pair.astype(np.int32)
 
 
 def _asked(docs: DataFrame, shift: int, parts: int) -> DataFrame:
@@ -93,6 +96,8 @@ def _asked(docs: DataFrame, shift: int, parts: int) -> DataFrame:
                     yield exchange.asking(name, kind, keys, [none, own] if deleted else [own, none], bits, parts)
                 facts = [int(counted.sum()), int(trained.sum())]
                 yield exchange.body_row(name, some.pack(), [0, 0, *facts] if deleted else [*facts, 0, 0])
+                del some, tokens, counted, keys, at, own, none
+            del chunk, folds
 
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
     narrow = docs.select(

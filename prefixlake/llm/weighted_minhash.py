@@ -44,6 +44,7 @@ BANDS, ROWS = 10, 3  # at similarity 0.8 a pair shares a band with probability 0
 CENTERS, MORE = 8, 4
 COMMON_SHARE = 3  # shingles in up to 1/3 of the documents weigh 1
 _SLACK = 1e-9
+_SAMPLED_AT_ONCE = 1 << 16  # shingles
 
 _NODES = (
     "row long, doc_id long, text_hash long, same binary, total double, shared double, bands array<long>, "
@@ -105,6 +106,17 @@ def sample(keys: np.ndarray, weights: np.ndarray, offsets: np.ndarray, number: i
     return out
 
 
+def _sampled(keys: np.ndarray, weights: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The samples of many sets, some sets at a time."""
+    out, first = [], 0
+    while first < len(offsets) - 1:
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + _SAMPLED_AT_ONCE, side="right")) - 1)
+        a, b = offsets[first], offsets[last]
+        out.append(sample(keys[a:b], weights[a:b], offsets[first : last + 1] - a, BANDS * ROWS))
+        first = last
+    return np.concatenate(out)
+
+
 def bands_of(samples: np.ndarray) -> np.ndarray:
     out = np.zeros((len(samples), BANDS), dtype=np.uint64)
     for r in range(ROWS):
@@ -133,7 +145,9 @@ def _nodes(docs: DataFrame) -> DataFrame:
             _, key, _ = shingles(chunk, shift)
             distinct, documents = np.unique(key, return_counts=True)
             yield exchange.asking(name, 1, distinct, [documents], 64 - shift, parts)
+            del key, distinct, documents
             yield exchange.body_row(name, chunk.pack(), [len(chunk.offsets) - 1])
+            del chunk
 
     narrow = docs.select(
         F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().cast("long").alias("known_id"),
@@ -159,7 +173,7 @@ def _nodes(docs: DataFrame) -> DataFrame:
         bands, blobs, same = [None] * number, [None] * number, [None] * number
         weight_blobs = [None] * number
         if len(nodes):
-            found_bands = bands_of(sample(keys, weights, cuts, BANDS * ROWS)).view(np.int64)
+            found_bands = bands_of(_sampled(keys, weights, cuts)).view(np.int64)
             for k, node in enumerate(nodes.tolist()):
                 words = body.vocabulary[body.words[body.offsets[node] : body.offsets[node + 1]]]
                 place = scramble(words + np.arange(len(words), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
