@@ -58,8 +58,9 @@ def expand_sorted(blob: bytes) -> np.ndarray:
 
 
 def key_shift(text_bytes: int) -> int:
-    """Low bits that keys may lose: what is left exceeds the number of keys 2**24-fold, at any size."""
-    return max(0, 64 - 24 - max(16, math.ceil(math.log2(text_bytes / 4 + 1))))
+    """Low bits that keys may lose. What is left exceeds the number of words 2**16-fold, at any size: about
+    one key in 65,000 has its value from another key too."""
+    return max(0, 64 - 16 - max(16, math.ceil(math.log2(text_bytes / 4 + 1))))
 
 
 def part_of(keys: np.ndarray, bits: int, parts: int) -> np.ndarray:

@@ -220,6 +220,22 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
+def _viable(members: DataFrame) -> DataFrame:
+    """Members that can be similar to another of their bucket, given the least weight found there.
+
+    What a member shares is at most ``shared``, so with a partner of ``lightest`` or more its similarity
+    is at most shared / (total + max(lightest, shared) - shared).
+    """
+    buckets = materialize(
+        members.groupBy("band", "value").agg(F.min("total").alias("lightest"), F.count(F.lit(1)).alias("size"))
+        .where("size > 1").drop("size"),
+        "near-buckets")
+    whole = F.col("total") + F.greatest("lightest", "shared") - F.col("shared")
+    return materialize(
+        members.join(buckets, ["band", "value"]).where(F.col("shared") >= (SIMILARITY - _SLACK) * whole).drop("lightest"),
+        "near-open")
+
+
 def _links(sets: DataFrame) -> DataFrame:
     """Verified links between nodes (row, total, shared, bands, keys, weights), found by shared bands."""
     placed = sets.select("row", "total", "shared", F.posexplode("bands").alias("band", "value"))
@@ -229,12 +245,12 @@ def _links(sets: DataFrame) -> DataFrame:
     members = materialize(members.join(popular, "row").drop("size"), "near-open")
     links = compared = None
     centers = CENTERS
+    members = _viable(members)
     while members.limit(1).count():
         order = Window.partitionBy("band", "value").orderBy(F.desc("popular"), "row")
         chosen = materialize(
             members.withColumn("place", F.row_number().over(order)).where(F.col("place") <= centers)
-            .select("band", "value", F.col("row").alias("center"), F.col("total").alias("c_total"), F.col("shared").alias("c_shared"),
-                    "place"),
+            .select("band", "value", F.col("row").alias("center"), F.col("total").alias("c_total"), F.col("shared").alias("c_shared")),
             "near-centers")
         least = F.least("shared", "c_shared")
         pairs = (
@@ -248,12 +264,9 @@ def _links(sets: DataFrame) -> DataFrame:
         links = found if links is None else links.unionByName(found)
         compared = pairs if compared is None else compared.unionByName(pairs)
         # open: neither a center of its bucket nor linked to one
-        linked = members.join(chosen, ["band", "value"]).select("band", "value", "row", F.col("center").alias("b")).join(
-            links.withColumnRenamed("a", "row"), ["row", "b"], "left_semi").select("band", "value", "row")
-        done = linked.unionByName(chosen.select("band", "value", F.col("center").alias("row")))
-        rest = members.join(done, ["band", "value", "row"], "left_anti")
-        several = rest.groupBy("band", "value").count().where("count > 1").select("band", "value")
-        members = materialize(rest.join(several, ["band", "value"], "left_semi"), "near-open")
+        linked = links.join(chosen, F.col("b") == F.col("center")).select("band", "value", F.col("a").alias("row"))
+        done = linked.unionByName(chosen.select("band", "value", F.col("center").alias("row"))).distinct()
+        members = _viable(materialize(members.join(done, ["band", "value", "row"], "left_anti"), "near-open"))
         centers *= MORE
     return links if links is not None else sets.sparkSession.createDataFrame([], "a long, b long")
 
@@ -284,8 +297,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
     placed = materialize(placed, "near-placed")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    classes = placed.groupBy("label").agg(
-        F.min(order).alias("first"), F.count(F.lit(1)).alias("class_size"))
+    classes = materialize(  # stored, so that Spark can split a large class in the join below
+        placed.groupBy("label").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("class_size")), "near-classes")
     grouped = placed.join(classes, "label").select(
         "doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("first.row")).alias("kept"),
         "n_links", "text_hash")
