@@ -81,10 +81,10 @@ def duplicate_groups(
         hashed.select(F.col(id_col).alias("doc_id"), F.col(FULL).isNotNull().alias("grouped"),
                       digest.alias("text_sha256")),
         "refine-rows")
-    groups = (
+    groups = materialize(  # stored, so that Spark can split a large group in the join below
         rows.where("grouped").groupBy("text_sha256")
-        .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    )
+        .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")),
+        "refine-groups")
     single = rows.where("NOT grouped").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"), "text_sha256")
