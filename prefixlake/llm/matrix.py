@@ -20,6 +20,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from prefixlake.llm.bestfit import best_fit_decreasing
 from prefixlake.llm.packing import END_ID, WINDOW
@@ -27,7 +28,7 @@ from prefixlake.llm.tokens import encoder, vocabulary_json
 from prefixlake.llm.words import text_groups
 from prefixlake.session import materialize
 
-BUFFER_TOKENS = 4_000_000  # ids that a task holds before it packs them
+BUFFER_TOKENS = 2_000_000  # ids that a task holds before it packs them
 SLACK = 0.01  # a window with a larger empty share is packed again with others
 
 _SEGMENT = pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64())])
@@ -37,12 +38,17 @@ MATRIX = (
     "sequence_id long, n_tokens int, ids binary, segment_ends array<int>, position_ids binary, "
     "segments array<struct<doc_id:long,start:long,length:long>>"
 )
-Piece = tuple[int | None, int, bytes]  # document, first id of the piece, little-endian 32-bit ids
+Piece = tuple[int | None, int, bytes]  # document, first id of the piece, little-endian ids
 
 
-def _packed(pieces: list[Piece], window: int, split_below: int) -> pa.RecordBatch:
+def id_bytes(definition: str, window: int) -> int:
+    """Bytes of one id in the matrix: 2 if every id and position fits, else 4."""
+    return 2 if max(Tokenizer.from_str(definition).get_vocab_size(), window) <= 1 << 16 else 4
+
+
+def _packed(pieces: list[Piece], window: int, split_below: int, width: int) -> pa.RecordBatch:
     """Windows of these pieces; one with fewer than ``split_below`` ids is given back piece by piece."""
-    lengths = np.array([len(ids) // 4 for _, _, ids in pieces], dtype=np.int64)
+    lengths = np.array([len(ids) // width for _, _, ids in pieces], dtype=np.int64)
     at, offset = best_fit_decreasing(lengths, window)
     fill = np.bincount(at, weights=lengths).astype(np.int64)
     rows: list[list[Piece]] = []
@@ -54,8 +60,8 @@ def _packed(pieces: list[Piece], window: int, split_below: int) -> pa.RecordBatc
         last = at[k]
     squeeze = zstandard.ZstdCompressor(level=1)
     return pa.RecordBatch.from_arrays([
-        pa.array([sum(len(ids) for _, _, ids in row) // 4 for row in rows], pa.int64()),
-        pa.array([[{"doc_id": d, "start": s, "length": len(ids) // 4} for d, s, ids in row] for row in rows],
+        pa.array([sum(len(ids) for _, _, ids in row) // width for row in rows], pa.int64()),
+        pa.array([[{"doc_id": d, "start": s, "length": len(ids) // width} for d, s, ids in row] for row in rows],
                  pa.list_(_SEGMENT)),
         pa.array([squeeze.compress(b"".join(ids for _, _, ids in row)) for row in rows], pa.binary()),
     ], schema=_WINDOWS)
@@ -67,29 +73,32 @@ def token_matrix(
 ) -> DataFrame:
     """One row per sequence.
 
-    ``ids`` and ``position_ids`` are ``window`` little-endian 32-bit values each, padded with
-    ``pad_id`` and 0; positions restart at 0 with every segment. ``segment_ends`` are cumulative
+    ``ids`` and ``position_ids`` are ``window`` little-endian values each, padded with ``pad_id`` and
+    0: of 16 bits where the vocabulary and the window fit (``id_bytes``), else of 32. Positions
+    restart at 0 with every segment. ``segment_ends`` are cumulative
     lengths from 0, as variable-length attention kernels take them; padding is outside them.
     """
     definition = vocabulary_json(vocabulary)
-    end = np.array([end_id], dtype="<u4").tobytes()
+    width = id_bytes(definition, window)
+    kind = f"<u{width}"
     enough = math.ceil(window * (1 - SLACK))
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(definition)
+        known = encoder(definition)
         pieces: list[Piece] = []
         held = 0
         for batch in text_groups(batches, "text", 1 << 20):
-            encoded = encode([text or "" for text in batch.column(1).to_pylist()])
-            for doc, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
-                ids += end
-                pieces += [(doc, at // 4, ids[at : at + 4 * window]) for at in range(0, len(ids), 4 * window)]
-                held += len(ids) // 4
+            ids, offsets = known.encode_closed(batch.column(1), end_id)
+            packed = ids.astype(kind).tobytes()
+            for doc, first, last in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                pieces += [
+                    (doc, at - first, packed[width * at : width * min(at + window, last)]) for at in range(first, last, window)]
+                held += last - first
                 if held >= BUFFER_TOKENS:
-                    yield _packed(pieces, window, enough)
+                    yield _packed(pieces, window, enough, width)
                     pieces, held = [], 0
         if pieces:
-            yield _packed(pieces, window, enough)
+            yield _packed(pieces, window, enough, width)
 
     def repack(group: pa.Table) -> pa.Table:
         expand = zstandard.ZstdDecompressor()
@@ -97,7 +106,7 @@ def token_matrix(
             (segments[0]["doc_id"], segments[0]["start"], expand.decompress(ids))
             for segments, ids in zip(group["segments"].to_pylist(), group["ids"].to_pylist(), strict=True)
         ]
-        return pa.Table.from_batches([_packed(pieces, window, 0)])
+        return pa.Table.from_batches([_packed(pieces, window, 0, width)])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     made = materialize(
@@ -117,12 +126,12 @@ def token_matrix(
                 batch = whole.slice(first, 256)
                 ids_rows, position_rows, end_rows = [], [], []
                 for segments, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    held = np.frombuffer(expand.decompress(blob), dtype="<u4")
-                    ids = np.full(window, pad_id, dtype="<u4")
+                    held = np.frombuffer(expand.decompress(blob), dtype=kind)
+                    ids = np.full(window, pad_id, dtype=kind)
                     ids[: len(held)] = held
                     lengths = [s["length"] for s in segments]
                     ends = np.concatenate([[0], np.cumsum(lengths)])
-                    positions = np.zeros(window, dtype="<u4")
+                    positions = np.zeros(window, dtype=kind)
                     positions[: len(held)] = np.arange(len(held)) - np.repeat(ends[:-1], lengths)
                     ids_rows.append(ids.tobytes())
                     position_rows.append(positions.tobytes())

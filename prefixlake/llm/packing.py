@@ -40,19 +40,17 @@ def token_pieces(
 ) -> DataFrame:
     """One row per piece of each document, at most ``window`` ids long."""
     definition = vocabulary_json(vocabulary)
-    end = np.array([end_id], dtype="<u4").tobytes()
-    step = 4 * window
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(definition)
+        known = encoder(definition)
         for batch in text_groups(batches, "text", 1 << 20):
+            ids, offsets = known.encode_closed(batch.column(1), end_id)
+            packed = ids.astype("<u4").tobytes()
             rows: tuple[list, ...] = ([], [], [], [], [])
-            encoded = encode([text or "" for text in batch.column(1).to_pylist()])
-            for doc, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
-                ids += end
-                for at in range(0, len(ids), step):
-                    piece = ids[at : at + step]
-                    values = (doc, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4)
+            for doc, first, last in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                for at in range(first, last, window):
+                    end = min(at + window, last)
+                    values = (doc, at - first, end - at, zlib.crc32(packed[4 * at : 4 * end]), last - first)
                     for column, value in zip(rows, values, strict=True):
                         column.append(value)
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]

@@ -1,25 +1,22 @@
-"""Token ids of whole texts by a public word-level BPE file, with a cache of words.
+"""Token ids of whole texts by a public word-level BPE file, each distinct word encoded once.
 
-The vocabulary drops white space, of any kind, and ends every word, so the ids of a text are
-those of its white-space-separated chunks in order. Each distinct chunk is encoded once per task
-and kept as packed little-endian 32-bit ids; the cache is emptied when it is full.
+The vocabulary folds case, drops white space, of any kind, and ends every word, so the ids of a
+text are those of its white-space-separated chunks in order. A worker keeps the ids of the chunks
+it has met in sorted arrays by the chunks' 64-bit hashes, some 30 bytes a chunk; texts are then
+looked up as whole columns.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
-
 import numpy as np
+import pyarrow as pa
+
+from prefixlake.llm.words import Texts
 
-CACHED_CHUNKS = 700_000  # about 140 MB
-CACHED_STEMS = 1_000_000  # about 200 MB
-_JOINED = 512  # letter-only words that one call of the tokenizer encodes together
-_CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
-_KEPT_MARKS = "\x1c\x1d\x1e\x1f"  # str.split() cuts at these, the vocabulary does not
-_ASCII_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
-_encoders: dict[int, Callable[[list[str]], list[bytes]]] = {}
+KNOWN_CHUNKS = 4_000_000  # about 120 MB; a full table starts anew
+_JOINED = 512  # chunks that one call of the tokenizer encodes together
+_FRESH = 100_000  # chunks learned before the arrays are merged
+_encoders: dict[int, Encoder] = {}
 
 
 def vocabulary_json(path: str) -> str:
@@ -28,66 +25,92 @@ def vocabulary_json(path: str) -> str:
         return file.read()
 
 
-def encoder(definition: str) -> Callable[[list[str]], list[bytes]]:
-    """A function from texts to their packed ids; one per worker process and definition."""
+def encoder(definition: str) -> Encoder:
+    """One encoder per worker process and definition."""
     key = hash(definition)
     if key not in _encoders:
-        _encoders[key] = _build(definition)
+        _encoders[key] = Encoder(definition)
     return _encoders[key]
 
 
-def _build(definition: str) -> Callable[[list[str]], list[bytes]]:
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_str(definition)
-    chunks: dict[str, bytes] = {}
-    stems: dict[str, bytes] = {}
-
-    def pack(ids: list[int]) -> bytes:
-        return np.array(ids, dtype="<u4").tobytes()
-
-    def learn_stems(new: set[str]) -> None:
-        plain = sorted(s for s in new if s.isalpha())
-        for first in range(0, len(plain), _JOINED):
-            group = plain[first : first + _JOINED]
-            starts = np.cumsum([0, *(len(s) + 1 for s in group)])
-            found = tokenizer.encode(" ".join(group), add_special_tokens=False)
-            owner = np.searchsorted(starts, [begin for begin, _ in found.offsets], side="right") - 1
+class _Known:
+    """Where the ids of known chunks are, by sorted hash."""
+
+    def __init__(self) -> None:
+        self.keys = np.zeros(0, dtype=np.uint64)
+        self.begin = np.zeros(0, dtype=np.int64)
+        self.length = np.zeros(0, dtype=np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 where it is not known."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def add(self, keys: np.ndarray, begin: np.ndarray, length: np.ndarray) -> None:
+        keys = np.concatenate([self.keys, keys])
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        self.begin = np.concatenate([self.begin, begin])[order]
+        self.length = np.concatenate([self.length, length.astype(np.int32)])[order]
+
+
+class Encoder:
+    def __init__(self, definition: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(definition)
+        self._empty()
+
+    def _empty(self) -> None:
+        self.known, self.fresh = _Known(), _Known()
+        self.pool, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
+
+    def _learn(self, keys: np.ndarray, chunks: list[str]) -> None:
+        """Chunks hold no ASCII white space, so encoding them joined by spaces is encoding each."""
+        begin, length = np.empty(len(chunks), dtype=np.int64), np.empty(len(chunks), dtype=np.int64)
+        for first in range(0, len(chunks), _JOINED):
+            group = chunks[first : first + _JOINED]
+            starts = np.cumsum([0, *(len(c) + 1 for c in group)])
+            found = self.tokenizer.encode(" ".join(group), add_special_tokens=False)
+            owner = np.searchsorted(starts, [at for at, _ in found.offsets], side="right") - 1
             cuts = np.searchsorted(owner, np.arange(len(group) + 1))
-            ids = np.array(found.ids, dtype="<u4")
-            for k, stem in enumerate(group):
-                stems[stem] = ids[cuts[k] : cuts[k + 1]].tobytes()
-        rest = sorted(s for s in new if not s.isalpha())
-        for stem, found in zip(rest, tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-            stems[stem] = pack(found.ids)
-
-    def parts(chunk: str) -> tuple[str, ...]:
-        """Pieces that the vocabulary's own splitting rule separates; case is folded by it anyway."""
-        if "<|" in chunk:
-            return (chunk,)
-        chunk = chunk.lower() if chunk.isascii() else chunk.translate(_ASCII_LOWER)
-        stem = chunk.rstrip(_MARKS)
-        if stem != chunk and stem.isalpha() and len(stem[-1].lower()) == 1:
-            return stem, chunk[len(stem) :]
-        return (chunk,)
-
-    def encode(texts: list[str]) -> list[bytes]:
-        found = [_CHUNK.findall(t) if any(c in t for c in _KEPT_MARKS) else t.split() for t in texts]
-        missing = set().union(*found).difference(chunks)
-        if missing:
-            if len(chunks) + len(missing) > CACHED_CHUNKS:
-                chunks.clear()
-                missing = set().union(*found)
-            cut = {chunk: parts(chunk) for chunk in missing}
-            wanted = {p for pieces in cut.values() for p in pieces}
-            new = wanted.difference(stems)
-            if len(stems) + len(new) > CACHED_STEMS:
-                stems.clear()
-                new = wanted
-            learn_stems(new)
-            for chunk, pieces in cut.items():
-                chunks[chunk] = stems[pieces[0]] if len(pieces) == 1 else stems[pieces[0]] + stems[pieces[1]]
-        get = chunks.__getitem__
-        return [b"".join(map(get, words)) for words in found]
-
-    return encode
+            ids = np.array(found.ids, dtype=np.uint32)
+            if self.used + len(ids) > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros(max(len(ids), len(self.pool) // 2), dtype=np.uint32)])
+            self.pool[self.used : self.used + len(ids)] = ids
+            begin[first : first + len(group)] = self.used + cuts[:-1]
+            length[first : first + len(group)] = np.diff(cuts)
+            self.used += len(ids)
+        self.fresh.add(keys, begin, length)
+        if len(self.fresh.keys) > _FRESH:
+            self.known.add(self.fresh.keys, self.fresh.begin, self.fresh.length)
+            self.fresh = _Known()
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts behind each other, and where each text begins; a null text has none."""
+        texts = Texts(column)
+        # the names of control tokens, told by their "<|", are the one thing whose case matters
+        control = bool(((texts.data[:-1] == 60) & (texts.data[1:] == 124)).any())
+        keys, first, word = np.unique(texts.word_hashes(lower=not control), return_index=True, return_inverse=True)
+        if len(self.known.keys) + len(self.fresh.keys) > KNOWN_CHUNKS:
+            self._empty()
+        missing = (self.known.find(keys) < 0) & (self.fresh.find(keys) < 0)
+        if missing.any():
+            spans = zip(texts.starts[first[missing]].tolist(), texts.ends[first[missing]].tolist(), strict=True)
+            self._learn(keys[missing], [texts.data[a:b].tobytes().decode() for a, b in spans])
+        old, new = self.known.find(keys), self.fresh.find(keys)
+        begin, length = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
+        for places, table in ((old, self.known), (new, self.fresh)):
+            here = places >= 0
+            begin[here], length[here] = table.begin[places[here]], table.length[places[here]]
+        lengths = length[word]
+        ends = np.cumsum(lengths)
+        at = np.repeat(begin[word] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+        return self.pool[at], np.concatenate([[0], ends])[texts.word_offsets]
+
+    def encode_closed(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, with one end id after every text."""
+        ids, offsets = self.encode(column)
+        return np.insert(ids, offsets[1:], end_id), offsets + np.arange(len(offsets))

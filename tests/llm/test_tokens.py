@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from public_tokenizers import path
 from tokenizers import Tokenizer
@@ -22,11 +23,14 @@ def ids():
 
 def test_cached_words_give_the_tokenizer_s_ids(spark, ids):
     texts = [r["text"] for r in documents(spark).collect()] + [
-        "It's don't 'S x's's <|endoftext|>X <|STARTOFTEXT|>", "É é İ. İstanbul ΣΣ.", "\x1c a\x85b ǆ. ŉ.",
+        "It's don't 'S x's's <|endoftext|>X <|STARTOFTEXT|> <|startoftext|>", "É é İ. İstanbul ΣΣ.", "\x1c a\x85b ǆ. ŉ.",
         " ́a. Ａ.", "12.5, a1. $$$", "가. 가."]
-    found = encoder(vocabulary_json(VOCABULARY))(texts)
-    for text, packed in zip(texts, found, strict=True):
-        assert np.frombuffer(packed, "<u4").tolist() == ids(text)[:-1]
+    known = encoder(vocabulary_json(VOCABULARY))
+    for _ in range(2):
+        found, offsets = known.encode(pa.array(texts))
+        for text, a, b in zip(texts, offsets, offsets[1:], strict=False):
+            assert found[a:b].tolist() == ids(text)[:-1]
+    assert known.encode(pa.array([None, ""]))[1].tolist() == [0, 0, 0]
 
 
 def test_best_fit_is_the_tightest_window():
@@ -94,7 +98,7 @@ def test_matrix_rebuilds_every_document(spark, ids, made, monkeypatch):
     rows = matrix.token_matrix(docs, VOCABULARY).collect()
     assert len({r["sequence_id"] for r in rows}) == len(rows)
     for r in rows:
-        values, positions = np.frombuffer(r["ids"], "<u4"), np.frombuffer(r["position_ids"], "<u4")
+        values, positions = np.frombuffer(r["ids"], "<u2"), np.frombuffer(r["position_ids"], "<u2")
         assert len(values) == len(positions) == 4096 and r["segment_ends"][-1] == r["n_tokens"] <= 4096
         assert not values[r["n_tokens"] :].any()
         for segment, a, b in zip(r["segments"], r["segment_ends"], r["segment_ends"][1:], strict=False):
