@@ -29,7 +29,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -41,7 +41,7 @@ from prefixlake.session import materialize
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 10, 3  # at similarity 0.8 a pair shares a band with probability 0.999
-CENTERS, MORE = 8, 4
+CENTERS, MORE, MOST_CENTERS = 8, 4, 128  # centers of a bucket in the first round, growth, most in any round
 COMMON_SHARE = 3  # shingles in up to 1/3 of the documents weigh 1
 _SLACK = 1e-9
 _SAMPLED_AT_ONCE = 1 << 16  # shingles
@@ -236,6 +236,13 @@ def _viable(members: DataFrame) -> DataFrame:
         "near-open")
 
 
+def _reachable(center: Column) -> Column:
+    """Whether a member (columns row, total, shared) can be similar enough to this other node."""
+    least = F.least(F.col("shared"), center["c_shared"])
+    return (center["center"] != F.col("row")) & (
+        least >= (SIMILARITY - _SLACK) * (F.col("total") + center["c_total"] - least))
+
+
 def _links(sets: DataFrame) -> DataFrame:
     """Verified links between nodes (row, total, shared, bands, keys, weights), found by shared bands."""
     placed = sets.select("row", "total", "shared", F.posexplode("bands").alias("band", "value"))
@@ -252,11 +259,13 @@ def _links(sets: DataFrame) -> DataFrame:
             members.withColumn("place", F.row_number().over(order)).where(F.col("place") <= centers)
             .select("band", "value", F.col("row").alias("center"), F.col("total").alias("c_total"), F.col("shared").alias("c_shared")),
             "near-centers")
-        least = F.least("shared", "c_shared")
-        pairs = (
-            members.join(chosen, ["band", "value"]).where("row <> center")
-            .where(least >= (SIMILARITY - _SLACK) * (F.col("total") + F.col("c_total") - least))
-            .select(F.col("row").alias("a"), F.col("center").alias("b")).distinct())
+        buckets = chosen.groupBy("band", "value").agg(
+            F.collect_list(F.struct("center", "c_total", "c_shared")).alias("centers"))
+        offered = (  # the same centers come from several bands: a row per member, not per band and center
+            members.join(buckets, ["band", "value"]).groupBy("row", "total", "shared")
+            .agg(F.array_distinct(F.flatten(F.collect_list("centers"))).alias("centers")))
+        pairs = offered.select(F.col("row").alias("a"), F.explode(F.filter("centers", _reachable)).alias("c")).select(
+            "a", F.col("c.center").alias("b"))
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "near-pairs")
@@ -267,7 +276,7 @@ def _links(sets: DataFrame) -> DataFrame:
         linked = links.join(chosen, F.col("b") == F.col("center")).select("band", "value", F.col("a").alias("row"))
         done = linked.unionByName(chosen.select("band", "value", F.col("center").alias("row"))).distinct()
         members = _viable(materialize(members.join(done, ["band", "value", "row"], "left_anti"), "near-open"))
-        centers *= MORE
+        centers = min(centers * MORE, MOST_CENTERS)
     return links if links is not None else sets.sparkSession.createDataFrame([], "a long, b long")
 
 
