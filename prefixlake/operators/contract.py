@@ -24,10 +24,6 @@ from prefixlake.session import materialize
 from prefixlake.sources.files import BatchRejected
 
 # Batch and warning limits.
-BATCH_ROWS = 250_000
-LINE_BYTES = 64 * 1024
-WARNING_LIMIT = 1000
-WARNING_BYTES = 256 * 1024
 WARNING_CODE = r"\A[A-Z][A-Z0-9_]{0,79}\z"
 PRIVACY_LENGTH = 37
 
@@ -258,8 +254,14 @@ def registry_adapter(
     return records, warnings
 
 
-def adapter_contract(before: DataFrame, after: DataFrame, warnings: DataFrame) -> DataFrame:
-    """One row per broken rule of an adapter: no expansion, unique and known locators, few warnings."""
+def adapter_contract(
+    before: DataFrame, after: DataFrame, warnings: DataFrame,
+    max_warnings: int | None = None, max_warning_bytes: int | None = None,
+) -> DataFrame:
+    """One row per broken rule of an adapter: no expansion, unique and known locators, well-formed warnings.
+
+    The number and size of warnings are limited only where the caller asks for it.
+    """
     counts = before.agg(F.count(F.lit(1)).alias("rows_in")).crossJoin(
         after.agg(F.count(F.lit(1)).alias("rows_out"))
     )
@@ -279,18 +281,24 @@ def adapter_contract(before: DataFrame, after: DataFrame, warnings: DataFrame) -
         F.count_distinct("code", "assignment").alias("n"),
         F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*warnings.columns)))), F.lit(0)).alias("bytes"),
         F.count_if(~F.coalesce(F.col("code").rlike(WARNING_CODE), F.lit(False))).alias("odd"),
-    ).select(
+    )
+    broken = F.col("odd") > 0
+    if max_warnings is not None:
+        broken = broken | (F.col("n") > max_warnings)
+    if max_warning_bytes is not None:
+        broken = broken | (F.col("bytes") > max_warning_bytes)
+    warned = warned.select(
         F.lit("ADAPTER_WARNINGS_INVALID").alias("code"),
-        F.when((F.col("n") > WARNING_LIMIT) | (F.col("bytes") > WARNING_BYTES) | (F.col("odd") > 0), F.col("n"))
+        F.when(broken, F.col("n"))
         .otherwise(F.lit(0)).alias("rows"),
     )
     return expansion.unionByName(locators).unionByName(warned).filter(F.col("rows") > 0)
 
 
 def batch_limits(
-    df: DataFrame, text_columns: list[str], max_rows: int = BATCH_ROWS, max_line_bytes: int = LINE_BYTES
+    df: DataFrame, text_columns: list[str], max_rows: int | None = None, max_line_bytes: int | None = None
 ) -> DataFrame:
-    """One row: rows, widest row, and the first limit broken (NULL when within limits)."""
+    """One row: rows, widest row, and the first rule broken (NULL when none). No limit is set by default."""
     width = F.lit(0)
     for name in text_columns:
         width = width + F.coalesce(F.octet_length(name), F.lit(0))
@@ -299,7 +307,7 @@ def batch_limits(
     )
     return measured.withColumn(
         "code",
-        F.when(F.col("widest_row") > max_line_bytes, "LINE_TOO_LARGE")
-        .when(F.col("row_count") > max_rows, "TOO_MANY_RECORDS")
+        F.when(F.col("widest_row") > F.lit(max_line_bytes).cast("long"), "LINE_TOO_LARGE")
+        .when(F.col("row_count") > F.lit(max_rows).cast("long"), "TOO_MANY_RECORDS")
         .when(F.col("row_count") == 0, "EMPTY_ARTIFACT"),
     )

@@ -16,6 +16,11 @@ def _code(condition: Column, name: str) -> Column:
     return F.when(F.coalesce(condition, F.lit(False)), name)
 
 
+def _unless_known(condition: Column) -> Column:
+    """The condition, true where it cannot be told."""
+    return F.coalesce(condition, F.lit(True))
+
+
 def _rights_missing() -> tuple[Column, Column]:
     """(owner-created rights not asserted, third-party rights not approved with a review)."""
     owner = F.coalesce(F.col("rights_basis") == "owner_created", F.lit(False))
@@ -27,19 +32,22 @@ def _rights_missing() -> tuple[Column, Column]:
 
 
 def rights_gate(sources: DataFrame, as_of: datetime | str) -> DataFrame:
-    """Add ``blocking_code``: why a source may not publish, NULL when it may."""
+    """Add ``blocking_code``: why a source may not publish, NULL when it may.
+
+    A setting that is NULL counts as the one that blocks.
+    """
     owner_missing, review_missing = _rights_missing()
-    production = F.col("publish_mode") == "production"
+    production = _unless_known(F.col("publish_mode") == "production")
     checks = [
-        _code(F.col("source_class") == "reference", "REFERENCE_CANNOT_PUBLISH"),
+        _code(_unless_known(F.col("source_class") == "reference"), "REFERENCE_CANNOT_PUBLISH"),
     ]
     if "snapshot_complete" in sources.columns:
         checks.append(
-            _code((F.col("snapshot_kind") == "full_snapshot") & ~F.col("snapshot_complete"),
+            _code(_unless_known(F.col("snapshot_kind") == "full_snapshot") & _unless_known(~F.col("snapshot_complete")),
                   "INCOMPLETE_PRODUCTION_SNAPSHOT")
         )
     checks += [
-        _code(F.col("distribution_scope") != "api_output", "RIGHTS_SCOPE_BLOCKED"),
+        _code(~F.col("distribution_scope").eqNullSafe("api_output"), "RIGHTS_SCOPE_BLOCKED"),
         _code(owner_missing, "RIGHTS_STATUS_BLOCKED"),
         _code(review_missing, "RIGHTS_REVIEW_REQUIRED"),
         _code(F.col("rights_review_expires_at") <= instant(as_of), "RIGHTS_REVIEW_EXPIRED"),
@@ -65,9 +73,11 @@ def build_input_gate(inputs: DataFrame, as_of: datetime | str) -> DataFrame:
     marked = skew_join(inputs, chosen, ["slug"], "left")
     error = first_error(
         _code(F.col("_chosen") > 1, "DUPLICATE_SOURCE_RELEASE"),
-        _code(F.col("status") != "valid", "SOURCE_RELEASE_NOT_VALID"),
-        _code((F.col("publish_mode") != "production") | (F.col("source_class") == "reference"), "SOURCE_NOT_PRODUCTION"),
-        _code(F.col("distribution_scope") != "api_output", "RIGHTS_SCOPE_BLOCKED"),
+        _code(~F.col("status").eqNullSafe("valid"), "SOURCE_RELEASE_NOT_VALID"),
+        _code(
+            ~F.col("publish_mode").eqNullSafe("production") | _unless_known(F.col("source_class") == "reference"),
+            "SOURCE_NOT_PRODUCTION"),
+        _code(~F.col("distribution_scope").eqNullSafe("api_output"), "RIGHTS_SCOPE_BLOCKED"),
         _code(owner_missing, "RIGHTS_STATUS_BLOCKED"),
         _code(review_missing, "RIGHTS_REVIEW_REQUIRED"),
         _code(F.col("rights_review_expires_at") <= instant(as_of), "RIGHTS_REVIEW_EXPIRED"),

@@ -1,16 +1,13 @@
 """Equi-joins that hold up when one key owns a large share of the rows.
 
-A side is broadcast only after its size was measured. Beyond the bound, keys
-that own more than one part in ``HOT_PARTS`` of the left rows are split off.
-There can be at most ``HOT_PARTS`` such keys, so their right-hand rows are a
-bounded broadcast; everything else is an ordinary shuffle join, whose largest
-task is bounded too. No row is dropped or capped on either path.
+A side is broadcast only after its size was measured. Beyond the bound the join is
+an ordinary shuffle join: every side occurs once in the plan, and adaptive execution,
+which sessions of this package turn on, splits the left rows of a hot key by bytes
+over several tasks. No row is dropped or capped on either path.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +15,6 @@ from pyspark.sql import types as T
 from prefixlake.session import materialize
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-HOT_PARTS = 1000
 
 _FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.NullType)
 
@@ -46,24 +42,12 @@ def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:
     return measured_bytes(df) <= (BROADCAST_BYTES if limit is None else limit)
 
 
-def _any_null(columns: list[str]) -> Column:
-    return reduce(lambda left, right: left | right, [F.col(name).isNull() for name in columns])
-
-
-def hot_keys(df: DataFrame, on: list[str], parts: int = HOT_PARTS) -> DataFrame:
-    """Keys that own more than ``1 / parts`` of the rows; by counting, at most ``parts`` of them."""
-    total = df.count()
-    counted = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    return counted.filter(F.col("_rows") * F.lit(parts) > F.lit(total)).select(*on)
-
-
 def skew_join(
     left: DataFrame,
     right: DataFrame,
     on: list[str],
     how: str = "inner",
     limit: int | None = None,
-    parts: int = HOT_PARTS,
     small: bool | None = None,
     store: str | None = None,
 ) -> DataFrame:
@@ -81,10 +65,4 @@ def skew_join(
         small = fits_broadcast(right, limit)
     if small:
         return left.join(F.broadcast(right), on, how)
-    hot = hot_keys(left, on, parts)
-    marked = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), on, "left")
-    apart = F.coalesce(F.col("_hot"), F.lit(False)) | _any_null(on)
-    hot_right = right.join(F.broadcast(hot), on, "left_semi")
-    split = marked.filter(apart).drop("_hot").join(F.broadcast(hot_right), on, how)
-    rest = marked.filter(~apart).drop("_hot").join(right, on, how)
-    return split.unionByName(rest)
+    return left.join(right, on, how)

@@ -11,7 +11,6 @@ from prefixlake.operators.joins import skew_join
 
 # Assignments shown per organization, and rows read per wanted result.
 ASSIGNMENT_LIMIT = 100
-ROWS_PER_RESULT = 10
 
 
 def identities_from_records(records: DataFrame) -> DataFrame:
@@ -81,23 +80,23 @@ def search_organizations(
 ) -> DataFrame:
     """Identity rows that answer each search term, with ``key_rank`` and ``truncated``.
 
-    All terms are tested in one scan of the identities, without a join. Per term the first
-    ``limit * 10`` rows by source rank and name are read, and the first ``limit`` distinct
-    organizations among them are kept. Remaining ties follow key, scheme and identifier.
+    All terms are tested in one scan of the identities, without a join. Per term organizations
+    are ranked by their first row in the order of source rank, name, key, scheme and
+    identifier; every matching row of the first ``limit`` is kept, and ``truncated`` says that
+    more organizations match. An organization with many rows hides no other.
     """
     rows = identities if scheme is None else identities.filter(F.col("scheme") == scheme)
     hits = F.array_compact(F.array(*[F.when(_matches(term), F.lit(term)) for term in terms]))
     matched = rows.withColumn("term", F.explode(hits)).withColumn("_rank", identity_source_rank("source_slug"))
-    by_term = Window.partitionBy("term")
-    order = ["_rank", "organization_name", "organization_key", "scheme", "identifier"]
-    read = (
-        matched.withColumn("_row", F.row_number().over(by_term.orderBy(*order)))
-        .filter(F.col("_row") <= limit * ROWS_PER_RESULT)
-    )
-    first = read.withColumn("_first", F.min("_row").over(Window.partitionBy("term", "organization_key")))
-    ranked = first.withColumn("key_rank", F.dense_rank().over(by_term.orderBy("_first")))
-    ranked = ranked.withColumn("truncated", F.max("key_rank").over(by_term) > limit)
-    return ranked.filter(F.col("key_rank") <= limit).drop("_rank", "_row", "_first")
+    first = F.min(F.struct("_rank", "organization_name", "organization_key", "scheme", "identifier"))
+    keys = matched.groupBy("term", "organization_key").agg(first.alias("_first"))
+    numbered = keys.withColumn("key_rank", F.row_number().over(Window.partitionBy("term").orderBy("_first")))
+    best = numbered.filter(F.col("key_rank") <= limit + 1)
+    more = best.groupBy("term").agg((F.max("key_rank") > limit).alias("truncated"))
+    # at most limit + 1 keys per term, and as many terms as the caller lists
+    chosen = best.filter(F.col("key_rank") <= limit).join(more, "term").select("term", "organization_key", "key_rank", "truncated")
+    return matched.join(chosen, ["term", "organization_key"]).select(
+        *rows.columns, "term", "key_rank", "truncated")
 
 
 def organization_names(identities: DataFrame) -> DataFrame:

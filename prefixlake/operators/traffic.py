@@ -112,9 +112,13 @@ def exact_percentiles(df: DataFrame, col: str, fractions: list[float], finish: i
     driver. Values are never sorted or gathered as a whole, however often one repeats.
     """
     values = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    whole = values.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    infinite = F.isnan("v") | (F.abs("v") == F.lit(float("inf")))
+    whole = values.agg(
+        F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count_if(infinite).alias("odd")).first()
     if not whole["n"]:
         raise ValueError("percentiles need at least one value")
+    if whole["odd"]:
+        raise ValueError(f"percentiles need finite values; {whole['odd']} are not")
     found: dict[float, float] = {}
     # Per fraction: lower and upper value of the interval, and the wanted place inside it.
     opened = {f: (whole["lo"], whole["hi"], max(0, _ceil(f, whole["n"]) - 1), whole["n"]) for f in fractions}
@@ -131,7 +135,11 @@ def exact_percentiles(df: DataFrame, col: str, fractions: list[float], finish: i
         for f, (lo, hi, place, _) in list(opened.items()):
             for part_lo, part_hi, rows in counted[lo, hi]:
                 if place < rows:
-                    opened[f] = (part_lo, part_hi, place, rows)
+                    if (part_lo, part_hi) == (lo, hi):  # two neighbouring values that no part can separate
+                        found[f] = _at_place(values, lo, hi, place)
+                        del opened[f]
+                    else:
+                        opened[f] = (part_lo, part_hi, place, rows)
                     break
                 place -= rows
     return found
@@ -147,7 +155,8 @@ def _count_parts(values: DataFrame, intervals: list[tuple[float, float]]) -> dic
     """Count, least and greatest value per part of each interval; a few thousand rows in all."""
     parts = F.lit(None).cast("bigint")
     for i, (lo, hi) in enumerate(intervals):
-        step = (F.col("v") - F.lit(lo)) / F.lit(hi - lo) * F.lit(BUCKETS - 1)
+        half = hi / 2 - lo / 2  # the range itself may be wider than a double
+        step = (F.col("v") / 2 - F.lit(lo / 2)) / F.lit(half) * F.lit(BUCKETS - 1) if half else F.lit(0.0)
         inside = (F.col("v") >= F.lit(lo)) & (F.col("v") <= F.lit(hi))
         parts = F.when(inside, F.lit(i * BUCKETS) + F.floor(step)).otherwise(parts)
     rows = (

@@ -60,7 +60,7 @@ def import_release(
     snapshot_kind: str = "full_snapshot",
     max_added_percent: float | None = None,
     max_removed_percent: float | None = None,
-    max_rows: int = contract.BATCH_ROWS,
+    max_rows: int | None = None,
 ) -> dict:
     """Turn a raw batch into a stored release, or raise with the rule it breaks.
 

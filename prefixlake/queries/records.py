@@ -260,7 +260,7 @@ union all select 'ADAPTER_WARNINGS_INVALID', count(distinct assignment) from a w
 def adapter_contract(spark, sf_dir):
     before = fixture(spark, sf_dir, _REGISTRY_TEXT)
     warnings = before.select(F.lit("ROW_CHANGED").alias("code"), "assignment", "locator")
-    return contract.adapter_contract(before, fixture(spark, sf_dir, _ADAPTED), warnings)
+    return contract.adapter_contract(before, fixture(spark, sf_dir, _ADAPTED), warnings, max_warnings=1000, max_warning_bytes=256 * 1024)
 
 
 @query(
@@ -272,4 +272,4 @@ select count(*) row_count, cast(max(octet_length(encode(text)) + octet_length(en
 )
 def batch_limits(spark, sf_dir):
     df = fixture(spark, sf_dir, "select text, lang, source from documents")
-    return contract.batch_limits(df, ["text", "lang", "source"])
+    return contract.batch_limits(df, ["text", "lang", "source"], max_rows=250_000, max_line_bytes=64 * 1024)

@@ -214,7 +214,7 @@ with terms as (select unnest({_TERMS!r}) term),
  hits as (select t.term, i.*, row_number() over (partition by t.term order by case source_slug when 'gleif-lei-identities' then 1 when 'sec-edgar-identities' then 2 when 'companies-house-identities' then 3 else 4 end,
    organization_name, organization_key, scheme, identifier) rn from terms t join fx_identities i on contains(lower(i.organization_name), t.term) or contains(lower(i.alias_one), t.term) or contains(lower(i.alias_two), t.term)
    or contains(lower(i.registered_one), t.term) or contains(lower(i.registered_two), t.term)),
- "read" as (select *, min(rn) over (partition by term, organization_key) first_row from hits where rn <= 100),
+ "read" as (select *, min(rn) over (partition by term, organization_key) first_row from hits),
  ranked as (select *, dense_rank() over (partition by term order by first_row) key_rank from "read")
 select term, organization_key, organization_name, scheme, identifier, cast(key_rank as int) key_rank, max(key_rank) over (partition by term) > 10 truncated from ranked qualify key_rank <= 10""",
 )

@@ -21,7 +21,6 @@ VIRTUAL_MINIMUM = 10
 PRIVACY_LENGTH = 37
 
 # Pages with more than one part in this many of all hints are joined by broadcast.
-HOT_PAGES = 50
 
 # Text formats of the lists.
 WELLKNOWN_LINE = r"^([0-9A-Fa-f]{2}(?:-[0-9A-Fa-f]{2}){2,5})(?:/([0-9]{1,2}))?\s+(\S.*)$"
@@ -245,7 +244,7 @@ def documented_hints(hints: DataFrame, pages: DataFrame) -> tuple[DataFrame, Dat
     if fits_broadcast(hints):
         found = texts.join(F.broadcast(hints), "page_id")
     else:
-        found = skew_join(hints, texts, ["page_id"], "inner", parts=HOT_PAGES, small=False)
+        found = skew_join(hints, texts, ["page_id"], "inner", small=False)
     present = F.exists("needles", lambda needle: F.contains(F.lower("html"), F.lower(needle)))
     documented = found.filter(present).select(*hints.columns)
     missing = skew_join(hints, documented.select("hint_id"), ["hint_id"], "left_anti")

@@ -66,11 +66,17 @@ def parse_jsonl(lines: DataFrame, col: str = "value") -> DataFrame:
         kind = F.schema_of_variant(F.try_variant_get("_object", f"$.{name}", "variant"))
         return F.coalesce(~kind.isin("STRING", "VOID"), F.lit(False))
 
+    def is_null(name: str) -> Column:
+        kind = F.schema_of_variant(F.try_variant_get("_object", f"$.{name}", "variant"))
+        return F.coalesce(kind == "VOID", F.lit(False))
+
     known = F.array(*[F.lit(name) for name in RECORD_FIELDS])
     extra = F.array_except(F.json_object_keys(line), known)
     bad_type = F.lit(False)
     for name in plain_text:
         bad_type = bad_type | wrong_type(name)
+    for name in ("recordKind", "private", "claimValue"):  # null is not the same as absent here
+        bad_type = bad_type | is_null(name)
     rows = lines.filter(F.trim(line) != "").withColumn("_object", parsed)
     error = (
         F.when(~is_object, "INVALID_JSONL")

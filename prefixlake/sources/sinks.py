@@ -16,9 +16,13 @@ def append_partitioned(df: DataFrame, path: str, partition: str) -> None:
     df.write.mode("append").partitionBy(partition).parquet(path)
 
 
-def append_missing(df: DataFrame, existing: DataFrame, on: list[str]) -> DataFrame:
-    """The rows to append: first row per key, and only keys that are not stored yet."""
-    return skew_join(df.dropDuplicates(on), existing, on, "left_anti")
+def append_missing(df: DataFrame, existing: DataFrame, on: list[str], order: list[str] | None = None) -> DataFrame:
+    """The rows to append: the least row per key by ``order`` and then all columns, and only keys not stored yet."""
+    rest = [name for name in df.columns if name not in on]
+    rank = F.struct(*(order or []), *rest)
+    first = df.groupBy(*on).agg(F.min_by(F.struct(*rest), rank).alias("_first")) if rest else df.select(*on).distinct()
+    rows = first.select(*[F.col(f"_first.{n}").alias(n) if n in rest else F.col(n) for n in df.columns])
+    return skew_join(rows, existing, on, "left_anti")
 
 
 def distinct_records(df: DataFrame) -> DataFrame:

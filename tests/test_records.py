@@ -1,6 +1,8 @@
 import json
 import random
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,3 +243,47 @@ def test_batch_limits(spark):
     assert contract.batch_limits(df, ["prefix", "organizationName"], max_line_bytes=5).first().code == "LINE_TOO_LARGE"
     assert contract.batch_limits(df.limit(0), ["prefix"]).first().code == "EMPTY_ARTIFACT"
     assert contract.batch_limits(df, ["prefix"]).first().code is None
+
+
+def test_settings_that_are_null_block(spark):
+    from prefixlake.operators.gates import build_input_gate, rights_gate
+
+    kind = (
+        "slug string, publish_mode string, source_class string, snapshot_kind string, snapshot_complete boolean, distribution_scope string, "
+        "rights_basis string, rights_status string, rights_review_reference string, rights_review_expires_at timestamp, status string, "
+        "max_acceptable_age_seconds long, fetched_at timestamp")
+    good = dict(slug="s", publish_mode="production", source_class="official", snapshot_kind="full_snapshot", snapshot_complete=True,
+                distribution_scope="api_output", rights_basis="owner_created", rights_status="approved", rights_review_reference="r",
+                rights_review_expires_at=None, status="valid", max_acceptable_age_seconds=0, fetched_at=None)
+    names = [part.split()[0] for part in kind.split(", ")]
+    missing = ["publish_mode", "source_class", "snapshot_complete", "distribution_scope", "rights_status", "status"]
+    rows = [{**good, "slug": "fine"}] + [{**good, "slug": name, name: None} for name in missing]
+    sources = spark.createDataFrame([tuple(r[n] for n in names) for r in rows], kind)
+    blocked = {r.slug: r.blocking_code for r in rights_gate(sources, "2024-01-15 00:00:00").collect()}
+    assert blocked["fine"] is None and blocked["publish_mode"] is None  # nothing else is wrong with it
+    assert all(blocked[n] for n in ("source_class", "snapshot_complete", "distribution_scope", "rights_status"))
+    blocked = {r.slug: r.blocking_code for r in build_input_gate(sources, "2024-01-15 00:00:00").collect()}
+    assert blocked["fine"] is None
+    assert all(blocked[n] for n in ("publish_mode", "source_class", "distribution_scope", "rights_status", "status"))
+
+
+def test_json_null_is_not_absent(spark):
+    from prefixlake.sources.files import parse_jsonl
+
+    lines = ['{"recordKind": "claim"}', '{"recordKind": null}', '{"private": null}', '{"claimValue": null}']
+    errors = {r.value: r.line_error for r in parse_jsonl(spark.createDataFrame([(x,) for x in lines], "value string")).collect()}
+    assert errors[lines[0]] is None and all(errors[x] == "INVALID_FIELD" for x in lines[1:])
+
+
+def test_tasks_find_the_package_from_another_folder(tmp_path):
+    import subprocess
+    import sys
+
+    code = (
+        "import sys; sys.path.insert(0, %r)\n"
+        "from prefixlake.session import get_session\n"
+        "spark = get_session('elsewhere', 'local[1]', **{'spark.ui.enabled': 'false'})\n"
+        "from prefixlake.queries import QUERIES\n"
+        "print('rows', QUERIES['clean_text'](spark, '/root/testdata/sf0.001').count())\n" % str(Path(__file__).parent.parent))
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "rows" in done.stdout, done.stderr[-2000:]

@@ -143,3 +143,25 @@ def test_snapshot_diff_cases(spark):
     assert (first.status, first.added_count, first.added_percent, first.code) == ("initial", 3, 0.0, None)
     delta = diff.snapshot_diff(now, before, 1.0, 1.0, snapshot_kind="delta").first()
     assert (delta.status, delta.added_count, delta.removed_count, delta.current_count, delta.code) == ("not_applicable", 0, 0, 3, None)
+
+
+def test_percentiles_refuse_what_has_no_place(spark):
+    from prefixlake.operators.traffic import exact_percentiles
+
+    for odd in (float("inf"), float("-inf"), float("nan")):
+        with pytest.raises(ValueError):
+            exact_percentiles(spark.createDataFrame([(1.0,), (odd,)] * 20, "v double"), "v", [0.5], finish=3)
+    wide = spark.createDataFrame([(-1.7e308,), (1.7e308,), (0.0,)] * 20, "v double")
+    assert exact_percentiles(wide, "v", [0.1, 0.5, 0.9], finish=3) == {0.1: -1.7e308, 0.5: 0.0, 0.9: 1.7e308}
+
+
+def test_an_organization_with_many_rows_hides_no_other(spark):
+    from prefixlake.operators.orgs import search_organizations
+
+    rows = [("a", "Acme", "s", str(k)) for k in range(500)] + [(f"b{k}", "Acme B", "s", "1") for k in range(12)]
+    kind = "organization_key string, organization_name string, scheme string, identifier string"
+    identities = spark.createDataFrame(rows, kind).selectExpr(
+        "*", "'x' source_slug", "cast(array() as array<string>) aliases", "cast(array() as array<string>) registered_names")
+    found = search_organizations(identities, ["acme"], limit=10).collect()
+    assert len({r.organization_key for r in found}) == 10 and all(r.truncated for r in found)
+    assert sum(r.organization_key == "a" for r in found) == 500
