@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from prefixlake.llm.words import Texts, text_groups
 
-CHUNK_WORDS = 1_500_000
+CHUNK_WORDS = 1_000_000
 GROUP_BYTES = 2 << 20
 CHUNK_DOCS = 400_000
 PART_BYTES = 6 << 20  # text for which one more part is made

@@ -13,7 +13,7 @@ import pyarrow as pa
 
 from prefixlake.llm.words import Texts
 
-KNOWN_CHUNKS = 4_000_000  # about 120 MB; a full table starts anew
+KNOWN_CHUNKS = 1_000_000  # about 30 MB; a full table starts anew
 _JOINED = 512  # chunks that one call of the tokenizer encodes together
 _FRESH = 100_000  # chunks learned before the arrays are merged
 _encoders: dict[int, Encoder] = {}
