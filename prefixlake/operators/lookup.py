@@ -6,6 +6,7 @@ of at most 48 (bits, length) pairs, and an official block is one of three.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from datetime import datetime
 
@@ -22,6 +23,8 @@ from prefixlake.session import materialize
 
 # Official block lengths, longest first.
 OFFICIAL_LENGTHS = (36, 28, 24)
+# Bits of the first octet that mark local and group addresses.
+LOCAL_BIT, GROUP_BIT = 41, 40
 # How many matches a lookup shows per layer, and evidence rows per assignment.
 CLAIM_LIMIT = 20
 INSIGHT_LIMIT = 50
@@ -157,34 +160,52 @@ def enrich_claims(
     address has one prefix per length, so length and place within the prefix already give
     the full order, and addresses are ranked by one small number instead of text columns.
     """
+    return _ranked_layers(macs, claims, {"claims": (kinds, k)}, by_type, mac, limit).drop("_layer", "_k")
+
+
+def _ranked_layers(
+    macs: DataFrame,
+    claims: DataFrame,
+    layers: dict[str, tuple[tuple[str, ...], int]],
+    by_type: bool,
+    mac: str,
+    limit: int | None,
+) -> DataFrame:
+    """Best claims of several layers in one pass. ``layers`` gives each layer's claim kinds,
+    which no two layers share, and how many claims it shows; column ``_layer`` names the layer."""
+
+    def per_layer(value: Callable[[str], Column]) -> Column:
+        return F.coalesce(*[F.when(F.col("claim_type").isin(*kinds), value(name)) for name, (kinds, _) in layers.items()])
+
     order = _claim_order(by_type)
-    wanted = claims.filter(F.col("claim_type").isin(*kinds)).withColumn(
-        "_key", prefix_key("prefix_bits", "prefix_length")
-    )
+    wanted = claims.withColumn("_layer", per_layer(F.lit)).filter(F.col("_layer").isNotNull())
+    # One pass over the stored claims gives a bound of their size and the at most 48 lengths to probe.
+    measured = wanted.agg(
+        F.sum(row_bytes(wanted).cast("bigint")).alias("bytes"), F.collect_set("prefix_length").alias("lengths")
+    ).first()
+    lengths, small = measured["lengths"], (measured["bytes"] or 0) <= (BROADCAST_BYTES if limit is None else limit)
+    keyed = wanted.withColumns({
+        "_key": prefix_key("prefix_bits", "prefix_length"), "_k": per_layer(lambda name: F.lit(layers[name][1])),
+    })
     best = (
-        wanted.withColumn("_rank", F.row_number().over(Window.partitionBy("_key").orderBy(*order)))
-        .filter(F.col("_rank") <= k + 1)
-        .withColumn("_order", (F.lit(ADDRESS_BITS) - F.col("prefix_length")) * F.lit(k + 2) + F.col("_rank"))
+        keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("_key", "_layer").orderBy(*order)))
+        .filter(F.col("_rank") <= F.col("_k") + 1)
+        .withColumn("_order", (F.lit(ADDRESS_BITS) - F.col("prefix_length")) * (F.col("_k") + 2) + F.col("_rank"))
         .drop("_rank")
     )
-    # One pass gives the size to check and the at most 48 lengths that have to be probed.
-    measured = best.agg(
-        F.sum(row_bytes(best).cast("bigint")).alias("bytes"), F.collect_set("prefix_length").alias("lengths")
-    ).first()
-    lengths, small = measured["lengths"], (measured["bytes"] or 0) <= (BROADCAST_BYTES if limit is None else limit)
     addresses = macs.select(mac).filter((F.col(mac) >= 0) & (F.col(mac) < ADDRESS_LIMIT)).distinct()
     probes = F.array(*[F.lit(length) for length in sorted(lengths)]).cast("array<int>")
     candidates = addresses.select(mac, F.explode(probes).alias("_length")).select(
         mac, prefix_key(shift_right(mac, F.lit(ADDRESS_BITS) - F.col("_length")), "_length").alias("_key")
     )
     matched = skew_join(candidates, best, ["_key"], "inner", small=small).drop("_key")
-    per_address = Window.partitionBy(mac)
+    per_address = Window.partitionBy(mac, "_layer")
     return (
         matched.withColumn("claim_rank", F.row_number().over(per_address.orderBy("_order")))
         .drop("_order")
-        .filter(F.col("claim_rank") <= k + 1)
-        .withColumn("truncated", F.max("claim_rank").over(per_address) > k)
-        .filter(F.col("claim_rank") <= k)
+        .filter(F.col("claim_rank") <= F.col("_k") + 1)
+        .withColumn("truncated", F.max("claim_rank").over(per_address) > F.col("_k"))
+        .filter(F.col("claim_rank") <= F.col("_k"))
     )
 
 
@@ -201,13 +222,14 @@ def _source(slug: str, release: str) -> Column:
     )
 
 
-def _layer(found: DataFrame, mac: str, name: str, fields: list[Column]) -> DataFrame:
-    """At most k structs per address, best first."""
-    listed = F.array_sort(F.collect_list(F.struct("claim_rank", F.struct(*fields).alias("item"))))
-    return found.groupBy(mac).agg(
+def _nested(name: str, fields: list[Column]) -> list[Column]:
+    """At most k structs per address and layer, best first, and whether there were more."""
+    here = F.col("_layer") == name
+    listed = F.array_sort(F.collect_list(F.when(here, F.struct("claim_rank", F.struct(*fields).alias("item")))))
+    return [
         F.transform(listed, lambda entry: entry["item"]).alias(name),
-        F.max("truncated").alias(f"{name}_truncated"),
-    )
+        F.coalesce(F.max(F.when(here, F.col("truncated"))), F.lit(False)).alias(f"{name}_truncated"),
+    ]
 
 
 def lookup(
@@ -217,18 +239,26 @@ def lookup(
     mode: str = "enriched",
     mac: str = "mac_value",
     limit: int | None = None,
+    claim_limit: int = CLAIM_LIMIT,
+    insight_limit: int = INSIGHT_LIMIT,
 ) -> DataFrame:
-    """One nested answer per distinct valid address. ``official`` mode builds no claim plan."""
+    """One nested answer per distinct valid address. ``official`` mode builds no claim plan.
+
+    ``claim_limit`` and ``insight_limit`` say how many matches the lists show at most.
+    """
     if mode not in ("official", "enriched"):
         raise ValueError("mode must be official or enriched")
-    return answer_from(macs, visible(release, as_of, mode == "enriched"), mode, mac, limit)
+    return answer_from(macs, visible(release, as_of, mode == "enriched"), mode, mac, limit, claim_limit, insight_limit)
 
 
 def answer_from(
-    macs: DataFrame, shown: Release, mode: str = "enriched", mac: str = "mac_value", limit: int | None = None
+    macs: DataFrame, shown: Release, mode: str = "enriched", mac: str = "mac_value", limit: int | None = None,
+    claim_limit: int = CLAIM_LIMIT, insight_limit: int = INSIGHT_LIMIT,
 ) -> DataFrame:
     """Answers from a release whose suppressed rows are already left out."""
     addresses = macs.select(mac).filter((F.col(mac) >= 0) & (F.col(mac) < ADDRESS_LIMIT)).distinct()
+    if mode == "enriched":
+        addresses = materialize(addresses, "addresses")  # read by the official layer and by the claims
     found = enrich_official(addresses, shown.assignments, mac, limit)
     assignment = F.when(
         F.col("official").isNotNull(),
@@ -244,6 +274,10 @@ def answer_from(
     answer = found.select(
         mac,
         F.lpad(F.hex(mac), 12, F.lit("0")).alias("normalized"),
+        F.struct(
+            (F.getbit(F.col(mac), F.lit(LOCAL_BIT)) == 1).alias("locally_administered"),
+            (F.getbit(F.col(mac), F.lit(GROUP_BIT)) == 1).alias("multicast"),
+        ).alias("flags"),
         "match_status",
         assignment.alias("assignment"),
         F.struct(
@@ -256,24 +290,25 @@ def answer_from(
     )
     if mode == "official":
         return answer
-    claims = shown.claims
     shared = [
         F.concat(F.lit("clm_"), F.col("claim_id")).alias("claim_id"),
         format_prefix("prefix_bits", "prefix_length").alias("prefix"),
         F.col("prefix_length"),
     ]
-    curated = _layer(
-        enrich_claims(addresses, claims, mac=mac, limit=limit), mac, "curated_matches",
+    layers = {"curated_matches": (CURATED_KINDS, claim_limit), "insights": (INSIGHT_KINDS, insight_limit)}
+    ranked = _ranked_layers(addresses, shown.claims, layers, True, mac, limit)
+    curated = _nested(
+        "curated_matches",
         [*shared, F.lit("vendor_label").alias("claim_type"), F.col("organization_name"),
          F.col("verification_status"), F.col("origin_type"), F.col("conflict_status"),
          _source("source_slug", "source_release_id").alias("source")],
     )
-    insights = _layer(
-        enrich_insights(addresses, claims, mac=mac, limit=limit), mac, "insights",
+    insights = _nested(
+        "insights",
         [*shared, F.col("claim_type"), F.col("organization_name"), F.col("claim_json").alias("details"),
          F.col("verification_status"), _source("source_slug", "source_release_id").alias("source")],
     )
-    full = answer.join(curated, mac, "left").join(insights, mac, "left")
+    full = answer.join(ranked.groupBy(mac).agg(*curated, *insights), mac, "left")
     for name in ("curated_matches", "insights"):
         full = full.withColumn(name, F.coalesce(name, F.array().cast(full.schema[name].dataType)))
         full = full.withColumn(f"{name}_truncated", F.coalesce(f"{name}_truncated", F.lit(False)))

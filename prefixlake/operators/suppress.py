@@ -68,7 +68,7 @@ def _withhold(
     twin: tuple[str, ...],
     run_id: str | None,
 ) -> DataFrame:
-    # Every list below is at most as long as the overlay, so one measurement covers them all.
+    # The lists of targets are at most as long as the overlay, so one measurement covers them.
     by_id = F.count(target_id) if target_id in active.columns else F.lit(0)
     measured = active.agg(
         F.count(F.lit(1)).alias("rows"), by_id.alias("named"), F.sum(row_bytes(active).cast("bigint")).alias("bytes")
@@ -93,8 +93,11 @@ def _withhold(
         kept = without(kept, named, [row_id])
         if history is not None:
             withheld = without(history, named, [row_id], "left_semi")
+            # One id occurs in every run that held the row, and a twin key holds whole fields, so
+            # the distinct keys are stored and measured themselves.
             twins = withheld.select(json_key(*twin).alias("_twin"))
-            kept = without(kept.withColumn("_twin", json_key(*twin)), twins, ["_twin"]).drop("_twin")
+            keyed = kept.withColumn("_twin", json_key(*twin))
+            kept = skew_join(keyed, twins, ["_twin"], "left_anti", store="twins").drop("_twin")
     return kept.drop("_prefix_key").select(*rows.columns)
 
 

@@ -77,7 +77,7 @@ def import_release(
 
     located = rows if "locator" in rows.columns else with_locator(rows)
     # A file with quoted newlines is read by one task; the checks below should use all of them.
-    located = materialize(located.repartition(wh.spark.sparkContext.defaultParallelism), "raw-batch")
+    located = materialize(located.hint("rebalance"), "raw-batch")
     text = [name for name in located.columns if name != "locator"]
     limits = contract.batch_limits(located, text, max_rows=max_rows).first()
     if limits["code"]:

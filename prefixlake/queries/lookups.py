@@ -189,9 +189,12 @@ with active as ({_ACTIVE.format(table="fx_overlay")}),
  listed as (select mac_value,
   string_agg(case when layer = 'c' and rn <= 20 then 'clm_' || claim_id end, ',' order by rn) curated_ids,
   coalesce(max(case when layer = 'c' then rn end) > 20, false) curated_truncated,
+  {{nested}},
   string_agg(case when layer = 'i' and rn <= 50 then 'clm_' || claim_id end, ',' order by rn) insight_ids,
   coalesce(max(case when layer = 'i' then rn end) > 50, false) insights_truncated from ranked group by mac_value)
 select m.mac_value, lpad(to_hex(m.mac_value), 12, '0') normalized,
+ (m.mac_value >> 41) & 1 = 1 locally_administered, (m.mac_value >> 40) & 1 = 1 multicast,
+ o.registry, o.organization_address address, o.core_source_slug source_slug, {{nested_names}},
  case when o.registry is null then 'no_match' else 'matched' end match_status,
  o.organization_name, lpad(to_hex(o.prefix_bits), (o.prefix_length + 3) // 4, '0') prefix, 'sr_' || o.core_source_release_id source_release_id,
  coalesce(l.curated_ids, '') curated_ids, coalesce(l.curated_truncated, false) curated_truncated,
@@ -199,6 +202,33 @@ select m.mac_value, lpad(to_hex(m.mac_value), 12, '0') normalized,
 from macs m left join official o using (mac_value) left join listed l using (mac_value)"""
 
 
+# Nested fields of the answer's lists: layer, rows shown, field of the list, column of the claims.
+_NESTED = [
+    ("curated_matches", "c", 20, "prefix_length", "prefix_length"),
+    ("curated_matches", "c", 20, "organization_name", "organization_name"),
+    ("curated_matches", "c", 20, "verification_status", "verification_status"),
+    ("curated_matches", "c", 20, "origin_type", "origin_type"),
+    ("curated_matches", "c", 20, "conflict_status", "conflict_status"),
+    ("curated_matches", "c", 20, "source.slug", "source_slug"),
+    ("curated_matches", "c", 20, "source.source_release_id", "source_release_id"),
+    ("insights", "i", 50, "prefix_length", "prefix_length"),
+    ("insights", "i", 50, "claim_type", "claim_type"),
+    ("insights", "i", 50, "organization_name", "organization_name"),
+    ("insights", "i", 50, "details", "claim_json"),
+    ("insights", "i", 50, "verification_status", "verification_status"),
+    ("insights", "i", 50, "source.slug", "source_slug"),
+]
+
+
+def _nested_sql() -> dict[str, str]:
+    made, named = [], []
+    for _, layer, shown, _, column in _NESTED:
+        value = f"'sr_' || {column}" if column == "source_release_id" else f"cast({column} as varchar)"
+        made.append(f"string_agg(case when layer = '{layer}' and rn <= {shown} then {value} end, '|' order by rn) {layer}_{column}")
+        named.append(f"coalesce(l.{layer}_{column}, '') {layer}_{column}")
+    return {"nested": ",\n  ".join(made), "nested_names": ", ".join(named)}
+
+
 def _kept_body(sql: str) -> str:
     """The SQL of a suppression oracle without its own copy of the active overlay."""
     return "with twins as" + sql.split(" twins as", 1)[1]
@@ -206,17 +236,20 @@ def _kept_body(sql: str) -> str:
 
 @query(
     "enriched_lookup",
-    _ENRICHED.format(kept_assignments=_kept_body(_KEPT_ASSIGNMENTS), kept_claims=_kept_body(_KEPT_CLAIMS)),
+    _ENRICHED.format(kept_assignments=_kept_body(_KEPT_ASSIGNMENTS), kept_claims=_kept_body(_KEPT_CLAIMS), **_nested_sql()),
 )
 def enriched_lookup(spark, sf_dir):
     found = lk.lookup(fixture(spark, sf_dir, "fx_macs"), _release(spark, sf_dir), AS_OF)
     return found.select(
-        "mac_value", "normalized", "match_status", "assignment.organization_name", "assignment.prefix",
-        F.col("assignment.source.source_release_id").alias("source_release_id"),
+        "mac_value", "normalized", "flags.locally_administered", "flags.multicast", "match_status",
+        "assignment.organization_name", "assignment.prefix", F.col("assignment.source.source_release_id").alias("source_release_id"),
         F.array_join("curated_matches.claim_id", ",").alias("curated_ids"),
         F.col("curated_matches_truncated").alias("curated_truncated"),
         F.array_join("insights.claim_id", ",").alias("insight_ids"),
         "insights_truncated",
+        "assignment.registry", "assignment.address", F.col("assignment.source.slug").alias("source_slug"),
+        *[F.array_join(F.col(f"{name}.{path}").cast("array<string>"), "|").alias(f"{layer}_{column}")
+          for name, layer, _, path, column in _NESTED],
         F.col("release.resolved_release_id").alias("resolved_release_id"),
     )
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from prefixlake.operators.joins import skew_join
 from prefixlake.schemas import ACCESS_LOG, RECORD_FIELDS, REGISTRY_CSV
+from prefixlake.session import materialize
 
 _CSV = {"header": "true", "enforceSchema": "false", "mode": "FAILFAST", "quote": '"', "escape": '"',
         "encoding": "UTF-8"}
@@ -101,10 +102,12 @@ def with_locator(df: DataFrame, per_file: bool = True) -> DataFrame:
 
     Rows are numbered inside their partition and shifted by the rows of earlier
     partitions of the same file. Only one count per (file, partition) is gathered, so
-    files of any size are numbered without bringing their rows together.
+    files of any size are numbered without bringing their rows together. The marked rows
+    are stored before they are counted: a row keeps its mark when a task runs again.
     """
     file = F.input_file_name() if per_file else F.lit("")
     marked = df.withColumn("_file", file).withColumn("_seen", F.monotonically_increasing_id())
+    marked = materialize(marked, "marked-rows")
     marked = marked.withColumn("_part", F.call_function("shiftright", F.col("_seen"), F.lit(33)))
     parts = marked.groupBy("_file", "_part").agg(
         F.count(F.lit(1)).alias("_rows"), F.min("_seen").alias("_first")

@@ -6,9 +6,11 @@ from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from prefixlake.operators.lookup import Release, answer_from, restore_inputs, visible
+from prefixlake.operators.suppress import instant
 
 
 def enrich_batch(batch: DataFrame, shown: Release, mode: str, mac: str = "mac_value") -> DataFrame:
@@ -16,6 +18,12 @@ def enrich_batch(batch: DataFrame, shown: Release, mode: str, mac: str = "mac_va
     return restore_inputs(batch, answer_from(batch, shown, mode, mac), mac)
 
 
+def next_change(suppressions: DataFrame, as_of: datetime | str) -> datetime | None:
+    """The first time after ``as_of`` at which an active suppression starts or ends."""
+    times = suppressions.filter(F.col("status") == "active").select(F.explode(F.array("starts_at", "expires_at")).alias("at"))
+    return times.filter(F.col("at") > instant(as_of)).agg(F.min("at")).first()[0]
+
+
 def enrich_stream(
     addresses: DataFrame,
     read_release: Callable[[], Release],
@@ -29,16 +37,18 @@ def enrich_stream(
     """Write enriched rows to ``path``, one folder per micro-batch.
 
     The release pointer is read once per micro-batch. Release rows without the suppressed
-    ones are stored again only when the publication or the time given by ``as_of`` changes.
+    ones are stored again only when the publication changes or a suppression starts or ends.
     A micro-batch that is run again after a failure replaces its own folder.
     """
     current: dict[str, object] = {}
 
     def write(batch: DataFrame, batch_id: int) -> None:
         release, moment = read_release(), as_of()
-        key = (release.run_id, release.publication_version, moment, mode)
-        if current.get("key") != key:
-            current.update(key=key, shown=visible(release, moment, mode == "enriched"))
+        at = (datetime.fromisoformat(moment) if isinstance(moment, str) else moment).replace(tzinfo=None)
+        key = (release.run_id, release.publication_version, mode)
+        if current.get("key") != key or at < current["since"] or at >= current["until"]:
+            shown = visible(release, moment, mode == "enriched")
+            current.update(key=key, shown=shown, since=at, until=next_change(release.suppressions, moment) or datetime.max)
         enriched = enrich_batch(batch, current["shown"], mode, mac)
         enriched.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 

@@ -6,23 +6,35 @@ from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from prefixlake.operators.reports import health_findings, source_health
 
 
-def first_observations(observations: DataFrame, lateness: str = "30 days") -> DataFrame:
-    """Each (release, time) once, the first to arrive; later copies are dropped.
+KEY = ["release_id", "observed_at"]
 
-    The time is part of the key, so state older than the watermark can go.
+
+def observation_stream(observations: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Each (release, time) is stored once, however late it comes: one folder per micro-batch.
+
+    A micro-batch leaves out what the folders before it hold, of which only the key is read,
+    so there is no watermark that could drop an old observation not seen so far. Run again
+    after a failure, a micro-batch replaces its own folder.
     """
-    return observations.withWatermark("observed_at", lateness).dropDuplicates(["release_id", "observed_at"])
+    stored = T.StructType([*observations.schema.fields, T.StructField("batch_id", T.LongType())])
 
+    def write(batch: DataFrame, batch_id: int) -> None:
+        fresh = batch.dropDuplicates(KEY)
+        if batch_id > 0:
+            earlier = batch.sparkSession.read.schema(stored).parquet(path).filter(F.col("batch_id") < batch_id)
+            fresh = fresh.join(earlier.select(*KEY), KEY, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-def observation_stream(observations: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     return (
-        first_observations(observations).writeStream.format("parquet").outputMode("append")
-        .option("path", path).option("checkpointLocation", checkpoint)
+        observations.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,24 +12,36 @@ from prefixlake.operators.suppress import instant
 from prefixlake.operators.traffic import classify, per_minute
 
 
-def minute_counts(log: DataFrame, monitor_pattern: str, lateness: str = "10 minutes") -> DataFrame:
-    """All report counts per minute; entries later than ``lateness`` are dropped by the watermark.
+def minute_counts(log: DataFrame, monitor_pattern: str) -> DataFrame:
+    """All report counts per minute of a table or a micro-batch."""
+    return per_minute(classify(log, monitor_pattern), F.date_trunc("minute", "ts"))
 
-    Works on a stream (append mode) and, where the watermark has no effect, on a table.
+
+def minute_stream(log: DataFrame, monitor_pattern: str, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Store the counts of every micro-batch in a folder of its own, replaced if it runs again.
+
+    A late entry adds to its minute in :func:`stored_minutes`, so no entry is dropped and the
+    counts depend neither on the order of the entries nor on how files split them.
     """
-    marked = classify(log, monitor_pattern).withWatermark("ts", lateness)
-    return per_minute(marked, F.window("ts", "1 minute")).withColumn("minute", F.col("minute.start"))
 
+    def write(batch: DataFrame, batch_id: int) -> None:
+        minute_counts(batch, monitor_pattern).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-def minute_stream(log: DataFrame, monitor_pattern: str, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     return (
-        minute_counts(log, monitor_pattern).writeStream.format("parquet").outputMode("append")
-        .option("path", path).option("checkpointLocation", checkpoint)
+        log.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
+def stored_minutes(spark: SparkSession, path: str) -> DataFrame:
+    """One row per minute from what all micro-batches stored."""
+    parts = spark.read.parquet(path).drop("batch_id")
+    sums = [name for name in parts.columns if name not in ("minute", "duration_max")]
+    return parts.groupBy("minute").agg(*[F.sum(name).alias(name) for name in sums], F.max("duration_max").alias("duration_max"))
+
+
 def trailing_report(minutes: DataFrame, as_of: datetime | str, hours: int = 24) -> DataFrame:
     """One row over the minutes of the last ``hours`` before ``as_of``."""
     end = instant(as_of)

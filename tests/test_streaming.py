@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from prefixlake.operators import reports
 from prefixlake.session import scratch_path
-from prefixlake.streaming import budget, observations
+from prefixlake.streaming import budget, enrich, observations
 
 T0 = datetime(2024, 1, 1)
 
@@ -74,6 +74,27 @@ def test_repeated_observations_are_stored_once(spark):
     assert sorted((row.release_id, row.observed_at.day) for row in spark.read.parquet(out).collect()) == [(1, 1), (2, 2), (2, 3)]
 
 
+def test_observations_of_any_age_are_stored(spark):
+    source, out, checkpoint = (scratch_path(spark, name) for name in ("seen", "observed", "observed-checkpoint"))
+    for batch in ([(1, 400)], [(1, 0), (2, 9)], [(1, 0), (1, 400)]):
+        data = [(release, T0 + timedelta(days=day)) for release, day in batch]
+        spark.createDataFrame(data, "release_id long, observed_at timestamp").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("release_id long, observed_at timestamp").option("maxFilesPerTrigger", 1).parquet(source)
+    observations.observation_stream(stream, out, checkpoint).awaitTermination()
+    found = sorted((row.release_id, (row.observed_at - T0).days) for row in spark.read.parquet(out).collect())
+    assert found == [(1, 0), (1, 400), (2, 9)]
+
+
+def test_the_next_change_of_an_overlay(spark):
+    at = lambda day: T0 + timedelta(days=day)
+    overlay = spark.createDataFrame(
+        [("active", at(0), at(9)), ("active", at(4), None), ("revoked", at(0), at(2))],
+        "status string, starts_at timestamp_ntz, expires_at timestamp_ntz")
+    assert enrich.next_change(overlay, at(1)) == at(4)
+    assert enrich.next_change(overlay, at(4)) == at(9)  # a suppression is active from its start on
+    assert enrich.next_change(overlay, at(9)) is None
+
+
 def test_freshness_is_checked_at_every_tick(spark):
     columns = {
         "slug": "s", "source_class": "authoritative", "publish_mode": "production", "required_for_activation": True,
