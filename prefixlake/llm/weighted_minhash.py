@@ -10,11 +10,13 @@ their whole weighted sets, and linked at ``SIMILARITY`` or more. Classes are the
 Work is saved only where no link can be lost. Documents with equal words are one node. What a
 document shares with any other is at most the weight of its shingles with df > 1, so documents
 below ``SIMILARITY`` of their own weight are alone, and pairs whose shared weight cannot reach it are not
-compared. In a bucket every member is compared with the most popular members, those that lie in the
-largest buckets; members that no center is linked to go on with new centers, four times as many,
-until each is linked or has been a center itself. So a group of any size takes few rows per
-member, and a link is missed only if its ends share no band, or hang on different centers that
-nothing else links.
+compared. In a bucket every member is first compared with the most popular members, those that lie in
+the largest buckets. A center has then been compared with the whole bucket and leaves it; the others
+stay while the links found so far, of all buckets, leave them in several classes. Each further round takes
+more centers, from all classes of a bucket but its largest, and compares them with the members of
+other classes, until no two classes are left. So a family that hangs together takes few rows per
+member, members that are not similar are compared pair by pair, and a link between classes is missed
+only if its ends share no band.
 
 A null text is empty; a text without words has no shingles and is alone. Repeated rows and ids
 count one by one and equal rows share a class. The class id is the smallest id in the class,
@@ -221,14 +223,15 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _viable(members: DataFrame) -> DataFrame:
-    """Members that can be similar to another of their bucket, given the least weight found there.
+    """Members that can be similar to one of another class in their bucket, given the least weight found there.
 
     What a member shares is at most ``shared``, so with a partner of ``lightest`` or more its similarity
     is at most shared / (total + max(lightest, shared) - shared).
     """
     buckets = materialize(
-        members.groupBy("band", "value").agg(F.min("total").alias("lightest"), F.count(F.lit(1)).alias("size"))
-        .where("size > 1").drop("size"),
+        members.groupBy("band", "value")
+        .agg(F.min("total").alias("lightest"), F.min("label").alias("low"), F.max("label").alias("high"))
+        .where("low < high").drop("low", "high"),
         "near-buckets")
     whole = F.col("total") + F.greatest("lightest", "shared") - F.col("shared")
     return materialize(
@@ -236,10 +239,24 @@ def _viable(members: DataFrame) -> DataFrame:
         "near-open")
 
 
+def _outside_largest(members: DataFrame, centers: int) -> DataFrame:
+    """Members that can be centers: the first of every class of a bucket but its largest, with ``rank`` in their class.
+
+    When all of them have been centers only the largest class is left, which needs no comparison.
+    """
+    largest = (
+        members.groupBy("band", "value", "label").agg(F.count(F.lit(1)).alias("size"))
+        .groupBy("band", "value").agg(F.max_by("label", F.struct("size", "label")).alias("largest")))
+    order = Window.partitionBy("band", "value", "label").orderBy(F.desc("popular"), "row")
+    return (
+        members.join(largest, ["band", "value"]).where("label <> largest").drop("largest")
+        .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= centers))
+
+
 def _reachable(center: Column) -> Column:
-    """Whether a member (columns row, total, shared) can be similar enough to this other node."""
+    """Whether a member (columns row, label, total, shared) can be similar enough to this node of another class."""
     least = F.least(F.col("shared"), center["c_shared"])
-    return (center["center"] != F.col("row")) & (
+    return (center["c_label"] != F.col("label")) & (
         least >= (SIMILARITY - _SLACK) * (F.col("total") + center["c_total"] - least))
 
 
@@ -249,33 +266,39 @@ def _links(sets: DataFrame) -> DataFrame:
     sizes = placed.groupBy("band", "value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = materialize(placed.join(sizes, ["band", "value"]), "near-members")
     popular = members.groupBy("row").agg(F.sum("size").alias("popular"))
-    members = materialize(members.join(popular, "row").drop("size"), "near-open")
+    members = materialize(members.join(popular, "row").drop("size").withColumn("label", F.col("row")), "near-open")
     links = compared = None
     centers = CENTERS
     members = _viable(members)
     while members.limit(1).count():
-        order = Window.partitionBy("band", "value").orderBy(F.desc("popular"), "row")
+        # at first every member is a class of its own
+        eligible = members.withColumn("rank", F.lit(1)) if links is None else _outside_largest(members, centers)
+        order = Window.partitionBy("band", "value").orderBy("rank", F.desc("popular"), "row")
         chosen = materialize(
-            members.withColumn("place", F.row_number().over(order)).where(F.col("place") <= centers)
-            .select("band", "value", F.col("row").alias("center"), F.col("total").alias("c_total"), F.col("shared").alias("c_shared")),
+            eligible.withColumn("place", F.row_number().over(order)).where(F.col("place") <= centers)
+            .select("band", "value", F.col("row").alias("center"), F.col("label").alias("c_label"),
+                    F.col("total").alias("c_total"), F.col("shared").alias("c_shared")),
             "near-centers")
         buckets = chosen.groupBy("band", "value").agg(
-            F.collect_list(F.struct("center", "c_total", "c_shared")).alias("centers"))
+            F.collect_list(F.struct("center", "c_label", "c_total", "c_shared")).alias("centers"))
         offered = (  # the same centers come from several bands: a row per member, not per band and center
-            members.join(buckets, ["band", "value"]).groupBy("row", "total", "shared")
+            members.join(buckets, ["band", "value"]).groupBy("row", "label", "total", "shared")
             .agg(F.array_distinct(F.flatten(F.collect_list("centers"))).alias("centers")))
         pairs = offered.select(F.col("row").alias("a"), F.explode(F.filter("centers", _reachable)).alias("c")).select(
             "a", F.col("c.center").alias("b"))
         if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
+            both = compared.unionByName(compared.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            pairs = pairs.join(both, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "near-pairs")
         found = materialize(_verified(pairs, sets), "near-links")
         links = found if links is None else links.unionByName(found)
         compared = pairs if compared is None else compared.unionByName(pairs)
-        # open: neither a center of its bucket nor linked to one
-        linked = links.join(chosen, F.col("b") == F.col("center")).select("band", "value", F.col("a").alias("row"))
-        done = linked.unionByName(chosen.select("band", "value", F.col("center").alias("row"))).distinct()
-        members = _viable(materialize(members.join(done, ["band", "value", "row"], "left_anti"), "near-open"))
+        # a center has been compared with all members of other classes; pairs of the others are open
+        left = members.join(
+            chosen.select("band", "value", F.col("center").alias("row")), ["band", "value", "row"], "left_anti").drop("label")
+        labels = components(links).select(F.col("node").alias("row"), "label")
+        members = _viable(materialize(
+            left.join(labels, "row", "left").withColumn("label", F.coalesce("label", "row")), "near-open"))
         centers = min(centers * MORE, MOST_CENTERS)
     return links if links is not None else sets.sparkSession.createDataFrame([], "a long, b long")
 

@@ -80,6 +80,62 @@ def test_a_large_group_of_variants(spark):
     assert found_classes(docs) == brute_classes(docs.collect())
 
 
+def linked(spark, buckets):
+    """The classes that are found, and those of all pairs, among sets of equal weights dealt to one bucket each."""
+    rows, label = [], {}
+    for bucket, sets in enumerate(buckets):
+        for k, own in enumerate(sets):
+            keys = np.array(sorted(own), dtype=np.uint64)
+            weight = float(len(keys))
+            rows.append((1000 * bucket + k, weight, weight, [bucket], exchange.squeeze_sorted(keys), exchange.squeeze(np.ones(len(keys)))))
+            label[1000 * bucket + k] = 1000 * bucket + k
+    nodes = weighted_minhash.materialize(
+        spark.createDataFrame(rows, "row long, total double, shared double, bands array<long>, keys binary, weights binary"), "near-test")
+    links = weighted_minhash.materialize(weighted_minhash._links(nodes), "near-test")
+    found = defaultdict(set)
+    for r in components(links).collect():
+        found[r["label"]].add(r["node"])
+
+    def root(row):
+        while label[row] != row:
+            row = label[row]
+        return row
+
+    for bucket, sets in enumerate(buckets):
+        for i, a in enumerate(sets):
+            for k, b in enumerate(sets[:i]):
+                if len(a & b) >= 0.8 * len(a | b):
+                    label[root(1000 * bucket + i)] = root(1000 * bucket + k)
+    classes = defaultdict(set)
+    for row in label:
+        classes[root(row)].add(row)
+    return sorted(map(sorted, found.values())), sorted(sorted(c) for c in classes.values() if len(c) > 1)
+
+
+def revisions(number, seed):
+    """A tree of revisions: every set is an edit of an earlier one, so that its ends are far apart."""
+    rng = random.Random(seed)
+    sets = [set(range(100))]
+    while len(sets) < number:
+        own = rng.choice(sets)
+        sets.append(own - set(rng.sample(sorted(own), 10)) | set(rng.sample(range(10**9), 10)))
+    return sets
+
+
+def step(place):
+    """Neighbours on a line are similar, others not."""
+    return set(range(10 * place, 10 * place + 100))
+
+
+def test_drifting_families_are_compared_whole(spark):
+    centers = [3 * k + 1 for k in range(8)]
+    line = [step(p) for p in centers + [p for p in range(24) if p not in centers]]  # neighbours hang on different centers
+    tails = [step(1000 * k + p) for p in (1, 2, 3) for k in range(8)]  # the last hangs on one that is linked to a center
+    apart = [step(1000 * k) for k in range(60)] + [step(1000 * 59 + 1)]
+    found, right = linked(spark, [line, tails, apart, *[revisions(200, seed) for seed in range(3)]])
+    assert found == right and len(right[0]) == 24
+
+
 def test_odd_documents(spark):
     docs = odd_docs(spark)
     assert found_classes(docs) == brute_classes(docs.collect())
