@@ -1,8 +1,9 @@
 """Main text of web pages by composite text density.
 
 A page becomes a tree of its elements; what is never article text (scripts, menus, forms,
-adverts, notices, comments of readers, ...) is taken out by element and by the words of its
-class, id and role. For every node that is left, the density is characters per tag, damped by
+adverts, notices, comments of readers, ...) is taken out by element. Whole names in class, id and
+role only mark an element: it is taken out unless it holds an article or main element or the node
+of the largest sum below; an id marks nothing on headings and inside the article. For every node that is left, the density is characters per tag, damped by
 the share of link text; the sum over its children says how much text stands directly below it.
 The node with the largest sum is the article, widened to an enclosing article or main element;
 subtrees beside it under the same parent belong to it when they are as dense as the least dense
@@ -44,26 +45,32 @@ IMPLIED = {
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-# Words of class, id and role that mark what is not the article.
-ASIDE_WORDS = frozenset(
+# Names in class, id and role that mark what is not the article.
+ASIDE_NAMES = frozenset(
     "ad ads advert advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr "
     "notice alert popup modal overlay newsletter subscribe signup login sidebar aside widget widgets related "
     "recommended share sharing social menu nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar "
-    "masthead footer copyright search complementary contentinfo dialog".split())
-COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond responses disqus discussion".split())
-HEADER_WORDS = frozenset("header banner".split())
+    "masthead header footer copyright search complementary contentinfo dialog reply replies respond responses discussion "
+    "cookie-notice cookie-banner related-posts share-buttons social-share widget-area site-header site-footer "
+    "main-navigation post-navigation top-menu".split())
+IN_ARTICLE = frozenset(  # of these, the ones that also name parts of an article mark nothing inside one
+    "notice alert banner header overlay widget widgets search menu copyright promotion dialog discussion responses".split())
+COMMENT_NAMES = frozenset(
+    "comment comments commentlist comment-list comments-list comments-area comment-body comment-respond comment-form "
+    "disqus disqus_thread".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ASIDE, BY_ID, COMMENT = 1, 2, 3  # marks
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _REST = re.compile(r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*>""")
-_MARK = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
-_WORD = re.compile(r"[A-Za-z]+")
+_MARK = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 
 
 class _Tree:
-    """Nodes in page order by number: parent, element name, attributes' words; and text by node."""
+    """Nodes in page order by number: parent, element name, mark; and text by node."""
 
     def __init__(self, page: str):
-        self.parent, self.tag, self.removed = [-1], ["#root"], [False]
+        self.parent, self.tag, self.removed, self.mark = [-1], ["#root"], [False], [0]
         self.texts: list[tuple[int, int, str]] = []  # node, block number, text
         self.block = 0
         self._open = [0]
@@ -82,22 +89,34 @@ class _Tree:
         node = len(self.tag)
         self.parent.append(stack[-1])
         self.tag.append(tag)
-        self.removed.append(self.removed[stack[-1]] or self._is_removed(tag, attributes))
+        self.removed.append(self.removed[stack[-1]] or self._is_removed(tag))
+        self.mark.append(self._marked(tag, attributes))
         if tag not in VOID:
             stack.append(node)
 
-    def _is_removed(self, tag: str, attributes: str) -> bool:
-        if tag in REMOVED:
-            return True
-        in_article = any(self.tag[n] in ("article", "main") for n in self._open)
-        if tag == "header" and not in_article:
-            return True
+    def _is_removed(self, tag: str) -> bool:
+        return tag in REMOVED or (tag == "header" and not any(self.tag[n] in ("article", "main") for n in self._open))
+
+    def _marked(self, tag: str, attributes: str) -> int:
         if tag in ("html", "body", "main") or not attributes:
-            return False
-        words = {w.lower() for m in _MARK.finditer(attributes) for w in _WORD.findall(m[1])}
-        if words & COMMENT_WORDS:
-            return True
-        return tag != "article" and bool(words & ASIDE_WORDS or (words & HEADER_WORDS and not in_article))
+            return 0
+        names: set[str] = set()
+        ids: set[str] = set()
+        for m in _MARK.finditer(attributes):
+            (ids if m[1].lower() == "id" else names).update(m[2].strip("\"'").lower().split())
+        outer = {self.tag[n] for n in self._open} if names or ids else set()
+        if tag in HEADINGS or tag == "article" or "article" in outer:
+            ids = set()
+        if (names | ids) & COMMENT_NAMES:
+            return COMMENT
+        known = ASIDE_NAMES - IN_ARTICLE if outer & {"article", "main"} else ASIDE_NAMES
+        if tag == "article" or not (names | ids) & known:
+            return 0
+        return ASIDE if names & known else BY_ID
+
+    def remove(self, nodes: set[int]) -> None:
+        for node in range(1, len(self.tag)):
+            self.removed[node] = self.removed[node] or node in nodes or self.removed[self.parent[node]]
 
     def _close(self, tags: set[str], until: set[str]) -> None:
         for k in range(len(self._open) - 1, 0, -1):
@@ -192,13 +211,48 @@ def _densities(tree: _Tree) -> tuple[list[float], list[float], list[int], list[i
     return density, sums, chars, links
 
 
+def _best(sums: list[float]) -> int:
+    return max(range(len(sums)), key=lambda n: (sums[n], -n))
+
+
+def _remove_marked(tree: _Tree) -> None:
+    """Takes out the marked elements that are not the article or around it."""
+    if not any(tree.mark):
+        return
+    holds = [tag == "main" or (tag == "article" and mark != COMMENT) for tag, mark in zip(tree.tag, tree.mark)]
+    for node in range(len(tree.tag) - 1, 0, -1):
+        holds[tree.parent[node]] |= holds[node]
+    marked = [n for n, mark in enumerate(tree.mark) if mark and not holds[n] and not tree.removed[n]]
+    before = list(tree.removed)
+    tree.remove({n for n in marked if tree.mark[n] == COMMENT})
+    _, sums, chars, _ = _densities(tree)
+    if not chars[0]:  # all text is in them
+        tree.removed = list(before)
+        _, sums, chars, _ = _densities(tree)
+    before = list(tree.removed)
+    best = node = _best(sums)
+    around = set()
+    while node >= 0:
+        around.add(node)
+        node = tree.parent[node]
+    inside = [n == best != 0 for n in range(len(tree.tag))]
+    for node in range(1, len(tree.tag)):
+        inside[node] |= inside[tree.parent[node]]
+    tree.remove({
+        n for n in marked
+        if tree.mark[n] == ASIDE and n not in around or tree.mark[n] == BY_ID and n not in around and not inside[n]})
+    if not any(text.strip() and not tree.removed[node] for node, _, text in tree.texts):
+        tree.removed = before
+
+
 def main_text(page: str | None) -> str:
     """The article of one page, blocks joined by line breaks."""
     tree = _Tree(page or "")
+    _remove_marked(tree)
     density, sums, chars, links = _densities(tree)
     if not chars[0]:
         return ""
-    best = max(range(len(sums)), key=lambda n: (sums[n], -n))
+    best = _best(sums)
     path = [best]
     while path[-1] > 0:
         path.append(tree.parent[path[-1]])

@@ -26,6 +26,28 @@ def test_pages_without_an_article_element():
     assert main_text(page) == f"Head & line\n{LONG}\n{LONG}\none\ntwo"
 
 
+def test_names_do_not_remove_the_article():
+    article = f"<h2>Head</h2><p>{LONG}</p><p>{LONG}</p>"
+    text = f"Head\n{LONG}\n{LONG}"
+    for name in ("layout no-sidebar", "with-sidebar", "sidebar", "elementor-widget", "no-comments", "comments-open", "social"):
+        for page in (f"<div class='{name}'>{article}</div>", f"<div class='{name}'><div class=post>{article}</div></div><p>x",
+                     f"<div class='{name}'><article>{article}</article></div>", f"<div id='{name}'><main>{article}</main></div>"):
+            assert main_text(page).removesuffix("\nx") == text, page
+    for name in ("no-comments", "comments-open", "post sidebar"):
+        assert main_text(f"<article class='{name}'>{article}</article>") == text
+    inner = f"<h2 id='related-work'>A</h2><h3 id=search>B</h3><section id='search-and-menu'><p>{LONG}</section>"
+    inner += f"<section id=related><p>{LONG}</section><div class='elementor-widget'><p>{LONG}</div><div class=notice><p>{LONG}</div>"
+    assert main_text(f"<article>{inner}</article>") == "A\nB" + 4 * f"\n{LONG}"
+
+
+def test_marked_elements_beside_the_article_are_left_out():
+    article, more = f"<p>{LONG}</p><p>{LONG}</p><p>{LONG}</p>", f"<p>{LONG}</p>"
+    for name in ("sidebar", "related", "share", "comments"):
+        assert main_text(f"<div><div class=post>{article}</div><div class='box {name}'>{more}</div></div>") == "\n".join([LONG] * 3)
+        assert main_text(f"<main>{article}<div class='{name}'>{more}</div></main>") == "\n".join([LONG] * 3)
+    assert main_text(f"<div class=post>{article}</div><div id=comments>{more * 9}</div>") == "\n".join([LONG] * 3)
+
+
 def test_markup_of_all_kinds():
     assert main_text("<article><p>a<b>b</b>\n c&nbsp;d<br>e<p>f &lt;g&gt; &copy;<!-- x --><script>if (a < b) '</p>'</script>h</article>") == \
         "ab c d e\nf <g> ©h"
