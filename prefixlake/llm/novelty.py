@@ -3,8 +3,10 @@
 Three patterns find what looks like a secret by shape. Beyond them, a long token near a word
 such as key, token or password is a candidate: its novelty is the number of bytes that
 zstandard needs for it beyond what the surrounding code costs, with a dictionary of common
-identifiers already known. Names, paths and repeated strings compress well; random strings
-cost three quarters of their length or more and are reported as ``novel``.
+identifiers already known. Names and paths compress well; random strings cost three quarters of
+their length or more and are reported as ``novel``. What the surroundings have in common with the
+token, from ``MIN_TOKEN`` characters on, is left out of them, so a copy nearby explains nothing, and a
+token that is reported once is reported wherever the text has it.
 
 Positions are code points, ends exclusive. A null or empty text has no spans; repeated rows
 are scanned one by one; no rows give no rows; texts of any length are scanned whole. Columns
@@ -72,18 +74,66 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _apart(token: str, before: str, after: str) -> str:
+    """The last and first ``CONTEXT`` characters around a token, without what they have in common with it.
+
+    The texts reach ``MIN_TOKEN`` characters further, so that a copy is seen that the context cuts.
+    """
+    parts = {token[k : k + MIN_TOKEN] for k in range(len(token) - MIN_TOKEN + 1)}
+
+    def left(text: str) -> list[str]:
+        own = [True] * len(text)
+        for k in range(len(text) - MIN_TOKEN + 1):
+            if text[k : k + MIN_TOKEN] in parts:
+                own[k : k + MIN_TOKEN] = [False] * MIN_TOKEN
+        return [c if o else "" for c, o in zip(text, own)]
+
+    return "".join(left(before)[-CONTEXT:] + left(after)[:CONTEXT])
+
+
 def novel_spans(text: str, known: list[tuple[int, int, int]], meter: NoveltyMeter) -> list[tuple[int, int, int]]:
-    """Candidates outside the known spans that stand in a sensitive context and do not compress."""
-    out = []
+    """Candidates outside the known spans that stand in a sensitive context and do not compress, each token once."""
+    out: list[tuple[int, int, int]] = []
+    reported: set[str] = set()  # once is enough here, see ``all_novel_spans``
     for match in CANDIDATE.finditer(text):
         token, start, end = match[0], match.start(), match.end()
         if not (any(c.isdigit() for c in token) and any(c.isalpha() for c in token)):
             continue
         if any(s < end and start < e for s, _, e in known):
             continue
-        before, after = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
-        if SENSITIVE.search(before) and meter.is_novel(before + after, token):
+        if token in reported or not SENSITIVE.search(text, max(0, start - CONTEXT), start):
+            continue
+        reach = CONTEXT + MIN_TOKEN
+        if meter.is_novel(_apart(token, text[max(0, start - reach) : start], text[end : end + reach]), token):
             out.append((start, 3, end))
+            reported.add(token)
+    return out
+
+
+def all_novel_spans(text: str, known: list[tuple[int, int, int]], meter: NoveltyMeter) -> list[tuple[int, int, int]]:
+    """The novel spans, and outside the known spans every other place of their tokens, inside longer candidates too."""
+    found = novel_spans(text, known, meter)
+    if not found:
+        return []
+    tokens = {text[s:e] for s, _, e in found}
+    lengths = sorted({len(t) for t in tokens}, reverse=True)
+    whole = {(s, e) for s, _, e in found}
+    bases = sorted((s, e) for s, _, e in known)
+    out, base = [], 0
+    for match in CANDIDATE.finditer(text):
+        start, end = match.span()
+        if (start, end) in whole:
+            out.append((start, 3, end))
+            continue
+        while base < len(bases) and bases[base][1] <= start:
+            base += 1
+        k = start
+        while k < end:
+            size = next((n for n in lengths if k + n <= end and text[k : k + n] in tokens), 0)
+            near = bases[base : base + 1 + end - start] if size else []
+            if size and not any(s < k + size and k < e for s, e in near if s < end):
+                out.append((k, 3, k + size))
+            k += size or 1
     return out
 
 
@@ -97,7 +147,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             rows = []
             for text in batch.column(1).to_pylist():
                 found = base_spans(text or "")
-                found = sorted(found + novel_spans(text or "", found, meter))
+                found = sorted(found + all_novel_spans(text or "", found, meter))
                 rows.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(span))], ["doc_id", "spans"])
 

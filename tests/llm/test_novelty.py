@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 from prefixlake.llm import novelty
 from prefixlake.llm.queries import QUERIES
@@ -46,6 +48,28 @@ def test_novelty_reports_random_strings_in_context_only():
     assert found("key 00000000000000000000000000000000a000") == []
 
 
+def novel(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in novelty.secret_spans(docs).collect()}
+    return [[texts[k][s["start"] : s["end"]] for s in spans[k] if s["kind"] == "novel"] for k in range(len(texts))]
+
+
+def tokens(number, size, seed=7, letters=string.ascii_letters + string.digits):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(letters) for _ in range(size)) for _ in range(number)]
+
+
+def test_every_copy_of_a_novel_token_is_reported(spark):
+    some = tokens(200, 32)
+    got = novel(spark, [f"the private key is {t} and the backup of the key is {t} as before" for t in some])
+    assert all(g in ([], [t, t]) for g, t in zip(got, some)) and sum(map(bool, got)) >= 198  # one costs a byte too little
+    far = "nothing of note " * 20
+    t, u = some[:2]
+    assert novel(spark, [f"{far}{t} {far}the key is {t}", f"the key is {t} {far}copy={t}", f"key private={t}\nlogin={t}\n",
+                         f"the key is {t} {far} password={t} {far}{u}"]) == [
+        [t, t], [t, t], [f"private={t}", f"login={t}"], [t]]
+
+
 def test_query_digests(spark):
     texts = {r["doc_id"]: r["text"] for r in documents(spark).collect()}
     for r in QUERIES["op9_secrets"](spark, "/root/testdata/sf0.001").collect():
