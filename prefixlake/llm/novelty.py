@@ -1,9 +1,10 @@
 """Secret scans: fixed patterns, and strings that a primed compressor cannot explain.
 
 Three patterns find what looks like a secret by shape. Beyond them, a long token near a word
-such as key, token or password is a candidate: its novelty is the number of bytes that
-zstandard needs for it beyond what the surrounding code costs, with a dictionary of common
-identifiers already known. Names and paths compress well; random strings cost three quarters of
+such as key, token or password, before or after it, is a candidate, and so is one near a token that
+is reported, line by line through a key of many lines. Its novelty is the number of bytes that
+zstandard needs for it when the surrounding code and a dictionary of common identifiers are
+already known. Known names compress well, other names and paths may not; random strings cost three quarters of
 their length or more and are reported as ``novel``. What the surroundings have in common with the
 token, from ``MIN_TOKEN`` characters on, is left out of them, so a copy nearby explains nothing, and a
 token that is reported once is reported wherever the text has it.
@@ -33,7 +34,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_LENGTH, ACCESS_LENGTH = 8, 16
 
-# A candidate: a token of the alphabet of keys; it must mix letters and digits.
+# A candidate: a token of the alphabet of keys.
 MIN_TOKEN, CONTEXT = 20, 96
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_TOKEN)
 SENSITIVE = re.compile(
@@ -51,15 +52,16 @@ IDENTIFIERS = (
 
 
 class NoveltyMeter:
-    """Marginal compressed bytes of a token after its surroundings."""
+    """Compressed bytes of a token that knows its surroundings.
 
-    def __init__(self) -> None:
-        primed = zstandard.ZstdCompressionDict(IDENTIFIERS, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        self.compressor = zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False)
+    The surroundings are part of the dictionary: strings in them explain a token, while the mere
+    use of the same letters does not, which would bring random lines of a key below their share.
+    """
 
     def cost(self, around: str, token: str) -> int:
-        before = around.encode()
-        return len(self.compressor.compress(before + token.encode())) - len(self.compressor.compress(before))
+        primed = zstandard.ZstdCompressionDict(IDENTIFIERS + around.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        compressor = zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False)
+        return len(compressor.compress(token.encode())) - len(compressor.compress(b""))
 
     def is_novel(self, around: str, token: str) -> bool:
         return self.cost(around, token) >= NOVEL_SHARE * len(token)
@@ -92,22 +94,39 @@ def _apart(token: str, before: str, after: str) -> str:
 
 
 def novel_spans(text: str, known: list[tuple[int, int, int]], meter: NoveltyMeter) -> list[tuple[int, int, int]]:
-    """Candidates outside the known spans that stand in a sensitive context and do not compress, each token once."""
+    """Candidates outside the known spans that stand in a sensitive context and do not compress, each token once.
+
+    The context is a sensitive word on either side, a known span that names a secret, or a reported token.
+    """
+    spans = [m.span() for m in CANDIDATE.finditer(text)]
+    spans = [(start, end) for start, end in spans if not any(s < end and start < e for s, _, e in known)]
+    named = [(s, e) for s, kind, e in known if KINDS[kind] != "hex"]
     out: list[tuple[int, int, int]] = []
     reported: set[str] = set()  # once is enough here, see ``all_novel_spans``
-    for match in CANDIDATE.finditer(text):
-        token, start, end = match[0], match.start(), match.end()
-        if not (any(c.isdigit() for c in token) and any(c.isalpha() for c in token)):
+    seen = [False] * len(spans)
+    for first, (start, end) in enumerate(spans):
+        if seen[first] or not (
+                SENSITIVE.search(text, max(0, start - CONTEXT), start) or SENSITIVE.search(text, end, end + CONTEXT)
+                or any(0 <= start - e <= CONTEXT or 0 <= s - end <= CONTEXT for s, e in named)):
             continue
-        if any(s < end and start < e for s, _, e in known):
-            continue
-        if token in reported or not SENSITIVE.search(text, max(0, start - CONTEXT), start):
-            continue
-        reach = CONTEXT + MIN_TOKEN
-        if meter.is_novel(_apart(token, text[max(0, start - reach) : start], text[end : end + reach]), token):
-            out.append((start, 3, end))
-            reported.add(token)
-    return out
+        seen[first], reached = True, [first]
+        while reached:
+            at = reached.pop()
+            start, end = spans[at]
+            token, reach = text[start:end], CONTEXT + MIN_TOKEN
+            if token not in reported:
+                if not meter.is_novel(_apart(token, text[max(0, start - reach) : start], text[end : end + reach]), token):
+                    continue
+                out.append((start, 3, end))
+                reported.add(token)
+            for step in (-1, 1):  # a reported token is a context for its neighbours
+                k = at + step
+                while 0 <= k < len(spans) and max(start - spans[k][1], spans[k][0] - end) <= CONTEXT:
+                    if not seen[k]:
+                        seen[k] = True
+                        reached.append(k)
+                    k += step
+    return sorted(out)
 
 
 def all_novel_spans(text: str, known: list[tuple[int, int, int]], meter: NoveltyMeter) -> list[tuple[int, int, int]]:

@@ -70,6 +70,16 @@ def test_every_copy_of_a_novel_token_is_reported(spark):
         [t, t], [t, t], [f"private={t}", f"login={t}"], [t]]
 
 
+def test_the_context_is_carried_on_and_looked_for_on_both_sides(spark):
+    lines = [t for t in tokens(25, 64, letters=string.ascii_letters + string.digits + "+/")]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    far = "nothing of note " * 20
+    [letters] = tokens(1, 32, letters=string.ascii_letters)
+    assert novel(spark, ["\n".join([begin, *lines, end]), "\n".join([*lines, end]), f"{RANDOM} is the password", f"the key is {letters} ok",
+                         f"{far}{RANDOM}{far}{lines[0]}", f"key {lines[0]} {far} {lines[1]}"]) == [
+        lines, lines, [RANDOM], [letters], [], lines[:1]]
+
+
 def test_query_digests(spark):
     texts = {r["doc_id"]: r["text"] for r in documents(spark).collect()}
     for r in QUERIES["op9_secrets"](spark, "/root/testdata/sf0.001").collect():
