@@ -113,23 +113,25 @@ def budget_stream(
     What is spent per client and open window is a table written per micro-batch; batch N
     reads the one of batch N - 1 and replaces its own, so a batch may be run again.
     Windows that began ``lateness_seconds`` before the newest one are dropped from it, and
-    requests that arrive for them later are refused.
+    requests that arrive for them later are refused: ``path``/refused_late has them, one row each.
     """
     spark = requests.sparkSession
 
-    def open_only(rows: DataFrame, spent: DataFrame) -> DataFrame:
+    def marked(rows: DataFrame, spent: DataFrame) -> DataFrame:
         newest = spent.agg(F.max("window_start").alias("_newest"))
         horizon = F.col("_newest") - F.expr(f"interval '{int(lateness_seconds)}' second")
         kept = F.col("_newest").isNull() | (F.col("window_start") >= horizon)
-        return rows.crossJoin(F.broadcast(newest)).filter(kept).drop("_newest")
+        return rows.crossJoin(F.broadcast(newest)).withColumn("_open", F.coalesce(kept, F.lit(False))).drop("_newest")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         state = None
         if batch_id > 0:
             state = spark.read.parquet(f"{path}/state/batch={batch_id - 1}")
         windowed = with_window(batch, seconds)
-        if state is not None:
-            windowed = open_only(windowed, state)
+        windowed = windowed.withColumn("_open", F.lit(True)) if state is None else marked(windowed, state)
+        late = windowed.where("NOT _open").select(*KEYS, "ts", "event_id", "request_cost")
+        late.write.mode("overwrite").parquet(f"{path}/refused_late/batch={batch_id}")
+        windowed = windowed.where("_open").drop("_open")
         decided = admitted(windowed, budget, state)
         folder = f"{path}/decided/batch={batch_id}"
         decided.write.mode("overwrite").parquet(folder)
@@ -137,7 +139,7 @@ def budget_stream(
         spent = decided.select(*KEYS, F.col("admitted_cost").alias("spent"))
         if state is not None:
             spent = spent.unionByName(state).groupBy(*KEYS).agg(F.max("spent").alias("spent"))
-        open_only(spent, spent).write.mode("overwrite").parquet(f"{path}/state/batch={batch_id}")
+        marked(spent, spent).where("_open").drop("_open").write.mode("overwrite").parquet(f"{path}/state/batch={batch_id}")
         rows = decided.select(*KEYS, F.explode("admitted_ids").alias("event_id"))
         rows.write.mode("overwrite").parquet(f"{path}/admitted/batch={batch_id}")
 

@@ -64,6 +64,18 @@ def test_budget_stream_in_several_batches(spark):
     assert found == greedy(data, 50)
 
 
+def test_late_requests_are_stored_as_refused(spark):
+    source, out, checkpoint = (scratch_path(spark, name) for name in ("requests", "budget", "budget-checkpoint"))
+    schema = "event_id long, ts timestamp, client_key long, request_cost int"
+    for batch in ([(1, 5000)], [(2, 0), (3, 5000), (4, 4000), (5, 4500)]):
+        data = [(event, T0 + timedelta(seconds=at), 7, 3) for event, at in batch]
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    budget.budget_stream(stream, out, checkpoint).awaitTermination()
+    assert {row.event_id for row in spark.read.parquet(f"{out}/admitted").collect()} == {1, 3, 5}
+    assert sorted((row.event_id, row.request_cost) for row in spark.read.parquet(f"{out}/refused_late").collect()) == [(2, 3), (4, 3)]
+
+
 def test_repeated_observations_are_stored_once(spark):
     source, out, checkpoint = (scratch_path(spark, name) for name in ("seen", "observed", "observed-checkpoint"))
     for batch in ([(1, 0), (1, 0), (2, 1)], [(1, 0), (2, 2)]):
