@@ -9,7 +9,7 @@ the counts of the rest. The model that scores uses the counts of all training do
 
 Counts cover every token of every training document, in the exchange of ``exchange``; what
 comes to the driver is a histogram with one cell per (context bucket, ratio, ratio) on a grid of
-eighths of an octave, bounded by the grid and not by the corpus.
+eighths of an octave; its lengths grow with the logarithm of the corpus.
 
 A null text is empty: it has the end token alone. Repeated rows and ids are scored one by one; a
 null id is as the empty text in choosing the fold. No rows give no rows; without training
@@ -117,7 +117,7 @@ def _estimates(
 def learn_weights(cells: np.ndarray) -> np.ndarray:
     """Weights (pair, single, uniform) of each context bucket by expectation-maximisation.
 
-    ``cells`` rows are bucket, pair ratio, single ratio (eighths of an octave over uniform, -1 for
+    ``cells`` rows are bucket, pair ratio, single ratio (cells of ``_ratio_cell``, -1 for
     nothing seen) and the number of held-out tokens.
     """
     weights = np.full((CONTEXT_BUCKETS, 3), 1 / 3)
@@ -125,8 +125,7 @@ def learn_weights(cells: np.ndarray) -> np.ndarray:
         return weights
     bucket, number = cells[:, 0], cells[:, 3].astype(float)
     likelihood = np.stack([
-        np.where(cells[:, 1] >= 0, 2.0 ** ((cells[:, 1] - 1) / GRID - 4), 0.0),
-        np.where(cells[:, 2] >= 0, 2.0 ** ((cells[:, 2] - 1) / GRID - 4), 0.0),
+        _cell_ratio(cells[:, 1]), _cell_ratio(cells[:, 2]),
         np.ones(len(cells))], axis=1)
     shared = np.full(3, 1 / 3)
     for _ in range(ROUNDS):
@@ -142,10 +141,15 @@ def learn_weights(cells: np.ndarray) -> np.ndarray:
 
 
 def _ratio_cell(probability: np.ndarray, uniform: float) -> np.ndarray:
-    """The grid cell of probability / uniform; -1 for 0. Ratios are cut off below at 1/16 of uniform."""
+    """The grid cell of probability / uniform, -1 for 0: cell 1 is 1/16 of uniform, and cells below skip -1."""
     with np.errstate(divide="ignore"):
-        octaves = np.log2(probability / uniform)
-    return np.where(probability > 0, np.maximum(0, np.rint((np.maximum(octaves, -4) + 4) * GRID)) + 1, -1).astype(np.int64)
+        octaves = np.where(probability > 0, np.log2(probability / uniform), 0)
+    cell = np.rint((octaves + 4) * GRID).astype(np.int64) + 1
+    return np.where(probability > 0, cell - (cell < 0), -1)
+
+
+def _cell_ratio(cell: np.ndarray) -> np.ndarray:
+    return np.where(cell == -1, 0.0, 2.0 ** ((cell + (cell < -1) - 1) / GRID - 4))
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -84,3 +84,19 @@ def test_nothing_to_train_on(spark):
 def test_weights_find_the_better_estimate():
     weights = interpolated.learn_weights(np.array([[5, 90, 40, 1000], [1, -1, 60, 1000]]))
     assert weights[5].argmax() == 0 and weights[1].argmax() == 1
+
+
+def test_ratios_far_below_uniform_are_kept():
+    octaves = np.arange(-30, 20.01, 0.125)
+    cells = interpolated._ratio_cell(2.0**octaves * 1e-5, 1e-5)
+    assert len(set(cells.tolist()) - {-1}) == len(octaves) and interpolated._ratio_cell(np.zeros(1), 1e-5)[0] == -1
+    assert np.allclose(interpolated._cell_ratio(cells), 2.0**octaves)
+    rare = interpolated._ratio_cell(np.array([2.0**-12]), 1.0)[0]
+    common = interpolated._ratio_cell(np.array([2.0**3]), 1.0)[0]
+    weights = interpolated.learn_weights(np.array([[2, -1, rare, 60_000], [2, -1, common, 40_000]]))
+    single, uniform = 0.5, 0.5  # by expectation-maximisation on the ratios themselves
+    for _ in range(2000):
+        own = [single * x / (single * x + uniform) for x in (2.0**-12, 2.0**3)]
+        single = 0.6 * own[0] + 0.4 * own[1]
+        uniform = 1 - single
+    assert abs(weights[2][1] - single) < 1e-3 and abs(weights[2][2] - uniform) < 1e-3
