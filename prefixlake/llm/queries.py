@@ -1,4 +1,4 @@
-"""The ten operators over their whole tables, with the columns the contracts name, and their SQL."""
+"""The operators over their whole tables, with the columns the contracts name, and their SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefixlake.llm import chat, density, importance, interpolated, matrix, mixing, novelty, packing, refine, weighted_minhash
+from prefixlake.llm import (
+    chat, density, importance, interpolated, matrix, mixing, novelty, packing, refine, repair, trie, weighted_minhash, winnowing,
+)
 from prefixlake.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,6 +114,26 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return density.page_texts(_table(spark, sf_dir, "pages"))
 
 
+@_query
+def op11_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnowing.edited_fingerprints(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        F.sha2(F.col("marks").cast("string"), 256).alias("fingerprint"),
+        F.sha2(F.col("edited_marks").cast("string"), 256).alias("edited_fingerprint"), "near_edited", "near_next",
+        F.size("marks").cast("long").alias("n_marks"))
+
+
+@_query
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(_table(spark, sf_dir, "conversations"))
+
+
+@_query
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 ORACLES["op1_mixing"] = rf"""
 WITH rows AS (
   SELECT doc_id, source, md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place,
@@ -166,3 +188,43 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*)
   doc_id = max(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256
 FROM folded
 """
+
+ORACLES["op13_trie"] = r"""
+WITH own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS place
+  FROM conversations),
+hashed AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS first, CAST(conv_id AS VARCHAR) AS id FROM (SELECT DISTINCT conv_id FROM own)),
+convs AS (  -- the usual CRC-32, bit by bit
+  SELECT conv_id, first, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, range(8 * length(id))::BIGINT[]),
+    lambda acc, i: xor(
+      (CASE WHEN i % 8 = 0 THEN xor(acc, ascii(substr(id, CAST(i // 8 + 1 AS INTEGER), 1))) ELSE acc END) >> 1,
+      3988292384 * ((CASE WHEN i % 8 = 0 THEN xor(acc, ascii(substr(id, CAST(i // 8 + 1 AS INTEGER), 1))) ELSE acc END) & 1)))) % 4 AS h
+  FROM hashed),
+rebuilt AS (
+  SELECT c.conv_id, o.place AS step, 0 AS mine, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.first AND o.place < c.h
+  UNION ALL SELECT c.conv_id, o.place, 1, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.place >= c.h),
+members AS (
+  SELECT conv_id, row_number() OVER w AS depth, text,
+    sha256(CAST(list({'role': role, 'text': text}) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS VARCHAR)) AS key
+  FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY mine, step)),
+rooted AS (
+  SELECT conv_id, depth, text, key, coalesce(lag(key) OVER (PARTITION BY conv_id ORDER BY depth), 'root') AS parent FROM members
+  UNION ALL SELECT conv_id, 0, '', 'root', NULL FROM convs),
+nodes AS (
+  SELECT key, depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs,
+    (count(*) - 1) * len(regexp_extract_all(any_value(text), '[^\x20\x09-\x0D]+')) AS saved
+  FROM rooted GROUP BY key, depth),
+children AS (SELECT parent, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY parent),
+valued AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children c ON c.parent = n.key),
+totals AS (  -- a value counts for all prefixes of its smallest member
+  SELECT r.key, sum(CASE WHEN v.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(v.saved) AS saved_tokens
+  FROM valued v JOIN rooted r ON r.conv_id = v.conv_id AND r.depth <= v.depth GROUP BY r.key),
+lasts AS (SELECT conv_id, max_by(key, depth) AS key FROM rooted GROUP BY conv_id),
+ends AS (SELECT key, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM lasts GROUP BY key)
+SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children,
+  CAST(t.n_leaves AS BIGINT) AS n_leaves, CAST(t.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM valued v JOIN totals t USING (key) LEFT JOIN ends e USING (key) LEFT JOIN nodes p ON p.key = v.parent
+"""
