@@ -44,7 +44,8 @@ def test_novelty_reports_random_strings_in_context_only():
     assert found(f"my private key is {RANDOM} ok") == [RANDOM]
     assert found(f"an ordinary thing is {RANDOM} ok") == []  # nothing sensitive before it
     assert found("auth header authorization_bearer_client_id_1 used") == []  # known identifiers
-    assert found(f"key {RANDOM} and key {RANDOM}") in ([], [RANDOM])  # a repeated string explains itself
+    text = f"key {RANDOM} and key {RANDOM}"  # a repeated string does not explain itself
+    assert [text[s:e] for s, _, e in novelty.all_novel_spans(text, [], meter)] == [RANDOM, RANDOM]
     assert found("key 00000000000000000000000000000000a000") == []
 
 
@@ -93,3 +94,46 @@ def test_query_digests(spark):
 def test_odd_documents(spark):
     assert novelty.secret_spans(odd_docs(spark)).count() == odd_docs(spark).count()
     assert novelty.secret_spans(no_docs(spark)).count() == 0
+
+
+def test_keys_of_any_alphabet_and_length_are_found():
+    meter = novelty.NoveltyMeter()
+    for letters in novelty.ALPHABETS[1:]:
+        for size, number in ((24, 60), (64, 60), (100, 40), (300, 20), (2_000, 8), (10_000, 4)):
+            some = tokens(number, size, seed=size, letters=letters)
+            texts = [f"the private key is {t} ok" for t in some]
+            hits = [novelty.novel_spans(x, novelty.base_spans(x), meter) or novelty.base_spans(x) for x in texts]
+            assert sum(map(bool, hits)) >= 0.95 * number, (letters, size)
+
+
+def test_names_that_raise_no_alarm():
+    """Counted, so that a change that raises more shows."""
+    meter = novelty.NoveltyMeter()
+    names = ["authorization_bearer_client_id_1", "public_key_private_key_certificate", "aws_secret_access_key_placeholder",
+             "session_cookie_password_username", "00000000000000000000000000000001", "----------------------------",
+             "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "abcabcabcabcabcabcabcabcabcabc", "your_key_here_your_key_here"]
+    alarms = [n for n in names if novelty.novel_spans(f"the key {n} is used", [], meter)]
+    assert alarms == []
+
+
+def test_a_log_of_hashes_is_scanned_in_one_walk():
+    import time
+
+    lines = "\n".join(f"commit {t} by token" for t in tokens(100_000, 40, letters="0123456789abcdef"))
+    begun = time.perf_counter()
+    known = novelty.base_spans(lines)
+    assert novelty.all_novel_spans(lines, known, novelty.NoveltyMeter()) == [] and len(known) == 100_000
+    assert time.perf_counter() - begun < 20
+
+
+def test_names_of_the_corpus_are_learned_and_copied_secrets_are_not(spark):
+    parts = ["registry", "duplicate", "warnings", "international", "localization", "resolver", "pipeline", "Controller"]
+    rng = random.Random(11)
+    names = sorted({"_".join(rng.sample(parts, 4)) for _ in range(200)})
+    texts = [f"key {name} here" for name in names] + [f"the private key is {RANDOM} ok"] * 300
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert set(novelty.learned_words(docs)) == set(parts)
+    got = novel(spark, texts)
+    assert sum(map(bool, got[: len(names)])) <= 0.02 * len(names) and got[len(names) :] == [[RANDOM]] * 300
+    alone = novel(spark, texts[:5])  # too few to learn from
+    assert sum(map(bool, alone)) >= 3
