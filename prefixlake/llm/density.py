@@ -1,9 +1,9 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree of its elements; what is never article text (scripts, menus, forms,
-adverts, notices, comments of readers, ...) is taken out by element. Whole names in class, id and
-role only mark an element: it is taken out unless it holds an article or main element or the node
-of the largest sum below; an id marks nothing on headings and inside the article. For every node that is left, the density is characters per tag, damped by
+A page becomes a tree of its elements; what is never text (scripts, styles, controls, ...) is taken out by
+element. Elements for menus, forms, sidebars and the like, and whole names in class, id and
+role, only mark an element: it is taken out unless it holds an article or main element or, on pages that have neither,
+the node of the largest sum below; an id marks nothing on headings and inside the article. For every node that is left, the density is characters per tag, damped by
 the share of link text; the sum over its children says how much text stands directly below it.
 The node with the largest sum is the article, widened to an enclosing article or main element;
 subtrees beside it under the same parent belong to it when they are as dense as the least dense
@@ -20,6 +20,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -32,8 +33,9 @@ from prefixlake.llm.words import text_groups
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp template noembed noframes".split())
 REMOVED = frozenset(
-    "script style textarea title noscript iframe xmp template noembed noframes head nav footer aside form button "
-    "select option svg canvas object dialog menu audio video map".split())
+    "script style textarea title noscript iframe xmp template noembed noframes head button "
+    "select option svg canvas object audio video map".split())
+MARKED = frozenset("nav footer aside form dialog menu".split())  # by name; pages may wrap everything in one of them
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary "
@@ -59,11 +61,11 @@ COMMENT_NAMES = frozenset(
     "comment comments commentlist comment-list comments-list comments-area comment-body comment-respond comment-form "
     "disqus disqus_thread".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-ASIDE, BY_ID, COMMENT = 1, 2, 3  # marks
+ASIDE, BY_ID, COMMENT, BY_TAG = 1, 2, 3, 4  # marks
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _REST = re.compile(r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*>""")
-_MARK = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|["'/=]""")
 
 
 class _Tree:
@@ -74,6 +76,8 @@ class _Tree:
         self.texts: list[tuple[int, int, str]] = []  # node, block number, text
         self.block = 0
         self._open = [0]
+        self._count: Counter[str] = Counter()  # open elements by name
+        self._seen: set[str] = set()
         self._read(page)
 
     def _start(self, tag: str, attributes: str) -> None:
@@ -84,32 +88,41 @@ class _Tree:
             self._close(*IMPLIED[tag])
         if tag in BLOCK:
             self.block += 1
-        if tag in ("html", "body") and tag in self.tag:
-            return
+        if tag in ("html", "body"):
+            if tag in self._seen:
+                return
+            self._seen.add(tag)
         node = len(self.tag)
         self.parent.append(stack[-1])
         self.tag.append(tag)
-        self.removed.append(self.removed[stack[-1]] or self._is_removed(tag))
-        self.mark.append(self._marked(tag, attributes))
+        self.removed.append(self.removed[stack[-1]] or tag in REMOVED)
+        self.mark.append(self._marked(tag, attributes) or BY_TAG * self._is_aside(tag))
         if tag not in VOID:
             stack.append(node)
+            self._count[tag] += 1
+
+    def _is_aside(self, tag: str) -> bool:
+        return tag in MARKED or (tag == "header" and not self._count["article"] and not self._count["main"])
 
-    def _is_removed(self, tag: str) -> bool:
-        return tag in REMOVED or (tag == "header" and not any(self.tag[n] in ("article", "main") for n in self._open))
+    def _cut(self, place: int) -> None:
+        """Closes the open elements from this one on."""
+        for node in self._open[place:]:
+            self._count[self.tag[node]] -= 1
+        del self._open[place:]
 
     def _marked(self, tag: str, attributes: str) -> int:
         if tag in ("html", "body", "main") or not attributes:
             return 0
         names: set[str] = set()
         ids: set[str] = set()
-        for m in _MARK.finditer(attributes):
-            (ids if m[1].lower() == "id" else names).update(m[2].strip("\"'").lower().split())
-        outer = {self.tag[n] for n in self._open} if names or ids else set()
-        if tag in HEADINGS or tag == "article" or "article" in outer:
+        for m in _ATTRIBUTE.finditer(attributes):
+            if m[2] and (key := m[1].lower()) in ("class", "id", "role"):
+                (ids if key == "id" else names).update(m[2].strip("\"'").lower().split())
+        if tag in HEADINGS or tag == "article" or self._count["article"]:
             ids = set()
         if (names | ids) & COMMENT_NAMES:
             return COMMENT
-        known = ASIDE_NAMES - IN_ARTICLE if outer & {"article", "main"} else ASIDE_NAMES
+        known = ASIDE_NAMES - IN_ARTICLE if self._count["article"] or self._count["main"] else ASIDE_NAMES
         if tag == "article" or not (names | ids) & known:
             return 0
         return ASIDE if names & known else BY_ID
@@ -119,10 +132,12 @@ class _Tree:
             self.removed[node] = self.removed[node] or node in nodes or self.removed[self.parent[node]]
 
     def _close(self, tags: set[str], until: set[str]) -> None:
+        if not any(self._count[tag] for tag in tags):
+            return
         for k in range(len(self._open) - 1, 0, -1):
             tag = self.tag[self._open[k]]
             if tag in tags:
-                del self._open[k:]
+                self._cut(k)
                 self.block += 1
                 return
             if tag in until:
@@ -131,9 +146,11 @@ class _Tree:
     def _end(self, tag: str) -> None:
         if tag in BLOCK:
             self.block += 1
+        if not self._count[tag]:
+            return
         for k in range(len(self._open) - 1, 0, -1):
             if self.tag[self._open[k]] == tag:
-                del self._open[k:]
+                self._cut(k)
                 return
 
     def _text(self, text: str) -> None:
@@ -224,7 +241,7 @@ def _remove_marked(tree: _Tree) -> None:
         holds[tree.parent[node]] |= holds[node]
     marked = [n for n, mark in enumerate(tree.mark) if mark and not holds[n] and not tree.removed[n]]
     before = list(tree.removed)
-    tree.remove({n for n in marked if tree.mark[n] == COMMENT})
+    tree.remove({n for n in marked if tree.mark[n] == COMMENT or (tree.mark[n] == BY_TAG and holds[0])})
     _, sums, chars, _ = _densities(tree)
     if not chars[0]:  # all text is in them
         tree.removed = list(before)
@@ -240,7 +257,7 @@ def _remove_marked(tree: _Tree) -> None:
         inside[node] |= inside[tree.parent[node]]
     tree.remove({
         n for n in marked
-        if tree.mark[n] == ASIDE and n not in around or tree.mark[n] == BY_ID and n not in around and not inside[n]})
+        if tree.mark[n] in (ASIDE, BY_TAG) and n not in around or tree.mark[n] == BY_ID and n not in around and not inside[n]})
     if not any(text.strip() and not tree.removed[node] for node, _, text in tree.texts):
         tree.removed = before
 
