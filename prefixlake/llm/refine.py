@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from prefixlake.session import materialize
 
 PREFIX_CHARS = 256
-BROADCAST_ROWS = 200_000  # prefix groups of 20 bytes that are sent to every task; beyond it rows are shuffled
+BROADCAST_ROWS = 200_000  # prefix groups of 20 bytes that are sent to every task; beyond it a bitmap is
+MOST_SLOTS = 1 << 27  # bits of that bitmap: 16 MB
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LENGTH, PREFIX, FULL = "_refine_length", "_refine_prefix", "_refine_full"
 
@@ -49,21 +50,39 @@ def surviving_prefixes(docs: DataFrame, text: str = "text") -> DataFrame:
         sketch.join(lengths, LENGTH, "left_semi").where("rows > 1").select(LENGTH, PREFIX), "refine-prefixes")
 
 
+def _possible(prefixes: DataFrame, groups: int) -> Column:
+    """Whether a row's (length, prefix hash) can be one of the groups, told where the row lies; never false for one that is.
+
+    One bit per slot of a hash of the group, sixteen slots a group up to ``MOST_SLOTS``: the bitmap that goes to every
+    task has a fixed bound, and beyond it more rows pass that are alone.
+    """
+    slots = min(MOST_SLOTS, 1 << max(10, (16 * groups - 1).bit_length()))
+    slot = F.pmod(F.xxhash64(LENGTH, PREFIX), F.lit(slots))
+    word, bit = F.floor(slot / 64), F.shiftleft(F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
+    words = prefixes.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    dense = prefixes.sparkSession.range(slots // 64).withColumnRenamed("id", "word").join(words, "word", "left")
+    listed = F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
+    bitmap = materialize(dense.agg(F.transform(listed, lambda w: w["bits"]).alias("bitmap")), "refine-bitmap")
+    return F.get(bitmap.scalar(), word.cast("int")).bitwiseAND(bit) != 0
+
+
 def with_full_hash(docs: DataFrame, text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The rows with ``_refine_full``: SHA-256 of the folded text where a prefix group survives, else null.
 
     A measured, small table of groups goes to every task and whole texts stay where they are.
-    A larger one is joined by shuffle; there the hash is made before, so that the same values
-    come out, and only rows whose length survives take part.
+    A larger one goes as a bitmap of bounded size: rows that it rules out stay where they are, too, and the others are
+    joined with the groups by shuffle. On both paths only rows of surviving groups have their whole text hashed.
     """
     prefixes = surviving_prefixes(docs, text)
     marked = prefixes.withColumn("_refine_found", F.lit(True))
-    full = F.sha2(fold_case(F.col(text)), 256)
-    if prefixes.count() <= broadcast_rows:
-        joined = _measured(docs, text).join(F.broadcast(marked), [LENGTH, PREFIX], "left")
-        return joined.withColumn(FULL, F.when(F.col("_refine_found"), full)).drop("_refine_found", LENGTH, PREFIX)
-    joined = _measured(docs, text).withColumn(FULL, full).join(marked, [LENGTH, PREFIX], "left")
-    return joined.withColumn(FULL, F.when(F.col("_refine_found"), F.col(FULL))).drop("_refine_found", LENGTH, PREFIX)
+    full = F.when(F.col("_refine_found"), F.sha2(fold_case(F.col(text)), 256))
+    rows, groups = _measured(docs, text), prefixes.count()
+    if groups <= broadcast_rows:
+        return rows.join(F.broadcast(marked), [LENGTH, PREFIX], "left").withColumn(FULL, full).drop("_refine_found", LENGTH, PREFIX)
+    possible = _possible(prefixes, groups)
+    alone = rows.where(~possible).withColumn(FULL, F.lit(None).cast("string")).drop(LENGTH, PREFIX)
+    joined = rows.where(possible).join(marked, [LENGTH, PREFIX], "left").withColumn(FULL, full)
+    return joined.drop("_refine_found", LENGTH, PREFIX).select(*alone.columns).unionByName(alone)
 
 
 def duplicate_groups(
