@@ -46,28 +46,24 @@ def ranked_sources(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> Da
 def water_fill(sources: DataFrame, budget: float = BUDGET, max_epochs: float = MAX_EPOCHS) -> DataFrame:
     """source, source_size, weight -> with ``target``.
 
-    Every round is one aggregate over the stored sources: those whose share is above their cap
-    are clamped, and the rest of the budget is shared by the weight that is left. The rounds end
-    when no further source is clamped.
+    Sources are clamped in order of cap per weight: one is above its cap when its share of what the earlier caps
+    leave, by weight among itself and the later ones, is more than that. Two running sums tell all of them at
+    once, however many sources there are, and the rest share what is left by weight.
     """
-    sources = materialize(sources.withColumn("cap", F.col("source_size") * F.lit(max_epochs)), "mix-weights")
-    total = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)) * F.lit(budget)).first()[0]
-    left, weight, clamped = total, None, -1
-    while True:
-        # share = weight * left / open weight; compared without division
-        above = F.lit(False) if weight is None else F.col("weight") * F.lit(left) > F.col("cap") * F.lit(weight)
-        row = sources.agg(
-            F.count(F.when(above, 1)).alias("clamped"),
-            F.coalesce(F.sum(F.when(above, F.col("cap"))), F.lit(0.0)).alias("used"),
-            F.coalesce(F.sum(F.when(~above, F.col("weight"))), F.lit(0.0)).alias("open"),
-        ).first()
-        if row["clamped"] == clamped:
-            break
-        clamped, left, weight = row["clamped"], total - row["used"], row["open"]
-        if not weight:
-            break
-    share = F.col("weight") * F.lit(left) / F.lit(weight) if weight else F.col("cap")
-    return sources.withColumn("target", F.least(share, F.col("cap"))).drop("cap")
+    full = F.coalesce(F.try_divide(F.col("source_size") * F.lit(max_epochs), F.col("weight")), F.lit(float("inf")))
+    sources = sources.withColumns({"cap": F.col("source_size") * F.lit(max_epochs), "_full": full})
+    order = [F.col("_full"), F.col("source").isNull(), F.col("source")]
+    ranked = running_totals(sources, None, order, F.col("cap"), "mix-caps").withColumnRenamed("before", "_caps")
+    ranked = materialize(
+        running_totals(ranked, None, order, F.col("weight"), "mix-shares").withColumnRenamed("before", "_weights"), "mix-weights")
+    sums = ranked.agg(
+        (F.coalesce(F.sum("source_size"), F.lit(0)) * F.lit(budget)).alias("total"), F.sum("weight").alias("weight")).first()
+    above = F.col("weight") * (F.lit(sums["total"]) - F.col("_caps")) > F.col("cap") * (F.lit(sums["weight"]) - F.col("_weights"))
+    rest = ranked.agg(
+        F.coalesce(F.sum(F.when(above, F.col("cap"))), F.lit(0.0)).alias("used"),
+        F.coalesce(F.sum(F.when(~above, F.col("weight"))), F.lit(0.0)).alias("weight")).first()
+    share = F.col("weight") * F.lit(sums["total"] - rest["used"]) / F.lit(rest["weight"]) if rest["weight"] else F.col("cap")
+    return ranked.withColumn("target", F.least(share, F.col("cap"))).drop("cap", "_full", "_caps", "_weights")
 
 
 def mix(
