@@ -8,6 +8,7 @@ fixtures a query mentions as common table expressions.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,9 +51,9 @@ select registry, prefix_bits, prefix_length, organization_name, core_source_slug
 union all select registry, prefix_bits, prefix_length, organization_name, 'zz-mirror' from fx_assignments where registry <> 'CID' and prefix_bits % 20 = 0
 union all select registry, prefix_bits, prefix_length, concat(organization_name, ' Other'), 'zz-mirror' from fx_assignments where registry <> 'CID' and prefix_bits % 50 = 7""",
     "fx_snapshot": """
-select 'prev' snap, prefix_bits, prefix_length, organization_name, core_source_slug from fx_assignments where registry = 'MA-L' and prefix_bits % 10 <> 0
-union all select 'curr', prefix_bits, prefix_length, case when prefix_bits % 7 = 0 then concat(organization_name, ' Ltd') else organization_name end, core_source_slug
-from fx_assignments where registry = 'MA-L' and prefix_bits % 10 <> 1""",
+select 'prev' snap, registry, prefix_bits, prefix_length, organization_name, core_source_slug from fx_assignments where prefix_bits % 10 <> 0
+union all select 'curr', registry, prefix_bits, prefix_length, case when prefix_bits % 7 = 0 then concat(organization_name, ' Ltd') else organization_name end, core_source_slug
+from fx_assignments where prefix_bits % 10 <> 1""",
     "fx_suppressions": """
 select prefix_bits, prefix_length, case prefix_bits % 3 when 0 then 'official' when 1 then 'curated' else 'both' end surface,
  case when prefix_bits % 2 = 0 then core_source_slug end source_slug, case when prefix_bits % 11 = 0 then 'revoked' else 'active' end status,
@@ -158,10 +159,10 @@ def _table(spark: SparkSession, path: str) -> DataFrame:
     return _opened[key]
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A fixture written once per application as a table, the way a release is stored."""
+def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame] | None = None) -> DataFrame:
+    """A fixture, or what ``make`` derives from fixtures, written once per application, the way a release is stored."""
     key = (spark.sparkContext.applicationId, f"{sf_dir}#{name}")
     if key not in _opened:
         parts = spark.sparkContext.defaultParallelism
-        _opened[key] = materialize(fixture(spark, sf_dir, name).repartition(parts), name)
+        _opened[key] = materialize((make() if make else fixture(spark, sf_dir, name)).repartition(parts), name)
     return _opened[key]

@@ -6,11 +6,11 @@ import json
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefixlake.functions.text import FIELD_BYTES, FORBIDDEN_CLASS, with_default
+from prefixlake.functions.text import FIELD_BYTES, FORBIDDEN_CLASS, in_branches, with_default
 
 # Bounds of a claim object.
 CLAIM_BYTES = 32 * 1024
@@ -103,16 +103,13 @@ def _canonical_udf(values: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(pairs, columns=["value", "error"])
 
 
-def canonical_json(value: Column | str, organization: Column | str | None = None) -> Column:
-    """Struct ``value, error`` with key-sorted compact JSON of a claim object.
+def _given(value: Column | str) -> Column:
+    return F.nullif(F.col(value) if isinstance(value, str) else value, F.lit(""))
 
-    Plain claims are handled by Spark's own JSON functions. Only texts with
-    non-ASCII characters, escapes, fractions, long numbers, many members or a
-    parse problem go to Python, where every bound is checked exactly. An absent
-    claim becomes ``{"label": organization}`` or ``{}``.
-    """
-    text = F.nullif(F.col(value) if isinstance(value, str) else value, F.lit(""))
-    compact = F.to_json(F.try_parse_json(text))
+
+def is_plain_claim(value: Column | str) -> Column:
+    """Whether Spark's own JSON functions give the canonical text of a claim; an absent claim is plain."""
+    text = _given(value)
     members = F.length(text) - F.length(F.translate(text, "{[,", ""))
     plain = (
         (F.octet_length(text) == F.length(text))
@@ -121,19 +118,41 @@ def canonical_json(value: Column | str, organization: Column | str | None = None
         & ~text.rlike(r"\\|[0-9][.eE]|[0-9]{16}|-0")
         & ~text.rlike(r"[\x00-\x1F\x7F]")
         & text.rlike(r"\A *\{")
-        & compact.isNotNull()
+        & F.to_json(F.try_parse_json(text)).isNotNull()
     )
-    plain = F.coalesce(plain, F.lit(False))
-    slow = _canonical_udf(F.when(text.isNotNull() & ~plain, text))
+    return text.isNull() | F.coalesce(plain, F.lit(False))
+
+
+def canonical_json(value: Column | str, organization: Column | str | None = None, plain_only: bool = False) -> Column:
+    """Struct ``value, error`` with key-sorted compact JSON of a claim object.
+
+    Plain claims are handled by Spark's own JSON functions. Only texts with
+    non-ASCII characters, escapes, fractions, long numbers, many members or a
+    parse problem go to Python, where every bound is checked exactly; ``plain_only`` leaves that step out of the
+    plan for rows known to be plain. An absent claim becomes ``{"label": organization}`` or ``{}``.
+    """
+    text = _given(value)
+    compact = F.to_json(F.try_parse_json(text))
     if organization is None:
         default = F.lit("{}")
     else:
         name = F.col(organization) if isinstance(organization, str) else organization
         default = F.when(name.isNull(), "{}").otherwise(F.to_json(F.struct(name.alias("label"))))
+    if plain_only:
+        return F.struct(
+            F.when(text.isNull(), default).otherwise(compact).alias("value"), F.lit(None).cast("string").alias("error"))
+    plain = is_plain_claim(value)
+    slow = _canonical_udf(F.when(~plain, text))
     return F.struct(
         F.when(text.isNull(), default).when(plain, compact).otherwise(slow["value"]).alias("value"),
-        F.when(text.isNull() | plain, None).otherwise(slow["error"]).alias("error"),
+        F.when(plain, None).otherwise(slow["error"]).alias("error"),
     )
 
 
-__all__ = ["canonical_json", "with_default"]
+def canonical_claims(df: DataFrame, col: str, out: str, organization: str | None = None) -> DataFrame:
+    """``df`` with the struct of :func:`canonical_json`; plain rows do not meet the Python step."""
+    return in_branches(
+        df, is_plain_claim(col), lambda rows, plain: rows.withColumn(out, canonical_json(col, organization, plain)))
+
+
+__all__ = ["canonical_claims", "canonical_json", "is_plain_claim", "with_default"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -40,6 +41,23 @@ def nfc(value: Column | str, ascii_only: bool = False) -> Column:
     return F.coalesce(_nfc(F.when(~_is_ascii(value), value)), value)
 
 
+def is_plain(*cols: str) -> Column:
+    """Whether all of these text columns are ASCII or NULL, so that no row step in Python is needed."""
+    plain = F.lit(True)
+    for name in cols:
+        plain = plain & F.coalesce(_is_ascii(F.col(name)), F.lit(True))
+    return plain
+
+
+def in_branches(df: DataFrame, plain: Column, build: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
+    """``build`` of the plain rows without the Python step, and of the few others with it.
+
+    A Python step in a plan sees every row that reaches it, NULL or not, so the rows are parted before.
+    """
+    known = F.coalesce(plain, F.lit(False))
+    return build(df.filter(known), True).unionByName(build(df.filter(~known), False))
+
+
 def trim_space(value: Column) -> Column:
     return F.btrim(value, F.lit(SPACES))
 
@@ -63,7 +81,10 @@ def clean(value: Column | str, ascii_only: bool = False) -> Column:
 
 
 def clean_text(df: DataFrame, cols: list[str], ascii_only: bool = False) -> DataFrame:
-    return df.withColumns({name: clean(name, ascii_only) for name in cols})
+    def cleaned(rows: DataFrame, plain: bool) -> DataFrame:
+        return rows.withColumns({name: clean(name, plain) for name in cols})
+
+    return cleaned(df, True) if ascii_only else in_branches(df, is_plain(*cols), cleaned)
 
 
 def strict_text(value: Column | str, required: Column | bool = False, ascii_only: bool = False) -> Column:

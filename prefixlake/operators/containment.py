@@ -1,0 +1,91 @@
+"""Which stored prefixes contain an address, by one sorted merge.
+
+Prefixes are nested or apart. So the stored ones cut the address space into stretches, each with one
+longest prefix, and every prefix has a chain of shorter ones around it. An address is placed by the last
+boundary before it; what holds for its longest prefix holds for the address, and all work on
+matches is done once per prefix instead of once per address. No address is probed once per length.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from prefixlake.functions.bits import ADDRESS_BITS, prefix_key, shift_left, shift_right
+from prefixlake.operators.joins import skew_join
+from prefixlake.session import materialize
+
+
+def running_last(df: DataFrame, order: list[str], values: list[str], label: str) -> DataFrame:
+    """``df``, stored, with ``last_<value>``: the last value that is not NULL up to each row in ``order``.
+
+    Rows are dealt by range, so no task sees all of them; of each range one row of last values goes to
+    the ranges after it.
+    """
+    ranged = materialize(
+        df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), label)
+    place = F.struct(*order)
+    ends = ranged.groupBy(F.col("_range").alias("_at")).agg(
+        *[F.max_by(v, F.when(F.col(v).isNotNull(), place)).alias(f"_end_{v}") for v in values])
+    before = Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    carried = ends.select("_at", *[F.last(f"_end_{v}", ignorenulls=True).over(before).alias(f"_before_{v}") for v in values])
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = (
+        ranged.withColumns({f"_last_{v}": F.last(v, ignorenulls=True).over(inside) for v in values})
+        .join(F.broadcast(carried), F.col("_range") == F.col("_at")))
+    return joined.select(*df.columns, *[F.coalesce(f"_last_{v}", f"_before_{v}").alias(f"last_{v}") for v in values])
+
+
+def _start(bits: Column | str, length: Column | str) -> Column:
+    return shift_left(bits, F.lit(ADDRESS_BITS) - (F.col(length) if isinstance(length, str) else length))
+
+
+def chains(prefixes: DataFrame) -> DataFrame:
+    """Distinct (prefix_bits, prefix_length) -> key, start, stop, chain: the prefix and all stored ones around it, longest first.
+
+    ``chain`` holds structs of key and stop, at most one per length that occurs. Prefixes are sorted by start, then
+    length; the last one of a length contains a later prefix or none of that length does.
+    """
+    distinct = prefixes.select("prefix_bits", "prefix_length").distinct()
+    lengths = sorted(r[0] for r in distinct.select("prefix_length").distinct().collect())  # at most 48
+    keyed = distinct.select(
+        prefix_key("prefix_bits", "prefix_length").alias("key"), F.col("prefix_length").alias("length"),
+        _start("prefix_bits", "prefix_length").alias("start"))
+    values = [f"l{n}" for n in lengths]
+    placed = running_last(
+        keyed.withColumns({f"l{n}": F.when(F.col("length") == n, F.col("key")) for n in lengths}),
+        ["start", "length"], values, "chains")
+
+    def entry(n: int) -> Column:
+        bits = shift_right("start", ADDRESS_BITS - n)
+        around = (F.col("length") >= n) & (F.col(f"last_l{n}") == prefix_key(bits, n))
+        return F.when(around, F.struct(F.col(f"last_l{n}").alias("key"), shift_left(bits + 1, F.lit(ADDRESS_BITS - n)).alias("stop")))
+
+    chain = F.filter(F.array(*[entry(n) for n in reversed(lengths)]), lambda c: c.isNotNull()) if lengths else F.array().cast(
+        "array<struct<key:bigint,stop:bigint>>")
+    return placed.select("key", "length", "start", chain.alias("chain")).withColumn("stop", F.col("chain")[0]["stop"])
+
+
+def boundaries(chained: DataFrame) -> DataFrame:
+    """place, key: from each place on, up to the next one, ``key`` is the longest prefix; 0 where there is none."""
+    starts = chained.select(F.col("start").alias("place"), "key", F.col("length").alias("_depth"))
+    outer = F.get(F.filter("chain", lambda c: c["stop"] > F.col("stop")), F.lit(0))["key"]
+    stops = chained.select(F.col("stop").alias("place"), F.coalesce(outer, F.lit(0)).alias("key"), F.lit(0).alias("_depth"))
+    # prefixes that end at one place continue in the same one, and any that starts there is longer
+    return starts.unionByName(stops).groupBy("place").agg(F.max_by("key", "_depth").alias("key"))
+
+
+def longest_stored(addresses: DataFrame, chained: DataFrame, mac: str = "mac_value") -> DataFrame:
+    """Distinct addresses with ``longest``: the key of the longest stored prefix around each, or NULL. Stored."""
+    marks = boundaries(chained).select("place", F.lit(0).alias("_kind"), "key")
+    asked = addresses.select(F.col(mac).alias("place"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("key"))
+    found = running_last(marks.unionByName(asked), ["place", "_kind"], ["key"], "stretches").where("_kind = 1")
+    return materialize(
+        found.select(F.col("place").alias(mac), F.nullif("last_key", F.lit(0)).alias("longest")), "longest-stored")
+
+
+def chain_members(placed: DataFrame, chained: DataFrame, limit: int | None = None) -> DataFrame:
+    """longest, key: every stored prefix around an address, once per longest prefix that some address has."""
+    used = placed.select("longest").dropna().distinct()
+    found = skew_join(used, chained.select(F.col("key").alias("longest"), "chain"), ["longest"], "inner", limit, store="chains-used")
+    return found.select("longest", F.explode("chain.key").alias("key"))

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from prefixlake import schemas as S
 from prefixlake.functions.bits import REGISTRY_LENGTHS, format_prefix, parse_hex_and_length, registry_length
-from prefixlake.functions.claims import canonical_json
+from prefixlake.functions.claims import canonical_json, is_plain_claim
 from prefixlake.functions.hashes import record_hash, semantic_hash
 from prefixlake.functions.text import (
-    boolean_field, clean_text, enum_error, first_error, instant_field, strict_text, trim_space, with_default,
+    boolean_field, clean_text, enum_error, first_error, in_branches, instant_field, is_plain, strict_text, trim_space, with_default,
 )
 from prefixlake.operators.joins import skew_join
 from prefixlake.session import materialize
@@ -66,12 +66,24 @@ def validate_records(
     return semantic_hash(record_hash(accepted)), refused
 
 
+_TEXTS = ("_organization_name", "_organization_address", "_privacy_review_reference", "_reviewed_by", "_evidence_reference")
+
+
 def check_records(df: DataFrame, rules: SourceRules) -> DataFrame:
-    """Normalized columns plus ``error_code`` for every row of a batch."""
+    """Normalized columns plus ``error_code`` for every row of a batch.
+
+    Rows of plain ASCII texts and plain claims, nearly all of most batches, are checked without a step in Python.
+    """
     unknown = [name for name in df.columns if name not in S.RECORD_FIELDS and name != "locator"]
-    ascii_only = rules.ascii_only
     raw = df.select("locator", *[_given(df, field).alias(f"_{name}") for field, name in S.RECORD_FIELDS.items()])
+    plain = is_plain_claim("_claim_value")
+    if not rules.ascii_only:
+        plain = plain & is_plain(*_TEXTS)
+    return in_branches(raw, plain, lambda rows, fast: _checked(rows, rules, unknown, fast))
+
 
+def _checked(raw: DataFrame, rules: SourceRules, unknown: list[str], plain: bool) -> DataFrame:
+    ascii_only = rules.ascii_only or plain
     kinds = with_default("_record_kind", rules.record_kind)
     staged = raw.withColumns({
         "record_kind": kinds,
@@ -97,7 +109,7 @@ def check_records(df: DataFrame, rules: SourceRules) -> DataFrame:
         "_reviewer": strict_text("_reviewed_by", ascii_only=ascii_only),
         "_evidence": strict_text("_evidence_reference", ascii_only=ascii_only),
     })
-    staged = staged.withColumn("_claim", canonical_json("_claim_value", "_name.value"))
+    staged = staged.withColumn("_claim", canonical_json("_claim_value", "_name.value", plain))
 
     prefix_length = F.col("_parsed.length")
     staged = staged.withColumns({

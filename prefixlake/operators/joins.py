@@ -42,6 +42,39 @@ def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:
     return measured_bytes(df) <= (BROADCAST_BYTES if limit is None else limit)
 
 
+CELL_ROWS = 1000  # rows of one key that one cell of a grid holds on either side
+
+
+def grid_sides(left: DataFrame, right: DataFrame, on: list[str], rows: int = CELL_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_left_block`` and ``_right_block``, so that an equal join on them pairs every row of a key once.
+
+    A key with n rows on the left and m on the right is cut into a grid of n / rows by m / rows cells; every left row
+    goes to one row of cells, every right row to one column. Counts of the keys that are large on a side are
+    stored; all other keys are one cell.
+    """
+    counts = [side.groupBy(*on).agg(F.count(F.lit(1)).alias(name)) for side, name in ((left, "_l"), (right, "_r"))]
+    cells = lambda name: F.ceil(F.col(name) / rows).cast("int")
+    grid = materialize(
+        counts[0].join(counts[1], on).filter((F.col("_l") > rows) | (F.col("_r") > rows))
+        .select(*on, cells("_l").alias("_l"), cells("_r").alias("_r")), "grid")
+    small = fits_broadcast(grid)
+
+    def dealt(side: DataFrame, own: str, own_block: str, other: str, other_block: str) -> DataFrame:
+        sized = skew_join(side, grid, on, "left", small=small)
+        block = F.pmod(F.xxhash64(*side.columns), F.coalesce(F.col(own), F.lit(1)))
+        return sized.withColumn(own_block, block.cast("int")).withColumn(
+            other_block, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1))).drop("_l", "_r")
+
+    return dealt(left, "_l", "_left_block", "_r", "_right_block"), dealt(right, "_r", "_right_block", "_l", "_left_block")
+
+
+def grid_join(left: DataFrame, right: DataFrame, on: list[str], rows: int = CELL_ROWS) -> DataFrame:
+    """Inner join of two sides that may both hold very many rows of one key; no task gets more than a cell of it."""
+    blocks = ["_left_block", "_right_block"]
+    a, b = grid_sides(left, right, on, rows)
+    return a.join(b, [*on, *blocks]).drop(*blocks)
+
+
 def skew_join(
     left: DataFrame,
     right: DataFrame,

@@ -1,7 +1,8 @@
 """Address lookup: longest official prefix, ranked claims and usage insights.
 
-Prefix containment becomes equality: every stored prefix of an address is one
-of at most 48 (bits, length) pairs, and an official block is one of three.
+Prefix containment becomes equality for the official layer: a block is one of three
+(bits, length) pairs. Claims stand on prefixes of any length; an address is placed under the
+longest one by a sorted merge (``containment``), and claims are ranked once per such prefix.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from prefixlake.functions.bits import (
     ADDRESS_BITS, ADDRESS_LIMIT, format_prefix, prefix_key, shift_right,
 )
 from prefixlake.functions.ranking import verification_rank
-from prefixlake.operators.joins import BROADCAST_BYTES, fits_broadcast, row_bytes, skew_join
+from prefixlake.operators.containment import chain_members, chains, longest_stored
+from prefixlake.operators.joins import fits_broadcast, skew_join
 from prefixlake.operators.suppress import unsuppressed_assignments, unsuppressed_claims
 from prefixlake.session import materialize
 
@@ -46,6 +48,7 @@ class Release:
     assignments: DataFrame
     claims: DataFrame
     suppressions: DataFrame
+    # The rows of all runs, for overlays that were stored without twin hashes.
     assignment_history: DataFrame | None = None
     claim_history: DataFrame | None = None
 
@@ -118,7 +121,7 @@ def longest_official(
         .agg(F.max_by("official", "official.prefix_length").alias("official"))
     )
     back = df.withColumn("_bits", F.col(bits)).withColumn("_length", F.col(length))
-    return skew_join(back, found, ["_bits", "_length"], "left", limit).select(*df.columns, "official")
+    return skew_join(back, found, ["_bits", "_length"], "left", limit, store="official-blocks").select(*df.columns, "official")
 
 
 def enrich_official(
@@ -153,14 +156,10 @@ def enrich_claims(
     limit: int | None = None,
 ) -> DataFrame:
     """Best ``k`` claims on any prefix of each distinct address, with ``claim_rank``
-    and ``truncated`` (there was a further claim).
-
-    An address shows at most k + 1 claims of one prefix, so claims are first cut to
-    k + 1 per prefix: exact, and no crowded prefix is multiplied by its addresses. An
-    address has one prefix per length, so length and place within the prefix already give
-    the full order, and addresses are ranked by one small number instead of text columns.
-    """
-    return _ranked_layers(macs, claims, {"claims": (kinds, k)}, by_type, mac, limit).drop("_layer", "_k")
+    and ``truncated`` (there was a further claim)."""
+    placed, ranked = _ranked_layers(macs, claims, {"claims": (kinds, k)}, by_type, mac, limit)
+    return skew_join(placed.dropna(), ranked, ["longest"], "inner", small=False).select(
+        mac, *claims.columns, "claim_rank", "truncated")
 
 
 def _ranked_layers(
@@ -170,43 +169,45 @@ def _ranked_layers(
     by_type: bool,
     mac: str,
     limit: int | None,
-) -> DataFrame:
-    """Best claims of several layers in one pass. ``layers`` gives each layer's claim kinds,
-    which no two layers share, and how many claims it shows; column ``_layer`` names the layer."""
+) -> tuple[DataFrame, DataFrame]:
+    """The distinct addresses with their ``longest`` stored prefix, and the best claims of each such prefix.
+
+    Addresses with one longest prefix have the same claims, so claims are ranked per prefix. ``layers``
+    gives each layer's claim kinds, which no two layers share, and how many claims it shows; column
+    ``_layer`` names the layer. A prefix shows at most k + 1 claims of one prefix around it, so claims
+    are first cut to k + 1 per prefix, exactly; length and place within the prefix then give the full order in one
+    number, and the other columns join the few rows that are left.
+    """
 
     def per_layer(value: Callable[[str], Column]) -> Column:
         return F.coalesce(*[F.when(F.col("claim_type").isin(*kinds), value(name)) for name, (kinds, _) in layers.items()])
 
     order = _claim_order(by_type)
     wanted = claims.withColumn("_layer", per_layer(F.lit)).filter(F.col("_layer").isNotNull())
-    # One pass over the stored claims gives a bound of their size and the at most 48 lengths to probe.
-    measured = wanted.agg(
-        F.sum(row_bytes(wanted).cast("bigint")).alias("bytes"), F.collect_set("prefix_length").alias("lengths")
-    ).first()
-    lengths, small = measured["lengths"], (measured["bytes"] or 0) <= (BROADCAST_BYTES if limit is None else limit)
     keyed = wanted.withColumns({
         "_key": prefix_key("prefix_bits", "prefix_length"), "_k": per_layer(lambda name: F.lit(layers[name][1])),
     })
-    best = (
+    best = materialize(
         keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("_key", "_layer").orderBy(*order)))
         .filter(F.col("_rank") <= F.col("_k") + 1)
         .withColumn("_order", (F.lit(ADDRESS_BITS) - F.col("prefix_length")) * (F.col("_k") + 2) + F.col("_rank"))
-        .drop("_rank")
-    )
+        .drop("_rank"),
+        "best-claims")
     addresses = macs.select(mac).filter((F.col(mac) >= 0) & (F.col(mac) < ADDRESS_LIMIT)).distinct()
-    probes = F.array(*[F.lit(length) for length in sorted(lengths)]).cast("array<int>")
-    candidates = addresses.select(mac, F.explode(probes).alias("_length")).select(
-        mac, prefix_key(shift_right(mac, F.lit(ADDRESS_BITS) - F.col("_length")), "_length").alias("_key")
-    )
-    matched = skew_join(candidates, best, ["_key"], "inner", small=small).drop("_key")
-    per_address = Window.partitionBy(mac, "_layer")
-    return (
-        matched.withColumn("claim_rank", F.row_number().over(per_address.orderBy("_order")))
-        .drop("_order")
+    chained = chains(best)
+    placed = longest_stored(addresses, chained, mac)
+    around = chain_members(placed, chained, limit).withColumnRenamed("key", "_key")
+    places = skew_join(around, best.select("_key", "_layer", "_k", "_order"), ["_key"], "inner", limit)
+    per_prefix = Window.partitionBy("longest", "_layer")
+    ranked = (
+        places.withColumn("claim_rank", F.row_number().over(per_prefix.orderBy("_order")))
         .filter(F.col("claim_rank") <= F.col("_k") + 1)
-        .withColumn("truncated", F.max("claim_rank").over(per_address) > F.col("_k"))
+        .withColumn("truncated", F.max("claim_rank").over(per_prefix) > F.col("_k"))
         .filter(F.col("claim_rank") <= F.col("_k"))
+        .drop("_k")
     )
+    whole = skew_join(ranked, best.drop("_k"), ["_key", "_layer", "_order"], "inner", limit)
+    return placed, materialize(whole.drop("_key", "_order"), "ranked-claims")
 
 
 def enrich_insights(
@@ -223,7 +224,7 @@ def _source(slug: str, release: str) -> Column:
 
 
 def _nested(name: str, fields: list[Column]) -> list[Column]:
-    """At most k structs per address and layer, best first, and whether there were more."""
+    """At most k structs per prefix and layer, best first, and whether there were more."""
     here = F.col("_layer") == name
     listed = F.array_sort(F.collect_list(F.when(here, F.struct("claim_rank", F.struct(*fields).alias("item")))))
     return [
@@ -256,9 +257,11 @@ def answer_from(
     claim_limit: int = CLAIM_LIMIT, insight_limit: int = INSIGHT_LIMIT,
 ) -> DataFrame:
     """Answers from a release whose suppressed rows are already left out."""
-    addresses = macs.select(mac).filter((F.col(mac) >= 0) & (F.col(mac) < ADDRESS_LIMIT)).distinct()
     if mode == "enriched":
-        addresses = materialize(addresses, "addresses")  # read by the official layer and by the claims
+        layers = {"curated_matches": (CURATED_KINDS, claim_limit), "insights": (INSIGHT_KINDS, insight_limit)}
+        addresses, ranked = _ranked_layers(macs, shown.claims, layers, True, mac, limit)
+    else:
+        addresses = macs.select(mac).filter((F.col(mac) >= 0) & (F.col(mac) < ADDRESS_LIMIT)).distinct()
     found = enrich_official(addresses, shown.assignments, mac, limit)
     assignment = F.when(
         F.col("official").isNotNull(),
@@ -272,7 +275,7 @@ def answer_from(
         ),
     )
     answer = found.select(
-        mac,
+        *addresses.columns,
         F.lpad(F.hex(mac), 12, F.lit("0")).alias("normalized"),
         F.struct(
             (F.getbit(F.col(mac), F.lit(LOCAL_BIT)) == 1).alias("locally_administered"),
@@ -295,8 +298,6 @@ def answer_from(
         format_prefix("prefix_bits", "prefix_length").alias("prefix"),
         F.col("prefix_length"),
     ]
-    layers = {"curated_matches": (CURATED_KINDS, claim_limit), "insights": (INSIGHT_KINDS, insight_limit)}
-    ranked = _ranked_layers(addresses, shown.claims, layers, True, mac, limit)
     curated = _nested(
         "curated_matches",
         [*shared, F.lit("vendor_label").alias("claim_type"), F.col("organization_name"),
@@ -308,7 +309,8 @@ def answer_from(
         [*shared, F.col("claim_type"), F.col("organization_name"), F.col("claim_json").alias("details"),
          F.col("verification_status"), _source("source_slug", "source_release_id").alias("source")],
     )
-    full = answer.join(ranked.groupBy(mac).agg(*curated, *insights), mac, "left")
+    lists = ranked.groupBy("longest").agg(*curated, *insights)
+    full = skew_join(answer, lists, ["longest"], "left", limit, store="claim-lists").drop("longest")
     for name in ("curated_matches", "insights"):
         full = full.withColumn(name, F.coalesce(name, F.array().cast(full.schema[name].dataType)))
         full = full.withColumn(f"{name}_truncated", F.coalesce(f"{name}_truncated", F.lit(False)))
@@ -334,11 +336,11 @@ def assignment_evidence(
     releases: DataFrame,
     k: int = EVIDENCE_LIMIT,
 ) -> DataFrame:
-    """First ``k`` evidence rows of each assignment with their source; assignments
-    without evidence keep one row. Cut before the provenance joins, so only shown rows pay."""
+    """First ``k`` evidence rows of each assignment, with the reason for each and its source; assignments
+    without evidence keep one row. Evidence of claims has no assignment and is left out. Cut before the provenance joins, so only shown rows pay."""
     per_assignment = Window.partitionBy("assignment_id")
     shown = (
-        evidence.withColumn(
+        evidence.filter(F.col("assignment_id").isNotNull()).withColumn(
             "evidence_rank",
             F.row_number().over(per_assignment.orderBy(F.asc_nulls_last("role"), F.col("evidence_id"))),
         )

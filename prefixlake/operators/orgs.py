@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from prefixlake.functions.bits import format_prefix
 from prefixlake.functions.ranking import identity_source_rank
-from prefixlake.operators.joins import skew_join
+from prefixlake.operators.joins import grid_join, skew_join
+from prefixlake.session import materialize
 
 # Assignments shown per organization, and rows read per wanted result.
 ASSIGNMENT_LIMIT = 100
+NAME_LIMIT = 100  # of each list of names and identifiers
 
 
 def identities_from_records(records: DataFrame) -> DataFrame:
@@ -51,8 +53,8 @@ def organization_assignments(
     )
     wanted = skew_join(rows, names, ["_lower"], "left_semi")
     if limit is None:
-        # A name is listed by few organizations, so the names are the bounded side.
-        joined = skew_join(wanted, names, ["_lower"], "inner")
+        # One name may be listed by very many organizations and registered very many times.
+        joined = grid_join(wanted, names, ["_lower"])
     else:
         order = Window.partitionBy("_lower").orderBy(*_shown_order())
         wanted = wanted.withColumn("_row", F.row_number().over(order)).filter(F.col("_row") <= limit + 1)
@@ -64,39 +66,82 @@ def _shown_order() -> list[Column]:
     return [F.desc("prefix_length"), F.col("prefix_bits"), F.col("registry"), F.col("organization_name")]
 
 
-def _matches(term: str) -> Column:
-    """Case-insensitive substring in the name or in any alias or registered name."""
-    wanted = F.lower(F.lit(term))
-    inside = lambda text: F.contains(F.lower(text), wanted)
-    return (
-        F.coalesce(inside(F.col("organization_name")), F.lit(False))
-        | F.exists("aliases", inside)
-        | F.exists("registered_names", inside)
-    )
+GRAM = 3
+
+
+def _grams(text: Column, size: int) -> Column:
+    runs = F.transform(F.sequence(F.lit(1), F.char_length(text) - (size - 1)), lambda k: F.substring(text, k, F.lit(size)))
+    return F.when(F.char_length(text) >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+
+def _identity_names(identities: DataFrame) -> DataFrame:
+    """organization_key, scheme, identifier, source_slug, ``_name``: every name of every identity row, in lower case."""
+    listed = F.concat(F.array("organization_name"), F.coalesce("aliases", F.array()), F.coalesce("registered_names", F.array()))
+    return identities.withColumn("_name", F.explode(F.array_distinct(F.transform(listed, F.lower)))).filter(F.col("_name").isNotNull())
+
+
+def name_index(identities: DataFrame) -> DataFrame:
+    """gram, name: every run of up to ``GRAM`` characters of every distinct name, the empty run too. Stored.
+
+    Runs shorter than ``GRAM`` are there for search terms that are no longer themselves.
+    """
+    names = _identity_names(identities).select("_name").distinct()
+    grams = F.concat(F.array(F.lit("")), *[_grams(F.col("_name"), size) for size in range(1, GRAM + 1)])
+    return materialize(names.select(F.explode(grams).alias("gram"), F.col("_name").alias("name")), "name-index")
+
+
+def names_containing(terms: DataFrame, index: DataFrame) -> DataFrame:
+    """term, name: the names that contain each distinct term of a table, ignoring case.
+
+    A term is looked up by its rarest run alone, and what that finds is compared with the whole term. So the names are
+    scanned once for all terms, however many there are.
+    """
+    asked = terms.select("term").dropna().distinct().withColumn("_lower", F.lower("term"))
+    size = F.char_length("_lower")
+    parts = F.when(size >= GRAM, _grams(F.col("_lower"), GRAM)).otherwise(F.array("_lower"))
+    wanted = asked.withColumn("gram", F.explode(parts))
+    counts = index.groupBy("gram").agg(F.count(F.lit(1)).alias("_names"))
+    known = skew_join(wanted, counts, ["gram"], "left", store="gram-counts")
+    rarest = (
+        known.groupBy("term", "_lower").agg(F.min(F.struct(F.coalesce("_names", F.lit(0)).alias("names"), "gram")).alias("_rarest"))
+        .filter(F.col("_rarest.names") > 0).select("term", "_lower", F.col("_rarest.gram").alias("gram")))
+    found = grid_join(index, rarest, ["gram"])
+    return found.filter(F.contains("name", F.col("_lower"))).select("term", "name")
 
 
 def search_organizations(
-    identities: DataFrame, terms: list[str], limit: int = 10, scheme: str | None = None
+    identities: DataFrame, terms: list[str] | DataFrame, limit: int = 10, scheme: str | None = None,
+    registry: str | None = None, assignments: DataFrame | None = None, index: DataFrame | None = None,
 ) -> DataFrame:
     """Identity rows that answer each search term, with ``key_rank`` and ``truncated``.
 
-    All terms are tested in one scan of the identities, without a join. Per term organizations
+    ``terms`` is a list or a table with column ``term``; the plan is the same for any number of them. Per term organizations
     are ranked by their first row in the order of source rank, name, key, scheme and
     identifier; every matching row of the first ``limit`` is kept, and ``truncated`` says that
-    more organizations match. An organization with many rows hides no other.
+    more organizations match. An organization with many rows hides no other. With ``registry`` those of them that
+    have no assignment there, by one of their registered names, are left out.
     """
+    if isinstance(terms, list):
+        terms = identities.sparkSession.createDataFrame([(term,) for term in terms], "term string")
     rows = identities if scheme is None else identities.filter(F.col("scheme") == scheme)
-    hits = F.array_compact(F.array(*[F.when(_matches(term), F.lit(term)) for term in terms]))
-    matched = rows.withColumn("term", F.explode(hits)).withColumn("_rank", identity_source_rank("source_slug"))
-    first = F.min(F.struct("_rank", "organization_name", "organization_key", "scheme", "identifier"))
+    found = names_containing(terms, name_index(rows) if index is None else index)
+    named = _identity_names(rows.withColumn("_row", F.struct(*rows.columns))).select("_row", F.col("_name").alias("name"))
+    # A row is found once, whichever of its names match; equal rows stay as many as they are.
+    numbered = named.withColumn("_copy", F.row_number().over(Window.partitionBy("_row", "name").orderBy(F.lit(1))))
+    hits = grid_join(numbered, found, ["name"]).groupBy("term", "_row").agg(F.max("_copy").alias("_copies"))
+    matched = materialize(
+        hits.withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("term", "_row.*"), "organization-hits")
+    first = F.min(F.struct(identity_source_rank("source_slug").alias("_rank"), "organization_name", "organization_key", "scheme", "identifier"))
     keys = matched.groupBy("term", "organization_key").agg(first.alias("_first"))
-    numbered = keys.withColumn("key_rank", F.row_number().over(Window.partitionBy("term").orderBy("_first")))
-    best = numbered.filter(F.col("key_rank") <= limit + 1)
+    ranked = keys.withColumn("key_rank", F.row_number().over(Window.partitionBy("term").orderBy("_first")))
+    best = ranked.filter(F.col("key_rank") <= limit + 1)
     more = best.groupBy("term").agg((F.max("key_rank") > limit).alias("truncated"))
-    # at most limit + 1 keys per term, and as many terms as the caller lists
     chosen = best.filter(F.col("key_rank") <= limit).join(more, "term").select("term", "organization_key", "key_rank", "truncated")
-    return matched.join(chosen, ["term", "organization_key"]).select(
-        *rows.columns, "term", "key_rank", "truncated")
+    if registry is not None:
+        some = organization_assignments(
+            skew_join(rows, chosen.select("organization_key"), ["organization_key"], "left_semi"), assignments, registry, limit=1)
+        chosen = skew_join(chosen, some.select("organization_key"), ["organization_key"], "left_semi", store="organizations-there")
+    return skew_join(matched, chosen, ["term", "organization_key"], "inner").select(*rows.columns, "term", "key_rank", "truncated")
 
 
 def organization_names(identities: DataFrame) -> DataFrame:
@@ -111,10 +156,38 @@ def organization_names(identities: DataFrame) -> DataFrame:
     return aliases.unionByName(registered).distinct()
 
 
+def _first_values(rows: DataFrame, value: Column, order: list[Column | str], name: str, limit: int) -> DataFrame:
+    """organization_key, the first ``limit`` values in order as a list, and whether there are more."""
+    numbered = rows.withColumn("_row", F.row_number().over(Window.partitionBy("organization_key").orderBy(*order)))
+    shown = numbered.filter(F.col("_row") <= limit + 1)
+    pairs = F.array_sort(F.collect_list(F.when(F.col("_row") <= limit, F.struct("_row", value.alias("value")))))
+    return shown.groupBy("organization_key").agg(
+        F.transform(pairs, lambda entry: entry["value"]).alias(name), (F.max("_row") > limit).alias(f"{name}_truncated"))
+
+
+def organization_lists(identities: DataFrame, limit: int = NAME_LIMIT) -> DataFrame:
+    """One row per organization: its aliases, registered names and external identifiers, up to ``limit`` of each, in order."""
+    names = organization_names(identities)
+    kinds = [
+        _first_values(names.filter(F.col("name_kind") == kind), F.col("name"), ["name"], column, limit)
+        for kind, column in (("alias", "aliases"), ("registered_name", "registered_names"))]
+    item = F.struct("scheme", "identifier", "source_slug")
+    found = identities.select("organization_key", "scheme", "identifier", "source_slug").distinct()
+    joined = _first_values(found, item, ["scheme", "identifier", "source_slug"], "external_identifiers", limit)
+    for side in kinds:
+        joined = joined.join(side, "organization_key", "left")
+    for column in ("aliases", "registered_names"):
+        joined = joined.withColumns({
+            column: F.coalesce(column, F.array().cast("array<string>")),
+            f"{column}_truncated": F.coalesce(f"{column}_truncated", F.lit(False))})
+    return joined
+
+
 def organization_profiles(identities: DataFrame, matched: DataFrame, limit: int = ASSIGNMENT_LIMIT) -> DataFrame:
     """One row per organization: preferred name, counts, and up to ``limit`` assignments.
 
-    ``matched`` comes from :func:`organization_assignments` with the same limit. Only the bounded list is nested.
+    ``matched`` comes from :func:`organization_assignments` with the same limit. Only bounded lists are nested; names and
+    identifiers are in :func:`organization_lists`.
     """
     best = F.struct(identity_source_rank("source_slug"), "organization_name", "scheme", "identifier")
     named = identities.groupBy("organization_key").agg(

@@ -43,18 +43,14 @@ def previous_release(runs: DataFrame, current_id: str, current_completed_at: dat
 
 
 def retention_candidates(
-    runs: DataFrame,
-    suppressions: DataFrame,
-    assignments: DataFrame,
-    claims: DataFrame,
-    cutoff: datetime | str,
-    keep: int,
-    batch: int,
+    runs: DataFrame, suppressions: DataFrame, named_runs: DataFrame, cutoff: datetime | str, keep: int, batch: int,
 ) -> DataFrame:
     """Retired runs to prune, oldest first.
 
     The newest ``keep`` retired runs stay (a bounded top-k, not a window over all runs), as
-    does every run that a suppression of any status names directly or through a row.
+    does every run that a suppression of any status names directly or through a row. ``named_runs``
+    (resolution_run_id) are the latter: kept up to date when a suppression is made or a run is built, so no rows of runs
+    are read here.
     """
     if not 1 <= keep <= 100 or not 1 <= batch <= 10:
         raise ValueError("keep must be 1..100 and batch 1..10")
@@ -62,22 +58,10 @@ def retention_candidates(
     newest = retired.orderBy(
         F.desc_nulls_last("activated_at"), F.desc("completed_at"), F.desc("resolution_run_id")
     ).limit(keep)
-    named = suppressions.select("resolution_run_id")
-    through_assignment = skew_join(
-        assignments.select("resolution_run_id", "assignment_id"),
-        suppressions.select(F.col("resolved_assignment_id").alias("assignment_id")).dropna(),
-        ["assignment_id"], "left_semi",
-    )
-    through_claim = skew_join(
-        claims.select("resolution_run_id", "claim_id"),
-        suppressions.select(F.col("resolved_claim_id").alias("claim_id")).dropna(),
-        ["claim_id"], "left_semi",
-    )
     protected = (
         newest.select("resolution_run_id")
-        .unionByName(named.dropna())
-        .unionByName(through_assignment.select("resolution_run_id"))
-        .unionByName(through_claim.select("resolution_run_id"))
+        .unionByName(suppressions.select("resolution_run_id").dropna())
+        .unionByName(named_runs.select("resolution_run_id"))
     )
     old = retired.filter(F.col("completed_at") < instant(cutoff))
     return (

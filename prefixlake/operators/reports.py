@@ -182,7 +182,3 @@ def purge_contacts(requests: DataFrame, as_of: datetime | str) -> DataFrame:
         "contact_purged_at": F.when(due, instant(as_of)).otherwise(F.col("contact_purged_at")),
     })
 
-
-def expired_windows(windows: DataFrame, as_of: datetime | str) -> DataFrame:
-    """Budget windows that may be deleted: two window lengths after their start."""
-    return windows.filter(F.col("expires_at") <= instant(as_of))

@@ -14,6 +14,8 @@ from prefixlake.operators.lookup import CURATED_KINDS, INSIGHT_KINDS, longest_of
 from prefixlake.session import materialize
 
 CLAIM_KINDS = CURATED_KINDS + INSIGHT_KINDS
+# Why a record is evidence.
+SELECTED_REASON, CORROBORATING_REASON, CLAIM_REASON = "longest_prefix_authoritative", "identical_authoritative_record", "source_claim"
 
 
 @dataclass(frozen=True)
@@ -127,9 +129,25 @@ def assignment_roles(records: DataFrame, grouped: DataFrame | None = None) -> Da
         "assignment_id", "prefix_length", "prefix_bits", "record_id", "source_slug", "raw_record_hash",
         F.when(F.col("record_id") == F.col("core_record_id"), "selected")
         .otherwise("corroborating").alias("role"),
+        F.when(F.col("record_id") == F.col("core_record_id"), SELECTED_REASON).otherwise(CORROBORATING_REASON).alias("reason_code"),
     ).withColumn("evidence_id", stable_id("evidence", "assignment_id", "record_id"))
 
 
+def claim_evidence(claims: DataFrame) -> DataFrame:
+    """Evidence of resolved claims: each stands on the one record it was made from."""
+    return claims.select(
+        "claim_id", "prefix_length", "prefix_bits", "record_id", "source_slug", "raw_record_hash",
+        F.lit("selected").alias("role"), F.lit(CLAIM_REASON).alias("reason_code"),
+    ).withColumn("evidence_id", stable_id("evidence", "claim_id", "record_id"))
+
+
+def evidence_rows(assignments: DataFrame, claims: DataFrame) -> DataFrame:
+    """Evidence of both kinds in one table; every row has exactly one target, named by ``field_name``."""
+    return (
+        assignments.withColumn("field_name", F.lit("assignment"))
+        .unionByName(claims.withColumn("field_name", F.lit("claim")), allowMissingColumns=True))
+
+
 def corroborate(claims: DataFrame, kind: str = "record_kind") -> DataFrame:
     """Final ``verification_status``: reviewed stays; two sources that claim the same kind,
     prefix and name corroborate each other; otherwise unverified or one observation."""
@@ -184,10 +202,11 @@ def resolve(records: DataFrame) -> Resolution:
     conflicts, evidence and the claim comparison all read them."""
     grouped = materialize(_grouped(_authoritative(records)), "resolved-keys")
     assignments = materialize(_assignments(grouped), "resolved-assignments")
+    claims = resolve_claims(records, assignments)
     return Resolution(
         assignments=assignments,
-        claims=resolve_claims(records, assignments),
-        evidence=assignment_roles(records, grouped),
+        claims=claims,
+        evidence=evidence_rows(assignment_roles(records, grouped), claim_evidence(claims)),
         conflicts=assignment_conflicts(records, grouped),
     )
 
@@ -210,21 +229,48 @@ def run_summary(resolution: Resolution) -> DataFrame:
     ])
 
 
+# Leading hex digits of the row hashes that name a bucket, from the leaves up to the root.
+TREE_LEVELS = (5, 2, 0)
+
+
+def hash_buckets(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Leaves of the hash tree: bucket, row_count, hash.
+
+    A bucket is the range of row hashes with the same first digits; its hash is taken over its distinct row hashes in
+    order, each with its number of rows. Equal rows are counted before they are moved, so a bucket holds distinct
+    hashes only, spread evenly whatever the rows are.
+    """
+    row_hash = F.sha2(json_key(*[F.col(name) for name in sorted(columns)]), 256)
+    distinct = df.select(row_hash.alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
+    entry = F.concat("_h", F.lit(":"), F.col("_n").cast("string"))
+    return distinct.groupBy(F.substring("_h", 1, TREE_LEVELS[0]).alias("bucket")).agg(
+        F.sum("_n").alias("row_count"),
+        F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), "|"), 256).alias("hash"))
+
+
 def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row: count and content hash that ignore row order, ids and partitioning.
 
-    Each row hash is added up in eight 32-bit words. Sums combine on the map side, so
-    the output is the same for any split of the rows and no group is ever collected.
+    The hash is the root of a tree over buckets of row hashes: every level hashes the ordered hashes of the one
+    below, so a different table with the same hash would break SHA-256 itself, and no step gathers more than
+    one bucket or the few thousand children of a node.
     """
-    row_hash = F.sha2(json_key(*[F.col(name) for name in sorted(columns)]), 256)
-    words = [
-        F.sum(F.conv(F.substring("_h", 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")).alias(f"_w{i}")
-        for i in range(8)
-    ]
-    summed = df.select(row_hash.alias("_h")).agg(F.count(F.lit(1)).alias("row_count"), *words)
-    parts = [F.col("row_count").cast("string")]
-    parts += [F.coalesce(F.col(f"_w{i}").cast("string"), F.lit("0")) for i in range(8)]
-    return summed.select(
-        "row_count",
-        F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("|", *parts), 256)).alias("output_hash"),
-    )
+    level = hash_buckets(df, columns)
+    for digits in TREE_LEVELS[1:]:
+        entry = F.concat("bucket", F.lit(":"), "hash")
+        level = level.groupBy(F.substring("bucket", 1, digits).alias("bucket")).agg(
+            F.sum("row_count").alias("row_count"),
+            F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), "|"), 256).alias("hash"))
+    return level.agg(
+        F.coalesce(F.sum("row_count"), F.lit(0)).alias("row_count"),
+        F.concat(F.lit("sha256:"), F.coalesce(F.max("hash"), F.sha2(F.lit(""), 256))).alias("output_hash"))
+
+
+def differing_buckets(current: DataFrame, previous: DataFrame, columns: list[str]) -> DataFrame:
+    """bucket, current_rows, previous_rows of every bucket in which two releases differ; only their rows need a diff."""
+    sides = [
+        hash_buckets(df, columns).withColumnsRenamed({"row_count": f"{name}_rows", "hash": f"_{name}"})
+        for name, df in (("current", current), ("previous", previous))]
+    joined = sides[0].join(sides[1], "bucket", "full")
+    return joined.where(~F.col("_current").eqNullSafe(F.col("_previous"))).select(
+        "bucket", *[F.coalesce(f"{name}_rows", F.lit(0)).alias(f"{name}_rows") for name in ("current", "previous")])

@@ -2,7 +2,9 @@
 
 A suppression names a row by id, or an exact prefix on a surface, optionally
 for one source and one run. A row named by id stays withheld after a rebuild,
-when its semantic twin comes back under another id. Each form is its own
+when its semantic twin comes back under another id: the overlay keeps a hash of what the
+row says (``twin_hash``), made when the suppression is, so later runs are compared with the
+overlay alone and earlier ones are not read again. Each form is its own
 equi-join; one predicate with OR would compare every pair of rows.
 """
 
@@ -26,6 +28,8 @@ CLAIM_TWIN = (
 )
 
 
+TWIN = "twin_hash"
+
 # Formats of reason codes and opaque references; surfaces a prefix can be withheld on.
 REASON_CODE = r"\A[a-z0-9][a-z0-9._-]{0,63}\z"
 OPAQUE_REFERENCE = r"\A[A-Za-z0-9][A-Za-z0-9._:/#-]{0,127}\z"
@@ -57,10 +61,45 @@ def _prefix_targets(active: DataFrame, surface: str, run_id: str | None) -> Data
     return targets.select(prefix_key("prefix_bits", "prefix_length").alias("_prefix_key"), "source_slug")
 
 
+def twin_hash(twin: tuple[str, ...]) -> Column:
+    """What a row says, as one hash; rows of equal hash are twins whatever their ids."""
+    return F.sha2(json_key(*twin), 256)
+
+
+def with_twins(overlay: DataFrame, assignments: DataFrame | None, claims: DataFrame | None) -> DataFrame:
+    """The overlay with ``twin_hash`` of every row that names an assignment or claim of the given runs.
+
+    This reads all rows of the runs, so it is for overlays that were stored without the hash; see
+    :func:`apply_suppression_requests` for how new ones get it.
+    """
+    overlay = overlay.withColumn(TWIN, F.col(TWIN) if TWIN in overlay.columns else F.lit(None).cast("string"))
+    for rows, row_id, target_id, twin in (
+            (assignments, "assignment_id", "resolved_assignment_id", ASSIGNMENT_TWIN), (claims, "claim_id", "resolved_claim_id", CLAIM_TWIN)):
+        if rows is None or target_id not in overlay.columns:
+            continue
+        wanted = overlay.filter(F.col(target_id).isNotNull() & F.col(TWIN).isNull()).select(F.col(target_id).alias(row_id))
+        found = (
+            skew_join(rows.select(row_id, *twin), wanted, [row_id], "left_semi")
+            .groupBy(F.col(row_id).alias(target_id)).agg(F.min(twin_hash(twin)).alias("_found")))
+        overlay = skew_join(overlay, found, [target_id], "left", store="twin-index").withColumn(
+            TWIN, F.coalesce(TWIN, "_found")).drop("_found")
+    return overlay
+
+
+def suppressed_in_runs(overlay: DataFrame, assignments: DataFrame, claims: DataFrame) -> DataFrame:
+    """resolution_run_id of the given runs that hold a row which a suppression of any status names, once each."""
+    parts = [
+        skew_join(
+            rows.select("resolution_run_id", row_id), overlay.select(F.col(target_id).alias(row_id)).dropna(), [row_id], "left_semi")
+        .select("resolution_run_id")
+        for rows, row_id, target_id in (
+            (assignments, "assignment_id", "resolved_assignment_id"), (claims, "claim_id", "resolved_claim_id"))]
+    return parts[0].unionByName(parts[1]).distinct()
+
+
 def _withhold(
     rows: DataFrame,
     active: DataFrame,
-    history: DataFrame | None,
     surface: str,
     slug: str,
     row_id: str,
@@ -91,13 +130,10 @@ def _withhold(
     if measured["named"]:
         named = active.filter(F.col(target_id).isNotNull()).select(F.col(target_id).alias(row_id))
         kept = without(kept, named, [row_id])
-        if history is not None:
-            withheld = without(history, named, [row_id], "left_semi")
-            # One id occurs in every run that held the row, and a twin key holds whole fields, so
-            # the distinct keys are stored and measured themselves.
-            twins = withheld.select(json_key(*twin).alias("_twin"))
-            keyed = kept.withColumn("_twin", json_key(*twin))
-            kept = skew_join(keyed, twins, ["_twin"], "left_anti", store="twins").drop("_twin")
+        if TWIN in active.columns:
+            twins = active.filter(F.col(target_id).isNotNull()).select(F.col(TWIN).alias("_twin")).dropna()
+            keyed = kept.withColumn("_twin", twin_hash(twin))
+            kept = without(keyed, twins, ["_twin"]).drop("_twin")
     return kept.drop("_prefix_key").select(*rows.columns)
 
 
@@ -108,10 +144,13 @@ def unsuppressed_assignments(
     history: DataFrame | None = None,
     run_id: str | None = None,
 ) -> DataFrame:
-    """Assignments of a run that may be shown. ``history`` holds the assignments of all
-    runs, where suppressed ids are looked up for their twins."""
+    """Assignments of a run that may be shown. ``history``, the assignments of all runs, is read
+    only for an overlay that was stored without ``twin_hash``."""
+    active = active_at(suppressions, as_of)
+    if history is not None and TWIN not in active.columns:
+        active = with_twins(active, history, None)
     return _withhold(
-        assignments, active_at(suppressions, as_of), history, "official", "core_source_slug",
+        assignments, active, "official", "core_source_slug",
         "assignment_id", "resolved_assignment_id", ASSIGNMENT_TWIN, run_id,
     )
 
@@ -124,23 +163,18 @@ def unsuppressed_claims(
     run_id: str | None = None,
 ) -> DataFrame:
     """Claims of a run that may be shown."""
+    active = active_at(suppressions, as_of)
+    if history is not None and TWIN not in active.columns:
+        active = with_twins(active, None, history)
     return _withhold(
-        claims, active_at(suppressions, as_of), history, "curated", "source_slug",
+        claims, active, "curated", "source_slug",
         "claim_id", "resolved_claim_id", CLAIM_TWIN, run_id,
     )
 
 
-def _assignment_keys(assignments: DataFrame) -> DataFrame:
-    return assignments.select("assignment_id", F.concat(F.lit("a:"), json_key(*ASSIGNMENT_TWIN)).alias("_key"))
-
-
-def _claim_keys(claims: DataFrame) -> DataFrame:
-    return claims.select("claim_id", F.concat(F.lit("c:"), json_key(*CLAIM_TWIN)).alias("_key"))
-
-
 def _prefix_target_key() -> Column:
     return F.concat(
-        F.lit("p:"), json_key(F.lit(None).cast("string").alias("run"), "prefix_bits", "prefix_length", "surface",
+        F.lit("prefix:"), json_key(F.lit(None).cast("string").alias("run"), "prefix_bits", "prefix_length", "surface",
                               F.coalesce("source_slug", F.lit("")).alias("slug"))
     )
 
@@ -166,8 +200,12 @@ def apply_suppression_requests(
 
     Due suppressions expire first, then revocations apply, then creations in order of
     ``request_seq``: of several requests for one target the first is taken. A target named
-    by id counts as suppressed when its semantic twin already is.
+    by id counts as suppressed when its semantic twin already is. New rows carry the ``twin_hash`` of their
+    target; the histories are read only for an overlay that was stored without it.
     """
+    if TWIN not in overlay.columns:
+        overlay = with_twins(
+            overlay, assignments if assignment_history is None else assignment_history, claims if claim_history is None else claim_history)
     overlay = expire_due(overlay, as_of)
     revokes = requests.filter(F.col("action") == "revoke")
     creates = requests.filter(F.col("action") == "create")
@@ -186,9 +224,8 @@ def apply_suppression_requests(
         "status", F.when(F.col("_revoked"), "revoked").otherwise(F.col("status"))
     ).drop("_revoked")
 
-    rename = {"assignment_id": "resolved_assignment_id", "claim_id": "resolved_claim_id"}
-    by_assignment = _assignment_keys(assignments).withColumnsRenamed(rename).withColumnRenamed("_key", "_a_key")
-    by_claim = _claim_keys(claims).withColumnsRenamed(rename).withColumnRenamed("_key", "_c_key")
+    by_assignment = assignments.select(F.col("assignment_id").alias("resolved_assignment_id"), twin_hash(ASSIGNMENT_TWIN).alias("_a_twin"))
+    by_claim = claims.select(F.col("claim_id").alias("resolved_claim_id"), twin_hash(CLAIM_TWIN).alias("_c_twin"))
     slugs = active_slugs.select("source_slug").distinct().withColumn("_slug_known", F.lit(True))
     keyed = skew_join(creates, by_assignment, ["resolved_assignment_id"], "left")
     keyed = skew_join(keyed, by_claim, ["resolved_claim_id"], "left")
@@ -196,26 +233,20 @@ def apply_suppression_requests(
     is_prefix = F.col("prefix_bits").isNotNull()
     keyed = keyed.withColumn(
         "_key",
-        F.when(F.col("resolved_assignment_id").isNotNull(), F.col("_a_key"))
-        .when(F.col("resolved_claim_id").isNotNull(), F.col("_c_key"))
+        F.when(F.col("resolved_assignment_id").isNotNull(), F.concat(F.lit("assignment:"), "_a_twin"))
+        .when(F.col("resolved_claim_id").isNotNull(), F.concat(F.lit("claim:"), "_c_twin"))
         .otherwise(_prefix_target_key()),
     )
 
     active = overlay.filter(F.col("status") == "active")
-    old_assignments = _assignment_keys(assignments if assignment_history is None else assignment_history)
-    old_claims = _claim_keys(claims if claim_history is None else claim_history)
     taken = (
-        skew_join(old_assignments, active.select(F.col("resolved_assignment_id").alias("assignment_id")).dropna(),
-                  ["assignment_id"], "left_semi").select("_key")
-        .unionByName(
-            skew_join(old_claims, active.select(F.col("resolved_claim_id").alias("claim_id")).dropna(),
-                      ["claim_id"], "left_semi").select("_key")
-        )
+        active.filter(F.col("resolved_assignment_id").isNotNull()).select(F.concat(F.lit("assignment:"), TWIN).alias("_key"))
+        .unionByName(active.filter(F.col("resolved_claim_id").isNotNull()).select(F.concat(F.lit("claim:"), TWIN).alias("_key")))
         .unionByName(
             active.filter(F.col("prefix_bits").isNotNull() & F.col("resolution_run_id").isNull())
             .select(_prefix_target_key().alias("_key"))
         )
-        .distinct()
+        .dropna().distinct()
         .withColumn("_taken", F.lit(True))
     )
     keyed = skew_join(keyed, taken, ["_key"], "left")
@@ -254,6 +285,7 @@ def apply_suppression_requests(
         "suppression_id", F.lit(None).cast("string").alias("resolution_run_id"), "resolved_assignment_id",
         "resolved_claim_id", "prefix_bits", "prefix_length", "surface", "source_slug", "reason_code",
         F.lit("active").alias("status"), instant(as_of).alias("starts_at"), "expires_at",
+        F.coalesce("_a_twin", "_c_twin").alias(TWIN),
     )
     refused = (
         revokes.select("request_seq", "action", "error_code")

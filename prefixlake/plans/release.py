@@ -13,18 +13,19 @@ from prefixlake.operators import contract, diff, gates, releases
 from prefixlake.operators.joins import skew_join
 from prefixlake.operators.lookup import Release
 from prefixlake.operators.resolve import fingerprint, resolve
-from prefixlake.operators.suppress import apply_suppression_requests
+from prefixlake.operators.suppress import apply_suppression_requests, suppressed_in_runs
 from prefixlake.plans.warehouse import Warehouse
 from prefixlake.session import materialize
 from prefixlake.sources.adapters import adapt
 from prefixlake.sources.files import BatchRejected, with_locator
+from prefixlake.sources.sinks import append_missing
 
 # What counts as the content of a run.
 ASSIGNMENT_CONTENT = [
     "registry", "prefix_bits", "prefix_length", "organization_name", "organization_address", "is_private",
     "core_source_slug", "core_record_hash",
 ]
-EVIDENCE_CONTENT = ["prefix_length", "prefix_bits", "source_slug", "raw_record_hash", "role"]
+EVIDENCE_CONTENT = ["prefix_length", "prefix_bits", "source_slug", "raw_record_hash", "role", "field_name", "reason_code"]
 CLAIM_CONTENT = [
     "claim_type", "prefix_bits", "prefix_length", "claim_json", "organization_name", "verification_status",
     "origin_type", "conflict_status", "source_slug", "raw_record_hash",
@@ -48,6 +49,22 @@ def _first(df: DataFrame, *columns: str):
     return rows[0] if rows else None
 
 
+def import_gate(
+    wh: Warehouse, slug: str, rules: contract.SourceRules, at: datetime, snapshot_kind: str, snapshot_complete: bool,
+) -> dict | None:
+    """Refuse a release whose source may not publish; returns the diff policy of the source, if it has one."""
+    source = wh.sources().filter(F.col("source_slug") == slug).withColumns({
+        "publish_mode": F.lit(rules.publish_mode), "snapshot_kind": F.lit(snapshot_kind), "snapshot_complete": F.lit(snapshot_complete)})
+    found = _first(gates.rights_gate(source, at), "blocking_code", "diff_policy")
+    if found is None:
+        raise BatchRejected("SOURCE_NOT_FOUND", slug)
+    if found["blocking_code"]:
+        raise BatchRejected(found["blocking_code"], slug)
+    if rules.publish_mode == "production" and snapshot_kind == "delta":
+        raise BatchRejected("PRODUCTION_DELTA_UNSUPPORTED", slug)
+    return None if found["diff_policy"] is None else json.loads(found["diff_policy"])
+
+
 def import_release(
     wh: Warehouse,
     slug: str,
@@ -61,13 +78,22 @@ def import_release(
     max_added_percent: float | None = None,
     max_removed_percent: float | None = None,
     max_rows: int | None = None,
+    snapshot_complete: bool = True,
+    actor: str = "import",
 ) -> dict:
     """Turn a raw batch into a stored release, or raise with the rule it breaks.
 
-    The same batch under the same settings is imported once.
+    The same batch under the same settings is imported once. Limits that are not given come from the ``diff_policy`` of
+    the source, JSON text with the same two names; a production source must have one or the other.
     """
     if rules.publish_mode == "disabled":
         raise BatchRejected("SOURCE_DISABLED")
+    policy = import_gate(wh, slug, rules, at, snapshot_kind, snapshot_complete)
+    if policy is None and rules.publish_mode == "production" and max_added_percent is None and max_removed_percent is None:
+        raise BatchRejected("DIFF_POLICY_REQUIRED")
+    policy = policy or {}
+    max_added_percent = policy.get("max_added_percent") if max_added_percent is None else max_added_percent
+    max_removed_percent = policy.get("max_removed_percent") if max_removed_percent is None else max_removed_percent
     import_key = _digest([slug, content_hash, adapter, adapter_options, snapshot_kind, rules.__dict__])
     release_id = _digest([slug, import_key])[7:]
     stored = wh.read("source_releases").filter((F.col("source_slug") == slug) & (F.col("import_key") == import_key))
@@ -111,21 +137,37 @@ def import_release(
     wh.replace_part("source_records", release_id, records)
     count = records.count()
     wh.append("source_releases", wh.spark.createDataFrame(
-        [(release_id, slug, "valid", snapshot_kind, snapshot_kind == "full_snapshot", import_key, content_hash,
+        [(release_id, slug, "valid", snapshot_kind, snapshot_kind == "full_snapshot" and snapshot_complete, import_key, content_hash,
           count, 0, at, at)],
         "source_release_id string, source_slug string, status string, snapshot_kind string, snapshot_complete boolean,"
         " import_key string, content_hash string, record_count bigint, rejected_record_count bigint,"
         " fetched_at timestamp_ntz, validated_at timestamp_ntz",
     ))
+    _audit(wh, "source_release.imported", actor, "source_release", release_id, at, record_count=count, source_slug=slug)
     return {"status": "imported", "source_release_id": release_id, "record_count": count,
             "warnings": warnings.count(), "diff": changed.asDict()}
 
 
-def observe(wh: Warehouse, release_id: str, at: datetime) -> None:
+def _audit(wh: Warehouse, event: str, actor: str, kind: str, target: str, at: datetime, **facts) -> None:
+    row = (event, actor, kind, target, json.dumps(facts, sort_keys=True, default=str), at)
+    wh.audit(wh.spark.createDataFrame([row], wh.empty("audit_events").schema))
+
+
+def observe(wh: Warehouse, release_id: str, at: datetime, actor: str = "fetch") -> int:
     """Record that a release was seen again; the same observation is stored once."""
-    new = wh.spark.createDataFrame([(release_id, at)], "source_release_id string, observed_at timestamp_ntz")
-    known = wh.read("observations")
-    wh.append("observations", skew_join(new, known, ["source_release_id", "observed_at"], "left_anti"))
+    return observe_all(wh, wh.spark.createDataFrame([(release_id, at)], wh.empty("observations").schema), at, actor)
+
+
+def observe_all(wh: Warehouse, seen: DataFrame, at: datetime, actor: str = "fetch") -> int:
+    """Store the observations (source_release_id, observed_at) not stored so far, and an audit event of each."""
+    key = ["source_release_id", "observed_at"]
+    new = materialize(append_missing(seen.select(*key), wh.read("observations").select(*key), key), "observations")
+    wh.append("observations", new)
+    facts = F.to_json(F.struct(F.col("observed_at").cast("string").alias("observed_at")))
+    wh.audit(new.select(
+        F.lit("source_release.observed").alias("event_type"), F.lit(actor).alias("actor_id"), F.lit("source_release").alias("target_type"),
+        F.col("source_release_id").alias("target_id"), facts.alias("metadata"), F.lit(at).cast("timestamp_ntz").alias("created_at")))
+    return new.count()
 
 
 def _inputs(wh: Warehouse, release_ids: list[str]) -> DataFrame:
@@ -192,6 +234,8 @@ def build_run(wh: Warehouse, release_ids: list[str], at: datetime, policy_versio
     for table, frame in (("resolved_assignments", result.assignments), ("resolved_claims", result.claims),
                          ("resolution_evidence", result.evidence)):
         wh.replace_part(table, run_id, frame)
+    built = [wh.read(table).filter(F.col("resolution_run_id") == run_id) for table in ("resolved_assignments", "resolved_claims")]
+    _name_runs(wh, suppressed_in_runs(wh.overlay(), *built))
     parts = []
     for table, content in (("resolved_assignments", ASSIGNMENT_CONTENT), ("resolved_claims", CLAIM_CONTENT),
                            ("resolution_evidence", EVIDENCE_CONTENT)):
@@ -213,19 +257,28 @@ def publish(
     rollback: bool = False,
     expected_run: object = _UNSET,
     expected_publication_version: object = _UNSET,
+    actor: str = "publish",
 ) -> dict:
-    """Point the publication at a validated run, or back at a retired one."""
+    """Point the publication at a validated run, or back at a retired one.
+
+    The pointer is moved first: it decides what is published, and of two writers only one moves it. The events
+    of the runs follow; a call that was cut off between the two is finished by making it again.
+    """
     run = _first(wh.runs().filter(F.col("resolution_run_id") == run_id), "status")
     if run is None:
         raise ReleaseRejected("RUN_NOT_FOUND")
     pointer = wh.pointer()
+    pointed = pointer is not None and pointer["resolution_run_id"] == run_id
     if run[0] == "active":
-        if pointer is None or pointer["resolution_run_id"] != run_id:
+        if not pointed:
             raise ReleaseRejected("POINTER_INCONSISTENT")
         return {"status": "already_active", **pointer}
     expected = "retired" if rollback else "validated"
     if run[0] != expected:
         raise ReleaseRejected("RUN_NOT_ACTIVATABLE", f"expected {expected}, is {run[0]}")
+    if pointed:
+        _activate(wh, run_id, at)
+        return {"status": "already_active", **pointer}
     inputs = wh.read("resolution_inputs").filter(F.col("resolution_run_id") == run_id).select(
         F.col("source_slug").alias("slug"), F.col("config_version").alias("built_config_version")
     )
@@ -237,23 +290,30 @@ def publish(
         raise ReleaseRejected("ACTIVE_RESOLUTION_CHANGED")
     if expected_publication_version is not _UNSET and current["publication_version"] != (expected_publication_version or 0):
         raise ReleaseRejected("ACTIVE_PUBLICATION_CHANGED")
-    if pointer:
-        _event(wh, pointer["resolution_run_id"], "retired", at)
-    _event(wh, run_id, "active", at)
     moved = _move_pointer(wh, run_id, current["version"] + 1, current["publication_version"] + 1, at)
-    return {"status": "rolled_back" if rollback else "activated", "previous_run_id": current["resolution_run_id"], **moved}
+    _activate(wh, run_id, at)
+    status = "rolled_back" if rollback else "activated"
+    _audit(wh, f"resolution.{status}", actor, "resolution_run", run_id, at, previous_run_id=current["resolution_run_id"])
+    return {"status": status, "previous_run_id": current["resolution_run_id"], **moved}
+
+
+def _activate(wh: Warehouse, run_id: str, at: datetime) -> None:
+    """Events of a run the pointer has come to, and of those it has left."""
+    for other in wh.runs().filter((F.col("status") == "active") & (F.col("resolution_run_id") != run_id)).select("resolution_run_id").collect():
+        _event(wh, other[0], "retired", at)  # one run is active at a time
+    _event(wh, run_id, "active", at)
 
 
 def _move_pointer(wh: Warehouse, run_id: str, version: int, publication_version: int, at: datetime) -> dict:
     row = {"resolution_run_id": run_id, "version": version, "publication_version": publication_version, "updated_at": at}
-    schema = wh.empty("active_resolution").schema
-    wh.append("active_resolution", wh.spark.createDataFrame([tuple(row[f.name] for f in schema.fields)], schema))
+    if not wh.commit_pointer(row):
+        raise ReleaseRejected("ACTIVE_PUBLICATION_CHANGED", "another writer published first")
     return row
 
 
-def current_release(wh: Warehouse) -> Release:
-    """The published release, with the pointer read exactly once."""
-    pointer = wh.pointer()
+def current_release(wh: Warehouse, publication_version: int | None = None) -> Release:
+    """The published release, or that of an earlier publication, with the pointer read exactly once."""
+    pointer = wh.pointer(publication_version)
     if pointer is None:
         raise ReleaseRejected("DATA_RELEASE_UNAVAILABLE")
     run_id = pointer["resolution_run_id"]
@@ -267,19 +327,19 @@ def current_release(wh: Warehouse) -> Release:
         generated_at=str(run["completed_at"]),
         assignments=of_run("resolved_assignments"),
         claims=of_run("resolved_claims"),
-        suppressions=wh.overlay(),
-        assignment_history=wh.read("resolved_assignments"),
-        claim_history=wh.read("resolved_claims"),
+        suppressions=wh.overlay(pointer["publication_version"]),
     )
 
 
-def change_suppressions(wh: Warehouse, requests: DataFrame, at: datetime) -> dict:
-    """Apply a table of requests to the overlay. Only the publication version moves, and only on change."""
+def change_suppressions(wh: Warehouse, requests: DataFrame, at: datetime, actor: str = "review") -> dict:
+    """Apply a table of requests to the overlay. Only the publication version moves, and only on change.
+
+    The overlay of a version counts once the pointer is at it, so one whose writer lost the race is never read.
+    """
     release = current_release(wh)
     slugs = wh.read("resolution_inputs").filter(F.col("resolution_run_id") == release.run_id).select("source_slug")
     overlay, refused = apply_suppression_requests(
         requests, release.suppressions, release.assignments, release.claims, slugs, at, release.run_id,
-        release.assignment_history, release.claim_history,
     )
     overlay, refused = materialize(overlay, "overlay"), materialize(refused, "refused-requests")
     state = ["suppression_id", "status"]
@@ -288,17 +348,31 @@ def change_suppressions(wh: Warehouse, requests: DataFrame, at: datetime) -> dic
     if changed:
         version += 1
         wh.replace_part("suppressions", version, overlay)
+        # Ids are hashes of what a row is, so a new suppression may name rows of any run: the one read of all of them.
+        made = skew_join(overlay, release.suppressions.select("suppression_id"), ["suppression_id"], "left_anti")
+        _name_runs(wh, suppressed_in_runs(made, wh.read("resolved_assignments"), wh.read("resolved_claims")))
         _move_pointer(wh, release.run_id, release.active_version, version, at)
+        altered = skew_join(overlay, release.suppressions.select(*state), state, "left_anti")
+        wh.audit(altered.select(
+            F.concat(F.lit("suppression."), F.when(F.col("status") == "active", "created").otherwise(F.col("status"))).alias("event_type"),
+            F.lit(actor).alias("actor_id"), F.lit("suppression").alias("target_type"), F.col("suppression_id").alias("target_id"),
+            F.to_json(F.struct("reason_code", F.lit(version).alias("publication_version"))).alias("metadata"),
+            F.lit(at).cast("timestamp_ntz").alias("created_at")))
     return {"status": "changed" if changed else "no_change", "publication_version": version,
             "changed": changed, "refused": refused}
 
 
+def _name_runs(wh: Warehouse, found: DataFrame) -> None:
+    """Add runs to those that a suppression names through a row; one named again is stored once."""
+    wh.append("named_runs", skew_join(found, wh.read("named_runs"), ["resolution_run_id"], "left_anti"))
+
+
 def prune_runs(wh: Warehouse, at: datetime, minimum_age_days: int = 90, keep: int = 5, batch: int = 5) -> dict:
     """Remove the rows of old retired runs that nothing refers to, oldest first."""
     if not 30 <= minimum_age_days <= 3650:
         raise ValueError("minimum_age_days must be 30..3650")
     candidates = releases.retention_candidates(
-        wh.runs(), wh.overlay(), wh.read("resolved_assignments"), wh.read("resolved_claims"),
+        wh.runs(), wh.overlay(), wh.read("named_runs"),
         at - timedelta(days=minimum_age_days), keep, batch,
     ).collect()
     deleted = {"runs": 0, "evidence": 0, "claims": 0, "assignments": 0, "inputs": 0}
@@ -308,6 +382,7 @@ def prune_runs(wh: Warehouse, at: datetime, minimum_age_days: int = 90, keep: in
         for name, table in tables.items():
             deleted[name] += wh.clear_part(table, run["resolution_run_id"])
         _event(wh, run["resolution_run_id"], "pruned", at)
+        _audit(wh, "resolution.pruned", "retention", "resolution_run", run["resolution_run_id"], at)
         deleted["runs"] += 1
     return {"status": "pruned" if candidates else "no_change", "deleted": deleted,
             "pruned_runs": [run["resolution_run_id"] for run in candidates]}

@@ -2,11 +2,18 @@
 
 Large tables hold one folder per release or run. A folder is written whole, so a job
 that failed half-way replaces its own folder when it is run again; the small append
-table that makes the result count is written last. One writer at a time is assumed.
+table that makes the result count is written last.
+
+The pointer is one file per publication version, put in place by a rename that fails when the name
+is taken. So of two writers that saw the same version one moves the pointer and the other is told.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +32,8 @@ TABLES = {
     "resolution_evidence": S.EVIDENCE,
     "active_resolution": S.POINTER,
     "suppressions": f"{S.SUPPRESSIONS}, publication_version bigint",
+    "named_runs": S.NAMED_RUNS,
+    "audit_events": S.AUDIT,
 }
 PARTITION = {
     "source_records": "source_release_id",
@@ -104,19 +113,62 @@ class Warehouse:
             f"{self.path('data_sources')}/config_snapshot={version}"
         )
 
-    def pointer(self) -> dict | None:
-        """The one current pointer row."""
-        row = self.read("active_resolution").orderBy(F.desc("publication_version")).limit(1).collect()
+    def pointers(self) -> DataFrame:
+        """Every pointer there was, one row per publication version."""
+        try:
+            return self.spark.read.schema(TABLES["active_resolution"]).json(self.path("active_resolution"))
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return self.empty("active_resolution")
+            raise
+
+    def pointer(self, publication_version: int | None = None) -> dict | None:
+        """The current pointer row, or that of one publication version."""
+        rows = self.pointers()
+        if publication_version is not None:
+            rows = rows.filter(F.col("publication_version") == publication_version)
+        row = rows.orderBy(F.desc("publication_version")).limit(1).collect()
         return row[0].asDict() if row else None
 
-    def overlay(self) -> DataFrame:
-        """Suppressions as of the last change."""
+    def commit_pointer(self, row: dict) -> bool:
+        """Put the pointer of a new publication version in place; False when another writer was first."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        folder = jvm.org.apache.hadoop.fs.Path(self.path("active_resolution"))
+        name = f"{row['publication_version']:012d}.json"
+        final = jvm.org.apache.hadoop.fs.Path(folder, name)
+        draft = jvm.org.apache.hadoop.fs.Path(folder, f"_{uuid.uuid4().hex}.draft")
+        system = folder.getFileSystem(conf)
+        system.mkdirs(folder)
+        out = system.create(draft, False)
+        try:
+            out.write(bytearray(json.dumps({**row, "updated_at": row["updated_at"].isoformat()}), "utf-8"))
+        finally:
+            out.close()
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(folder.toUri(), conf)
+        none = self.spark._sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(context.makeQualified(draft), context.makeQualified(final), none)
+        except Py4JJavaError as error:
+            system.delete(draft, False)
+            if "FileAlreadyExistsException" in error.java_exception.getClass().getName():
+                return False
+            raise
+        return True
+
+    def overlay(self, publication_version: int | None = None) -> DataFrame:
+        """Suppressions as of the last change, or of the last one up to a publication version."""
         rows = self.read("suppressions")
+        if publication_version is not None:
+            rows = rows.filter(F.col("publication_version") <= publication_version)
         last = rows.agg(F.max("publication_version")).first()[0]
         if last is None:
             return rows.drop("publication_version")
         return rows.filter(F.col("publication_version") == last).drop("publication_version")
 
+    def audit(self, events: DataFrame) -> None:
+        """Append audit events; they are never changed."""
+        self.append("audit_events", events)
+
     def runs(self) -> DataFrame:
         """Current state of every run, from its events."""
         at = lambda status: F.max(F.when(F.col("status") == status, F.col("at")))

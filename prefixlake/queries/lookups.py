@@ -8,6 +8,7 @@ from prefixlake.fixtures import define, fixture, stored
 from prefixlake.operators import lookup as lk
 from prefixlake.operators import suppress
 from prefixlake.queries.registry import AS_OF, query
+from prefixlake.session import materialize
 
 # Resolved rows with ids, and an overlay with all three kinds of target.
 define("fx_resolved_assignments", """
@@ -132,22 +133,25 @@ _KEPT_CLAIMS = _kept(
 )
 
 
+def _overlay(spark, sf_dir):
+    """The overlay with the twin hashes it got when its rows were made, from the runs of that time."""
+    def make():
+        rows = [
+            stored(spark, sf_dir, f"fx_resolved_{name}").unionByName(stored(spark, sf_dir, f"fx_old_{name}"), allowMissingColumns=True)
+            for name in ("assignments", "claims")]
+        return suppress.with_twins(stored(spark, sf_dir, "fx_overlay"), *rows)
+
+    return stored(spark, sf_dir, "fx_overlay_with_twins", make)
+
+
 def _published_assignments(spark, sf_dir):
-    current = stored(spark, sf_dir, "fx_resolved_assignments")
-    old = stored(spark, sf_dir, "fx_old_assignments")
-    history = current.unionByName(old, allowMissingColumns=True)
     return suppress.unsuppressed_assignments(
-        current, stored(spark, sf_dir, "fx_overlay"), AS_OF, history, run_id="run-1"
-    )
+        stored(spark, sf_dir, "fx_resolved_assignments"), _overlay(spark, sf_dir), AS_OF, run_id="run-1")
 
 
 def _published_claims(spark, sf_dir):
-    current = stored(spark, sf_dir, "fx_resolved_claims")
-    old = stored(spark, sf_dir, "fx_old_claims")
-    history = current.unionByName(old, allowMissingColumns=True)
     return suppress.unsuppressed_claims(
-        current, stored(spark, sf_dir, "fx_overlay"), AS_OF, history, run_id="run-1"
-    )
+        stored(spark, sf_dir, "fx_resolved_claims"), _overlay(spark, sf_dir), AS_OF, run_id="run-1")
 
 
 @query("unsuppressed_assignments", _KEPT_ASSIGNMENTS)
@@ -165,11 +169,7 @@ def _release(spark, sf_dir) -> lk.Release:
         "run-1", 3, 7, "v1", AS_OF,
         stored(spark, sf_dir, "fx_resolved_assignments"),
         stored(spark, sf_dir, "fx_resolved_claims"),
-        stored(spark, sf_dir, "fx_overlay"),
-        stored(spark, sf_dir, "fx_resolved_assignments").unionByName(
-            stored(spark, sf_dir, "fx_old_assignments"), allowMissingColumns=True),
-        stored(spark, sf_dir, "fx_resolved_claims").unionByName(
-            stored(spark, sf_dir, "fx_old_claims"), allowMissingColumns=True),
+        _overlay(spark, sf_dir),
     )
 
 
@@ -268,7 +268,8 @@ def restored_lookup(spark, sf_dir):
     """Raw text in, one answer per distinct address, every input row back."""
     from prefixlake.functions.bits import normalize_mac
 
-    inputs = normalize_mac(fixture(spark, sf_dir, "fx_raw_macs"), "raw").select("event_id", "raw", "mac_value")
+    # The parsed text is read by the lookup and by the join back, so it is stored.
+    inputs = materialize(normalize_mac(fixture(spark, sf_dir, "fx_raw_macs"), "raw").select("event_id", "raw", "mac_value"), "parsed-inputs")
     answers = lk.lookup(inputs, _release(spark, sf_dir), AS_OF, mode="official")
     answers = answers.select("mac_value", "match_status", "assignment.organization_name")
     return lk.restore_inputs(inputs, answers)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from prefixlake.fixtures import define, fixture, stored
 from prefixlake.functions import hashes, ranking, text
-from prefixlake.functions.claims import canonical_json
+from prefixlake.functions.claims import canonical_claims as canonical
 from prefixlake.operators import contract
 from prefixlake.queries.registry import query
 
@@ -33,7 +33,7 @@ select conv_id, turn, case when error is null then nullif(t, '') end value_text,
 )
 def strict_text(spark, sf_dir):
     df = fixture(spark, sf_dir, "select conv_id, turn, text from conversations")
-    checked = df.withColumn("_t", text.strict_text("text"))
+    checked = text.in_branches(df, text.is_plain("text"), lambda rows, plain: rows.withColumn("_t", text.strict_text("text", ascii_only=plain)))
     return checked.select("conv_id", "turn", F.col("_t.value").alias("value_text"), F.col("_t.error").alias("error"))
 
 
@@ -89,7 +89,7 @@ select c_custkey, case c_custkey % 12 when 0 then concat('{"a":"', c_mktsegment,
  when 9 then 'UNSAFE_TEXT' when 10 then 'CLAIM_VALUE_TOO_DEEP' when 11 then 'CLAIM_VALUE_TOO_COMPLEX' end error from customer""",
 )
 def canonical_claims(spark, sf_dir):
-    df = fixture(spark, sf_dir, "fx_written_claims").withColumn("_c", canonical_json("claim_value", "c_name"))
+    df = canonical(fixture(spark, sf_dir, "fx_written_claims"), "claim_value", "_c", "c_name")
     return df.select("c_custkey", F.col("_c.value").alias("claim_json"), F.col("_c.error").alias("error"))
 
 

@@ -165,7 +165,7 @@ def snapshot_hash_difference(spark, sf_dir):
 
 
 define("fx_two_runs", """
-select snap, 'MA-L' registry, prefix_bits, 24 prefix_length, organization_name, case when prefix_bits % 9 = 0 then null else 'x' end organization_address, core_source_slug from fx_snapshot""")
+select snap, registry, prefix_bits, prefix_length, organization_name, case when prefix_bits % 9 = 0 then null else 'x' end organization_address, core_source_slug from fx_snapshot""")
 define("fx_two_claim_runs", """
 select snap, source_slug, claim_type, prefix_length, prefix_bits, case when claim_id % 4 = 0 then null else organization_name end organization_name, concat('{"label":"', organization_name, '"}') claim_json
 from fx_claims, (select 'prev' snap union all select 'curr') s where not (snap = 'prev' and claim_id % 10 = 0) and not (snap = 'curr' and claim_id % 10 = 1)""")
@@ -252,9 +252,11 @@ select resolution_run_id, status, completed_at, activated_at from ranked r where
 order by completed_at, resolution_run_id limit 10""",
 )
 def retention_candidates(spark, sf_dir):
+    overlay = fixture(spark, sf_dir, "fx_run_suppressions")
+    named = stored(spark, sf_dir, "fx_named_runs", lambda: suppress.suppressed_in_runs(
+        overlay, fixture(spark, sf_dir, "fx_run_assignments"), fixture(spark, sf_dir, "fx_run_claims")))
     return releases.retention_candidates(
-        fixture(spark, sf_dir, "fx_runs"), fixture(spark, sf_dir, "fx_run_suppressions"),
-        fixture(spark, sf_dir, "fx_run_assignments"), fixture(spark, sf_dir, "fx_run_claims"),
+        fixture(spark, sf_dir, "fx_runs"), overlay, named,
         cutoff="2024-01-01 00:00:00", keep=20, batch=10,
     )
 
@@ -359,7 +361,7 @@ select suppression_id, resolved_assignment_id, resolved_claim_id, prefix_bits, p
 union all select suppression_id, resolved_assignment_id, resolved_claim_id, prefix_bits, prefix_length, surface, source_slug, 'active', TS '{AS_OF}', expires_at from final where error_code is null""",
 )
 def suppression_overlay_applied(spark, sf_dir):
-    return _apply_requests(spark, sf_dir)[0].drop("resolution_run_id", "reason_code")
+    return _apply_requests(spark, sf_dir)[0].drop("resolution_run_id", "reason_code", "twin_hash")
 
 
 def _apply_requests(spark, sf_dir):

@@ -71,13 +71,16 @@ with base as (select s.*, a.active_release_id, a.active_release_status, a.active
   union all select slug, 'failure', 'SOURCE_STALE' from aged where age >= -300 and age > max_acceptable_age_seconds)"""
 
 
-def _health(spark, sf_dir):
+def _health_rows(spark, sf_dir):
     observed = with_latest_observation(fixture(spark, sf_dir, "fx_releases"), fixture(spark, sf_dir, "fx_observations"))
     latest = latest_valid_release(observed, by="fetched_at").select(
         "slug", F.col("release_id").alias("latest_release_id"), F.col("observed_at").alias("latest_fetched_at")
     )
-    rows = reports.health_rows(fixture(spark, sf_dir, "fx_sources"), fixture(spark, sf_dir, "fx_active_releases"), latest)
-    return reports.source_health(rows, AS_OF)
+    return reports.health_rows(fixture(spark, sf_dir, "fx_sources"), fixture(spark, sf_dir, "fx_active_releases"), latest)
+
+
+def _health(spark, sf_dir):
+    return reports.source_health(_health_rows(spark, sf_dir), AS_OF)
 
 
 @query("source_health_findings", _HEALTH + " select slug, severity, code from findings")
@@ -223,6 +226,78 @@ def organization_search(spark, sf_dir):
     return found.select("term", "organization_key", "organization_name", "scheme", "identifier", "key_rank", "truncated")
 
 
+# Search terms from the given tables: brands, segments, short and long ends of names, and one that nothing holds.
+_TERM_TABLE = """
+select distinct term from (select substr(p_brand, 1, 8) term from part union all select lower(c_mktsegment) from customer
+ union all select substr(c_name, length(c_name) - 2) from customer union all select substr(c_mktsegment, 1, 2) from customer union all select n_name from nation)"""
+_FOUND = f"""
+hits as (select t.term, i.*, row_number() over (partition by t.term order by case source_slug when 'gleif-lei-identities' then 1 when 'sec-edgar-identities' then 2 when 'companies-house-identities' then 3 else 4 end,
+   organization_name, organization_key, scheme, identifier) rn from ({_TERM_TABLE}) t join fx_identities i on contains(lower(i.organization_name), lower(t.term)) or contains(lower(i.alias_one), lower(t.term))
+   or contains(lower(i.alias_two), lower(t.term)) or contains(lower(i.registered_one), lower(t.term)) or contains(lower(i.registered_two), lower(t.term))),
+ "read" as (select *, min(rn) over (partition by term, organization_key) first_row from hits),
+ ranked as (select *, dense_rank() over (partition by term order by first_row) key_rank from "read"),
+ cut as (select term, organization_key, organization_name, scheme, identifier, cast(key_rank as int) key_rank, max(key_rank) over (partition by term) > 10 truncated from ranked qualify key_rank <= 10)"""
+
+
+@query("organization_search_terms", f"with {_FOUND} select * from cut")
+def organization_search_terms(spark, sf_dir):
+    """A table of search terms against the index of names."""
+    found = orgs.search_organizations(_identities(spark, sf_dir), fixture(spark, sf_dir, _TERM_TABLE))
+    return found.select("term", "organization_key", "organization_name", "scheme", "identifier", "key_rank", "truncated")
+
+
+@query(
+    "organization_search_in_registry",
+    f"with {_FOUND}, there as ({_ORG_ASSIGNMENTS} where a.registry = 'MA-L') select * from cut where organization_key in (select organization_key from there)",
+)
+def organization_search_in_registry(spark, sf_dir):
+    """The same, and only organizations with an assignment in one registry."""
+    found = orgs.search_organizations(
+        _identities(spark, sf_dir), fixture(spark, sf_dir, _TERM_TABLE), registry="MA-L", assignments=fixture(spark, sf_dir, "fx_assignments"))
+    return found.select("term", "organization_key", "organization_name", "scheme", "identifier", "key_rank", "truncated")
+
+
+@query(
+    "organization_lists",
+    """
+with names as (select distinct organization_key, 'alias' kind, alias_one "name" from fx_identities union select organization_key, 'alias', alias_two from fx_identities
+  union select organization_key, 'registered', registered_one from fx_identities union select organization_key, 'registered', registered_two from fx_identities),
+ ranked as (select *, row_number() over (partition by organization_key, kind order by "name") rn from names),
+ ids as (select *, row_number() over (partition by organization_key order by scheme, identifier, source_slug) rn from (select distinct organization_key, scheme, identifier, source_slug from fx_identities))
+select organization_key, (select string_agg("name", '|' order by rn) from ranked r where r.organization_key = i.organization_key and kind = 'alias' and rn <= 100) aliases,
+ (select string_agg("name", '|' order by rn) from ranked r where r.organization_key = i.organization_key and kind = 'registered' and rn <= 100) registered_names,
+ string_agg(scheme || ':' || identifier || ':' || source_slug, '|' order by rn) filter (where rn <= 100) external_identifiers, max(rn) > 100 external_identifiers_truncated from ids i group by organization_key""",
+)
+def organization_lists(spark, sf_dir):
+    found = orgs.organization_lists(_identities(spark, sf_dir))
+    identifier = F.transform("external_identifiers", lambda e: F.concat_ws(":", e["scheme"], e["identifier"], e["source_slug"]))
+    return found.select(
+        "organization_key", F.array_join("aliases", "|").alias("aliases"), F.array_join("registered_names", "|").alias("registered_names"),
+        F.array_join(identifier, "|").alias("external_identifiers"), "external_identifiers_truncated")
+
+
+# One name that a third of the organizations list and a third of the assignments carry.
+define("fx_hot_identities", """
+select organization_key, case when identifier_number % 3 = 0 then 'Hot Name' else registered_one end registered_one from (
+ select organization_key, registered_one, cast(identifier as int) identifier_number from fx_identities)""")
+define("fx_hot_assignments", """
+select registry, prefix_bits, prefix_length, case when prefix_bits % 3 = 0 then 'HOT name' else organization_name end organization_name from fx_assignments""")
+
+
+@query(
+    "organization_assignments_hot",
+    """
+select n.organization_key, count(*) rows_found, cast(sum(a.prefix_bits % 1000003) as bigint) bits from (select distinct organization_key, registered_one "name" from fx_hot_identities) n
+join fx_hot_assignments a on lower(a.organization_name) = lower(n."name") group by n.organization_key""",
+)
+def organization_assignments_hot(spark, sf_dir):
+    """Every assignment of every organization, where one name is common on both sides; counted per organization."""
+    identities = fixture(spark, sf_dir, "fx_hot_identities").select("organization_key", F.array("registered_one").alias("registered_names"))
+    found = orgs.organization_assignments(identities, fixture(spark, sf_dir, "fx_hot_assignments"))
+    return found.groupBy("organization_key").agg(
+        F.count(F.lit(1)).alias("rows_found"), F.sum(F.col("prefix_bits") % 1000003).alias("bits"))
+
+
 _BUCKET = """
 case when p = '/' then 'home' when p in ('/healthz', '/readyz') then 'health' when p = '/v1/lookups' then 'bulk' when p like '/v1/lookup/%' then 'lookup' when p like '/v1/assignments/%' then 'assignments'
  when p in ('/v1/data-release', '/v1/data-release/changes') then 'data_release' when p = '/v1/organizations' or p like '/v1/organizations/%' then 'organizations'

@@ -48,13 +48,27 @@ def assignment_conflicts(spark, sf_dir):
 @query(
     "assignment_roles",
     f"""
-select prefix_length, prefix_bits, record_id, source_slug, raw_record_hash, case when rn = 1 then 'selected' else 'corroborating' end role
+select prefix_length, prefix_bits, record_id, source_slug, raw_record_hash, case when rn = 1 then 'selected' else 'corroborating' end role,
+ case when rn = 1 then 'longest_prefix_authoritative' else 'identical_authoritative_record' end reason_code
 from ({_AGREED}) where versions = 1""",
 )
 def assignment_roles(spark, sf_dir):
     return rs.assignment_roles(stored(spark, sf_dir, "fx_resolver_records")).drop("assignment_id", "evidence_id")
 
 
+@query(
+    "claim_evidence",
+    """
+select 'claim' field_name, prefix_length, prefix_bits, record_id, source_slug, raw_record_hash, 'selected' role, 'source_claim' reason_code
+from fx_resolver_records where record_kind <> 'assignment'""",
+)
+def claim_evidence(spark, sf_dir):
+    """The rows that a build adds to the evidence of assignments; each names a claim and no assignment."""
+    evidence = rs.resolve(stored(spark, sf_dir, "fx_resolver_records")).evidence
+    claims = evidence.where("field_name <> 'assignment' AND claim_id IS NOT NULL AND assignment_id IS NULL")
+    return claims.drop("assignment_id", "claim_id", "evidence_id")
+
+
 _SUPPORT = """
 select claim_type, prefix_length, prefix_bits, upper(trim(organization_name)) name, count(distinct source_slug) sources
 from fx_claims group by all"""
@@ -105,21 +119,39 @@ def run_validation_summary(spark, sf_dir):
     return rs.run_summary(rs.resolve(stored(spark, sf_dir, "fx_resolver_records")))
 
 
-_WORDS = ", ".join(
-    f"sum(cast(concat('0x', substr(h, {1 + 8 * i}, 8)) as hugeint)) w{i}" for i in range(8)
-)
+def _tree(source: str) -> str:
+    """Buckets of row hashes by their first five digits."""
+    return f"""
+select substr(h, 1, 5) bucket, sum(n) row_count, sha256(string_agg(h || ':' || n, '|' order by h || ':' || n)) hash from (
+ select h, count(*) n from (select sha256(cast(to_json({{'core_source_slug': core_source_slug, 'organization_name': organization_name,
+  'prefix_bits': prefix_bits, 'prefix_length': prefix_length, 'registry': registry}}) as varchar)) h from {source}) group by h) group by all"""
+
+
+_CONTENT = ["registry", "prefix_bits", "prefix_length", "organization_name", "core_source_slug"]
 
 
 @query(
     "release_fingerprint",
     f"""
-select n row_count, concat('sha256:', sha256(concat_ws('|', cast(n as varchar), {", ".join(f"cast(w{i} as varchar)" for i in range(8))}))) output_hash
-from (select count(*) n, {_WORDS} from (
- select sha256(cast(to_json({{'core_source_slug': core_source_slug, 'organization_name': organization_name, 'prefix_bits': prefix_bits,
-  'prefix_length': prefix_length, 'registry': registry}}) as varchar)) h from fx_assignments))""",
+with leaves as ({_tree("fx_assignments")}),
+ nodes as (select substr(bucket, 1, 2) bucket, sum(row_count) row_count, sha256(string_agg(bucket || ':' || hash, '|' order by bucket)) hash from leaves group by all)
+select coalesce(sum(row_count), 0)::bigint row_count, 'sha256:' || sha256(coalesce(string_agg(bucket || ':' || hash, '|' order by bucket), '')) output_hash from nodes""",
 )
 def release_fingerprint(spark, sf_dir):
-    return rs.fingerprint(
-        fixture(spark, sf_dir, "fx_assignments"),
-        ["registry", "prefix_bits", "prefix_length", "organization_name", "core_source_slug"],
-    )
+    return rs.fingerprint(fixture(spark, sf_dir, "fx_assignments"), _CONTENT)
+
+
+define("fx_changed_assignments", """
+select registry, prefix_bits, prefix_length, case when prefix_bits % 97 = 5 then concat(organization_name, ' Ltd') else organization_name end organization_name, core_source_slug
+from fx_assignments where prefix_bits % 89 <> 7
+union all select 'MA-L', prefix_bits, prefix_length, 'New', core_source_slug from fx_assignments where prefix_bits % 83 = 2""")
+
+
+@query(
+    "release_differing_buckets",
+    f"""
+select bucket, coalesce(c.row_count, 0)::bigint current_rows, coalesce(p.row_count, 0)::bigint previous_rows
+from ({_tree("fx_changed_assignments")}) c full join ({_tree("fx_assignments")}) p using (bucket) where c.hash is distinct from p.hash""",
+)
+def release_differing_buckets(spark, sf_dir):
+    return rs.differing_buckets(fixture(spark, sf_dir, "fx_changed_assignments"), fixture(spark, sf_dir, "fx_assignments"), _CONTENT)

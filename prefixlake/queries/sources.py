@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from prefixlake.fixtures import define, fixture
+from prefixlake.plans.warehouse import Warehouse
 from prefixlake.queries.registry import query
 from prefixlake.schemas import REGISTRY_HEADER
 from prefixlake.session import scratch_path
@@ -25,7 +27,7 @@ def registry_csv(spark, sf_dir):
     path = scratch_path(spark, "registry-csv")
     rows = fixture(spark, sf_dir, _EXPORT).toDF(*REGISTRY_HEADER)
     rows.write.option("header", True).option("escape", '"').csv(path)
-    return files.read_registry_csv(spark, path).toDF("registry", "assignment", "organization", "address")
+    return files.read_registry_csv(spark, path, multi_line=True).toDF("registry", "assignment", "organization", "address")
 
 
 _DELIMITED = """
@@ -67,18 +69,19 @@ def jsonl_records(spark, sf_dir):
     )
 
 
-@query("row_locators", "select count(*) row_count, count(*) locators, true dense from fx_claims")
+@query("row_locators", "select count(*) row_count, count(*) locators, count(*) in_place, true dense from fx_claims")
 def row_locators(spark, sf_dir):
-    """Locators of rows spread over several files: per file they run from 1 without gaps."""
+    """Locators of rows spread over several files: per file they run from 1 without gaps, in the order of its rows."""
     path = scratch_path(spark, "locators")
-    fixture(spark, sf_dir, "fx_claims").repartition(6).write.parquet(path)
+    fixture(spark, sf_dir, "fx_claims").repartition(6).sortWithinPartitions("claim_id").write.parquet(path)
     read = spark.read.parquet(path).withColumn("file", F.input_file_name())
     numbered = files.with_locator(read).withColumn("n", F.substring("locator", 5, 20).cast("bigint"))
+    numbered = numbered.withColumn("place", F.row_number().over(Window.partitionBy("file").orderBy("claim_id")))
     per_file = numbered.groupBy("file").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_distinct("n").alias("numbers"), F.max("n").alias("last"), F.min("n").alias("first")
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("n").alias("numbers"), F.count_if(F.col("n") == F.col("place")).alias("placed"), F.max("n").alias("last"), F.min("n").alias("first")
     )
     return per_file.agg(
-        F.sum("rows").alias("row_count"), F.sum("numbers").alias("locators"),
+        F.sum("rows").alias("row_count"), F.sum("numbers").alias("locators"), F.sum("placed").alias("in_place"),
         F.bool_and((F.col("first") == 1) & (F.col("last") == F.col("rows"))).alias("dense"),
     )
 
@@ -249,7 +252,7 @@ select c_custkey * 2 line_no, cast(c_custkey as varchar(20)) line from customer
 union all select c_custkey * 2 + 1, concat('  ', c_name) from customer where c_custkey % 5 <> 2""")
 define("fx_mapping_ids", """
 select c_nationkey nation_key, c_custkey, concat('org-', cast(c_custkey as varchar(20))) organization_key, c_name, upper(lpad(HEX(c_custkey % 65536), 4, '0')) hex_id,
- cast(c_custkey as varchar(20)) number_id from customer where c_custkey % 3 = 0""")
+ cast(c_custkey as varchar(20)) number_id from customer""")
 
 
 def _identity(extra: str = "", aliases: str = "[]", names: str = "[c_name]") -> str:
@@ -407,10 +410,13 @@ def append_new_observations(spark, sf_dir):
     "select 'run-' || registry resolution_run_id, count(*) row_count, cast(sum(prefix_bits) as bigint) bits from fx_assignments group by registry",
 )
 def partitioned_release_tables(spark, sf_dir):
-    """Rows appended as one partition per run, then read back per partition."""
-    path = scratch_path(spark, "partitioned")
-    rows = fixture(spark, sf_dir, "select concat('run-', registry) resolution_run_id, prefix_bits from fx_assignments")
-    sinks.append_partitioned(rows, path, "resolution_run_id")
-    return spark.read.parquet(path).groupBy("resolution_run_id").agg(
+    """One folder per run, the way a build stores it, one of them written again after half an attempt; read back per folder."""
+    wh = Warehouse(spark, scratch_path(spark, "partitioned"))
+    rows = fixture(spark, sf_dir, "select concat('run-', registry) resolution_run_id, prefix_bits, registry from fx_assignments")
+    runs = [r[0] for r in rows.select("resolution_run_id").distinct().collect()]  # one per registry
+    wh.replace_part("resolved_assignments", runs[0], rows.filter("prefix_bits % 2 = 0"))
+    for run in runs:
+        wh.replace_part("resolved_assignments", run, rows.filter(F.col("resolution_run_id") == run))
+    return wh.read("resolved_assignments").groupBy("resolution_run_id").agg(
         F.count(F.lit(1)).alias("row_count"), F.sum("prefix_bits").alias("bits")
     )

@@ -89,7 +89,11 @@ RESOLVED_CLAIMS = (
 )
 EVIDENCE = (
     "assignment_id string, prefix_length int, prefix_bits bigint, record_id string, source_slug string,"
-    " raw_record_hash string, role string, evidence_id string, resolution_run_id string"
+    " raw_record_hash string, role string, evidence_id string, resolution_run_id string, claim_id string,"
+    " field_name string, reason_code string"
+)
+AUDIT = (
+    "event_type string, actor_id string, target_type string, target_id string, metadata string, created_at timestamp_ntz"
 )
 POINTER = (
     "resolution_run_id string, version bigint, publication_version bigint, updated_at timestamp_ntz"
@@ -98,5 +102,7 @@ SUPPRESSIONS = (
     "suppression_id string, resolution_run_id string, resolved_assignment_id string,"
     " resolved_claim_id string, prefix_bits bigint, prefix_length int, surface string,"
     " source_slug string, reason_code string, status string, starts_at timestamp_ntz,"
-    " expires_at timestamp_ntz"
+    " expires_at timestamp_ntz, twin_hash string"
 )
+# Runs that hold a row which a suppression names.
+NAMED_RUNS = "resolution_run_id string"

@@ -1,8 +1,7 @@
 """Readers for registry exports, record batches and web access logs.
 
-A file is the unit of parallelism where quoted newlines are legal; batches are
-bounded per file (see :func:`prefixlake.operators.contract.batch_limits`), so
-many files spread over many tasks.
+Files are split over tasks. Only where a quoted field may hold a line break (``multi_line=True``) a file is the unit of
+parallelism; without it such a row has too few fields and fails the read.
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ class BatchRejected(ValueError):
         self.code = code
 
 
-def read_registry_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_registry_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Registry export with exactly the four reviewed columns; another header fails the read."""
     return (
         spark.read.schema(REGISTRY_CSV).options(**_CSV).option("multiLine", multi_line).csv(path)
@@ -34,7 +33,7 @@ def read_registry_csv(spark: SparkSession, path: str, multi_line: bool = True) -
     )
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = True) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = False) -> DataFrame:
     """CSV or TSV records whose header holds known record fields, all read as text.
 
     The header of one file gives the columns; every file is then checked against them.

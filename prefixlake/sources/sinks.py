@@ -8,14 +8,6 @@ from pyspark.sql import functions as F
 from prefixlake.operators.joins import skew_join
 
 
-def append_partitioned(df: DataFrame, path: str, partition: str) -> None:
-    """Add new partitions (one per run or release) to an immutable table.
-
-    Rows of one partition may come from any number of tasks; nothing is gathered per key.
-    """
-    df.write.mode("append").partitionBy(partition).parquet(path)
-
-
 def append_missing(df: DataFrame, existing: DataFrame, on: list[str], order: list[str] | None = None) -> DataFrame:
     """The rows to append: the least row per key by ``order`` and then all columns, and only keys not stored yet."""
     rest = [name for name in df.columns if name not in on]

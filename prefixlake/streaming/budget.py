@@ -12,11 +12,17 @@ as cheap as any other, and the result is exact.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from prefixlake.operators.joins import skew_join
+from prefixlake.session import ship_package
 
 # The shared limit.
 WINDOW_SECONDS = 10
@@ -99,53 +105,89 @@ def admitted_requests(requests: DataFrame, budget: int = BUDGET) -> DataFrame:
     return admitted(requests, budget).select(*KEYS, F.explode("admitted_ids").alias("event_id"))
 
 
-def budget_stream(
-    requests: DataFrame,
-    path: str,
-    checkpoint: str,
-    budget: int = BUDGET,
-    seconds: int = WINDOW_SECONDS,
-    lateness_seconds: int = 600,
-    **trigger,
-) -> StreamingQuery:
-    """Admit a stream of requests in arrival order; decisions go to ``path``/admitted.
+class _Windows(StatefulProcessor):
+    """Requests of one client and window wait until the window closes, then they are taken in order.
 
-    What is spent per client and open window is a table written per micro-batch; batch N
-    reads the one of batch N - 1 and replaces its own, so a batch may be run again.
-    Windows that began ``lateness_seconds`` before the newest one are dropped from it, and
-    requests that arrive for them later are refused: ``path``/refused_late has them, one row each.
+    Only those wait that could still be admitted: of cost c the first budget / c. So the state of a key
+    is bounded by the budget, whatever the client sends; the rest is refused as it comes.
+    """
+
+    def __init__(self, budget: int, seconds: int):
+        self.budget, self.length = budget, seconds * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, event_id long, request_cost long")
+
+    def _rows(self, key: tuple, decided: list[tuple]) -> Iterator[pd.DataFrame]:
+        if decided:
+            rows = [(key[0], key[1], *entry) for entry in decided]
+            yield pd.DataFrame(rows, columns=["client_key", "window_ms", "at", "event_id", "request_cost", "decision"])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = [(int(r.at), int(r.event_id), int(r.request_cost)) for part in rows for r in part.itertuples()]
+        end = int(key[1]) + self.length
+        if end <= timerValues.getCurrentWatermarkInMs():
+            yield from self._rows(key, [(*entry, "late") for entry in sorted(new)])
+            return
+        kept, refused, place = [], [], Counter()
+        for entry in sorted([*((int(a), int(e), int(c)) for a, e, c in self.waiting.get()), *new]):
+            cost = entry[2]
+            place[cost] += 1
+            (kept if cost >= 1 and place[cost] * cost <= self.budget else refused).append(entry)
+        self.waiting.put(kept) if kept else self.waiting.clear()
+        self.handle.registerTimer(end)
+        yield from self._rows(key, [(*entry, "refused") for entry in refused])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        spent, decided = 0, []
+        for at, event, cost in sorted((int(a), int(e), int(c)) for a, e, c in self.waiting.get()):
+            fits = spent + cost <= self.budget
+            spent += cost * fits
+            decided.append((at, event, cost, "admitted" if fits else "refused"))
+        self.waiting.clear()
+        yield from self._rows(key, decided)
+
+    def close(self) -> None:
+        pass
+
+
+_DECIDED = "client_key long, window_ms long, at long, event_id long, request_cost long, decision string"
+
+
+def decide_stream(requests: DataFrame, budget: int = BUDGET, seconds: int = WINDOW_SECONDS, lateness_seconds: int = 600) -> DataFrame:
+    """A stream of client_key, window_start, ts, event_id, request_cost, decision: every request once.
+
+    Windows stay open ``lateness_seconds`` behind the newest request, so files may come in any order within
+    it and the decisions are those of the batch form. ``decision`` is admitted, refused or late; late is what comes when its
+    window is closed. State is kept per client and window, so a busy client spans many tasks.
     """
     spark = requests.sparkSession
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    ship_package(spark)
+    micros = int(seconds) * 1_000_000
+    # The window is a plain number: a watermark column would make Spark drop late requests unseen.
+    keyed = requests.withWatermark("ts", f"{int(lateness_seconds)} seconds").select(
+        "client_key", (F.unix_micros("ts") - F.pmod(F.unix_micros("ts"), F.lit(micros))).alias("_window"),
+        F.unix_micros("ts").alias("at"), "event_id", F.col("request_cost").cast("long").alias("request_cost"),
+    ).withColumn("window_ms", F.expr("_window div 1000"))
+    decided = keyed.groupBy("client_key", "window_ms").transformWithStateInPandas(
+        statefulProcessor=_Windows(budget, int(seconds)), outputStructType=_DECIDED, outputMode="Append", timeMode="EventTime")
+    return decided.select(
+        "client_key", F.timestamp_millis("window_ms").alias("window_start"), F.timestamp_micros("at").alias("ts"),
+        "event_id", "request_cost", "decision")
 
-    def marked(rows: DataFrame, spent: DataFrame) -> DataFrame:
-        newest = spent.agg(F.max("window_start").alias("_newest"))
-        horizon = F.col("_newest") - F.expr(f"interval '{int(lateness_seconds)}' second")
-        kept = F.col("_newest").isNull() | (F.col("window_start") >= horizon)
-        return rows.crossJoin(F.broadcast(newest)).withColumn("_open", F.coalesce(kept, F.lit(False))).drop("_newest")
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        state = None
-        if batch_id > 0:
-            state = spark.read.parquet(f"{path}/state/batch={batch_id - 1}")
-        windowed = with_window(batch, seconds)
-        windowed = windowed.withColumn("_open", F.lit(True)) if state is None else marked(windowed, state)
-        late = windowed.where("NOT _open").select(*KEYS, "ts", "event_id", "request_cost")
-        late.write.mode("overwrite").parquet(f"{path}/refused_late/batch={batch_id}")
-        windowed = windowed.where("_open").drop("_open")
-        decided = admitted(windowed, budget, state)
-        folder = f"{path}/decided/batch={batch_id}"
-        decided.write.mode("overwrite").parquet(folder)
-        decided = spark.read.parquet(folder)
-        spent = decided.select(*KEYS, F.col("admitted_cost").alias("spent"))
-        if state is not None:
-            spent = spent.unionByName(state).groupBy(*KEYS).agg(F.max("spent").alias("spent"))
-        marked(spent, spent).where("_open").drop("_open").write.mode("overwrite").parquet(f"{path}/state/batch={batch_id}")
-        rows = decided.select(*KEYS, F.explode("admitted_ids").alias("event_id"))
-        rows.write.mode("overwrite").parquet(f"{path}/admitted/batch={batch_id}")
 
+def budget_stream(
+    requests: DataFrame, path: str, checkpoint: str, budget: int = BUDGET, seconds: int = WINDOW_SECONDS,
+    lateness_seconds: int = 600, **trigger,
+) -> StreamingQuery:
+    """:func:`decide_stream` written to ``path``; the file sink counts every micro-batch once."""
     return (
-        requests.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
+        decide_stream(requests, budget, seconds, lateness_seconds).writeStream.outputMode("append").format("parquet")
+        .option("checkpointLocation", checkpoint).option("path", path)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from prefixlake.operators.lookup import Release, answer_from, restore_inputs, visible
 from prefixlake.operators.suppress import instant
+from prefixlake.streaming.batches import BatchTable
 
 
 def enrich_batch(batch: DataFrame, shown: Release, mode: str, mac: str = "mac_value") -> DataFrame:
@@ -24,9 +26,32 @@ def next_change(suppressions: DataFrame, as_of: datetime | str) -> datetime | No
     return times.filter(F.col("at") > instant(as_of)).agg(F.min("at")).first()[0]
 
 
+_PIN = "publication_version long, run_id string, as_of timestamp_ntz"
+
+
+def pinned(
+    spark: SparkSession, path: str, batch_id: int, read_release: Callable[[int | None], Release], as_of: Callable[[], datetime | str],
+) -> tuple[Release, datetime]:
+    """The release and time a micro-batch uses: written before its first try, read again by every later one."""
+    folder = f"{path}/_releases/batch_id={batch_id}"
+    try:
+        pin = spark.read.schema(_PIN).parquet(folder).first()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        pin = None
+    if pin is not None:
+        return read_release(pin["publication_version"]), pin["as_of"]
+    release, moment = read_release(None), as_of()
+    at = (datetime.fromisoformat(moment) if isinstance(moment, str) else moment).replace(tzinfo=None)
+    row = spark.createDataFrame([(release.publication_version, release.run_id, at)], _PIN)
+    row.coalesce(1).write.mode("overwrite").parquet(folder)
+    return release, at
+
+
 def enrich_stream(
     addresses: DataFrame,
-    read_release: Callable[[], Release],
+    read_release: Callable[[int | None], Release],
     as_of: Callable[[], datetime | str],
     path: str,
     checkpoint: str,
@@ -34,23 +59,23 @@ def enrich_stream(
     mac: str = "mac_value",
     **trigger,
 ) -> StreamingQuery:
-    """Write enriched rows to ``path``, one folder per micro-batch.
+    """Write enriched rows to the table at ``path`` (:func:`enriched_rows`), one folder per micro-batch.
 
-    The release pointer is read once per micro-batch. Release rows without the suppressed
-    ones are stored again only when the publication changes or a suppression starts or ends.
-    A micro-batch that is run again after a failure replaces its own folder.
+    ``read_release`` gives the release of a publication version, or the current one for None. The release and time of a
+    micro-batch are logged before it is written, so one that runs again, after a restart too, replaces
+    its folder by the same answers though another release was published since. Release rows without
+    the suppressed ones are stored again only when the publication changes or a suppression starts or ends.
     """
     current: dict[str, object] = {}
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        release, moment = read_release(), as_of()
-        at = (datetime.fromisoformat(moment) if isinstance(moment, str) else moment).replace(tzinfo=None)
+        spark = batch.sparkSession
+        release, at = pinned(spark, path, batch_id, read_release, as_of)
         key = (release.run_id, release.publication_version, mode)
         if current.get("key") != key or at < current["since"] or at >= current["until"]:
-            shown = visible(release, moment, mode == "enriched")
-            current.update(key=key, shown=shown, since=at, until=next_change(release.suppressions, moment) or datetime.max)
-        enriched = enrich_batch(batch, current["shown"], mode, mac)
-        enriched.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+            shown = visible(release, at, mode == "enriched")
+            current.update(key=key, shown=shown, since=at, until=next_change(release.suppressions, at) or datetime.max)
+        BatchTable(spark, path).write(enrich_batch(batch, current["shown"], mode, mac), batch_id)
 
     return (
         addresses.writeStream.foreachBatch(write)
@@ -58,3 +83,8 @@ def enrich_stream(
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+def enriched_rows(spark: SparkSession, path: str) -> DataFrame | None:
+    """What :func:`enrich_stream` wrote; None before its first micro-batch."""
+    return BatchTable(spark, path).read()

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from prefixlake.operators.suppress import instant
 from prefixlake.operators.traffic import classify, per_minute
+from prefixlake.streaming.batches import BatchTable
 
 
 def minute_counts(log: DataFrame, monitor_pattern: str) -> DataFrame:
@@ -18,14 +19,14 @@ def minute_counts(log: DataFrame, monitor_pattern: str) -> DataFrame:
 
 
 def minute_stream(log: DataFrame, monitor_pattern: str, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Store the counts of every micro-batch in a folder of its own, replaced if it runs again.
+    """Store the counts of every micro-batch in a folder of its own, replaced if it runs again and merged in levels.
 
     A late entry adds to its minute in :func:`stored_minutes`, so no entry is dropped and the
     counts depend neither on the order of the entries nor on how files split them.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        minute_counts(batch, monitor_pattern).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        BatchTable(batch.sparkSession, path, combine=added_up).write(minute_counts(batch, monitor_pattern), batch_id)
 
     return (
         log.writeStream.foreachBatch(write)
@@ -37,7 +38,11 @@ def minute_stream(log: DataFrame, monitor_pattern: str, path: str, checkpoint: s
 
 def stored_minutes(spark: SparkSession, path: str) -> DataFrame:
     """One row per minute from what all micro-batches stored."""
-    parts = spark.read.parquet(path).drop("batch_id")
+    return added_up(BatchTable(spark, path).read())
+
+
+def added_up(parts: DataFrame) -> DataFrame:
+    """Rows of several micro-batches to one row per minute."""
     sums = [name for name in parts.columns if name not in ("minute", "duration_max")]
     return parts.groupBy("minute").agg(*[F.sum(name).alias(name) for name in sums], F.max("duration_max").alias("duration_max"))
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from prefixlake.operators import joins
 from prefixlake.operators.joins import fits_broadcast, measured_bytes, skew_join
 
 
@@ -51,3 +52,13 @@ def test_size_is_measured(spark):
     assert 100_000 < measured_bytes(df) < 400_000
     assert fits_broadcast(df, 400_000) and not fits_broadcast(df, 100_000)
     assert measured_bytes(df.limit(0)) == 0
+
+
+def test_a_name_that_is_hot_on_both_sides_is_cut_into_cells(spark):
+    left = spark.range(5000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("name"), "id")
+    right = spark.range(1000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("name"), F.col("id").alias("other"))
+    found = joins.grid_join(left, right, ["name"], rows=200)
+    plain = left.join(right, "name")
+    assert found.count() == plain.count() and found.exceptAll(plain.select(*found.columns)).count() == 0
+    for side in joins.grid_sides(left, right, ["name"], rows=200):
+        assert side.groupBy("name", "_left_block", "_right_block").count().agg(F.max("count")).first()[0] < 300

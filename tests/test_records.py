@@ -166,7 +166,7 @@ def test_registry_export(spark, tmp_path):
         "MA-L,02AABC,Private,\n"
         "MA-L,02AABD,Twice,A\nMA-L,02AABD,Twice Again,B\nMA-L,02aabd,Other Case,C\n"
     )
-    rows = files.with_locator(files.read_registry_csv(spark, str(path)))
+    rows = files.with_locator(files.read_registry_csv(spark, str(path), multi_line=True))
     assert [row.locator for row in rows.collect()] == [f"row:{i}" for i in range(1, 6)]
     records, warnings = adapt(rows, "registry-csv-v1", "1", {"registry": "MA-L", "evidence": "e"})
     found = {row.locator: row for row in records.collect()}

@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from prefixlake.operators import contract, resolve
+from prefixlake.operators import contract, resolve, suppress
 from prefixlake.operators.lookup import lookup
 from prefixlake.plans import release as rel
 from prefixlake.plans.warehouse import Warehouse
@@ -105,7 +105,7 @@ def wh(spark, tmp_path):
 
 def put_sources(wh, **change):
     base = {"publish_mode": "production", "rights_status": "approved", "distribution_scope": "api_output",
-            "rights_review_reference": "r", "config_version": 1, "max_acceptable_age_seconds": 864000}
+            "rights_review_reference": "r", "config_version": 1, "max_acceptable_age_seconds": 864000, "diff_policy": "{}"}
     rows = [
         {**base, "source_slug": "reg", "source_class": "authoritative", "required_for_activation": True, "rights_basis": "licensed", **change},
         {**base, "source_slug": "own", "source_class": "owner_curated", "required_for_activation": False, "rights_basis": "owner_created"},
@@ -232,7 +232,83 @@ def test_prune_keeps_the_newest_and_the_protected(wh):
     overlay = spark.createDataFrame([(None, None, "c9")], "resolution_run_id string, resolved_assignment_id string, resolved_claim_id string")
     claims = spark.createDataFrame([("run-4", "c9")], "resolution_run_id string, claim_id string")
     assignments = spark.createDataFrame([("run-3", "a1")], "resolution_run_id string, assignment_id string")
-    found = retention_candidates(runs, overlay, assignments, claims, T0 - timedelta(days=90), keep=2, batch=10)
+    named = suppress.suppressed_in_runs(overlay, assignments, claims)
+    found = retention_candidates(runs, overlay, named, T0 - timedelta(days=90), keep=2, batch=10)
     assert [row.resolution_run_id for row in found.collect()] == ["run-5", "run-3", "run-2"]
     with pytest.raises(ValueError):
-        retention_candidates(runs, overlay, assignments, claims, T0, keep=0, batch=10)
+        retention_candidates(runs, overlay, named, T0, keep=0, batch=10)
+
+
+def test_import_gates(wh):
+    for change, options, code in (
+            ({"distribution_scope": "internal_only"}, {}, "RIGHTS_SCOPE_BLOCKED"), ({"rights_status": "unreviewed"}, {}, "RIGHTS_REVIEW_REQUIRED"),
+            ({"rights_review_expires_at": T0}, {}, "RIGHTS_REVIEW_EXPIRED"), ({"source_class": "reference"}, {}, "REFERENCE_CANNOT_PUBLISH"),
+            ({"diff_policy": None}, {}, "DIFF_POLICY_REQUIRED"), ({}, {"snapshot_complete": False}, "INCOMPLETE_PRODUCTION_SNAPSHOT"),
+            ({}, {"snapshot_kind": "delta"}, "PRODUCTION_DELTA_UNSUPPORTED"), ({}, {"slug": "nobody"}, "SOURCE_NOT_FOUND")):
+        put_sources(wh, **change)
+        with pytest.raises(BatchRejected) as refused:
+            load(wh, **options)
+        assert refused.value.code == code
+    assert wh.read("source_releases").count() == 0
+    put_sources(wh, diff_policy='{"max_removed_percent": 40}')
+    assert load(wh)["status"] == "imported"
+    with pytest.raises(BatchRejected) as refused:
+        load(wh, given=(("02AABB", "24", "Example Networks Lab"),))
+    assert refused.value.code == "RELEASE_DIFF_EXCEEDED"
+    put_sources(wh, diff_policy=None)
+    assert load(wh, given=(("02AABB", "24", "New"),), max_added_percent=100.0)["status"] == "imported"
+
+
+def test_evidence_and_audit_of_a_release(wh, rows):
+    official = load(wh)["source_release_id"]
+    owner = load(wh, "own", rules=OWNER, given=(("02AABBCC", "32", "Example Devices Community"),))["source_release_id"]
+    run = rel.build_run(wh, [official, owner], T0)["resolution_run_id"]
+    evidence = wh.read("resolution_evidence").withColumn("targets", F.expr("int(assignment_id is not null) + int(claim_id is not null)"))
+    assert rows(evidence, "field_name", "role", "reason_code", "targets") == [
+        ("assignment", "selected", "longest_prefix_authoritative", 1), ("assignment", "selected", "longest_prefix_authoritative", 1),
+        ("claim", "selected", "source_claim", 1)]
+    rel.publish(wh, run, T0)
+    assert rel.observe(wh, official, T0) == 1 and rel.observe(wh, official, T0) == 0
+    assert rows(wh.read("audit_events"), "event_type") == [
+        ("resolution.activated",), ("source_release.imported",), ("source_release.imported",), ("source_release.observed",)]
+
+
+def test_two_writers_cannot_both_move_the_pointer(wh, monkeypatch):
+    official = load(wh)["source_release_id"]
+    owner = load(wh, "own", rules=OWNER, given=(("02AABBCC", "32", "Example Devices Community"),))["source_release_id"]
+    first = rel.build_run(wh, [official, owner], T0)["resolution_run_id"]
+    second = rel.build_run(wh, [official], T0)["resolution_run_id"]
+    seen = wh.pointer()
+    rel.publish(wh, first, T0)
+    moved = wh.pointer()
+    monkeypatch.setattr(wh, "pointer", lambda version=None: seen)  # the other writer looked before
+    with pytest.raises(rel.ReleaseRejected) as refused:
+        rel.publish(wh, second, T0)
+    assert refused.value.code == "ACTIVE_PUBLICATION_CHANGED"
+    monkeypatch.undo()
+    assert wh.pointer() == moved and wh.pointers().count() == 1
+    assert {r.resolution_run_id: r.status for r in wh.runs().collect()} == {first: "active", second: "validated"}
+    rel.publish(wh, second, T0 + timedelta(days=1))
+    assert rel.current_release(wh).run_id == second and rel.current_release(wh, 1).run_id == first
+
+
+def test_a_publish_that_was_cut_off_is_finished(wh, monkeypatch):
+    official = load(wh)["source_release_id"]
+    run = rel.build_run(wh, [official], T0)["resolution_run_id"]
+    with monkeypatch.context() as patch:
+        patch.setattr(rel, "_activate", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            rel.publish(wh, run, T0)
+    assert rel.publish(wh, run, T0)["status"] == "already_active"
+    assert [r.status for r in wh.runs().collect()] == ["active"] and wh.pointers().count() == 1
+
+
+def test_differing_buckets_name_what_changed(spark):
+    df = spark.range(3000).select((F.col("id") % 50).alias("a"), "id")
+    other = df.withColumn("a", F.when(F.col("id") == 77, 999).otherwise(F.col("a"))).repartition(5)
+    found = resolve.differing_buckets(other, df, ["a", "id"]).collect()
+    assert 1 <= len(found) <= 2 and sum(r.current_rows - r.previous_rows for r in found) == 0
+    assert resolve.differing_buckets(df.repartition(3), df, ["a", "id"]).count() == 0
+    twice = df.unionByName(df.limit(1))
+    [row] = resolve.differing_buckets(twice, df, ["a", "id"]).collect()
+    assert row.current_rows == row.previous_rows + 1
