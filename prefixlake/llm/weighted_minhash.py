@@ -12,11 +12,15 @@ document shares with any other is at most the weight of its shingles with df > 1
 below ``SIMILARITY`` of their own weight are alone, and pairs whose shared weight cannot reach it are not
 compared. In a bucket every member is first compared with the most popular members, those that lie in
 the largest buckets. A center has then been compared with the whole bucket and leaves it; the others
-stay while the links found so far, of all buckets, leave them in several classes. Each further round takes
-more centers, from all classes of a bucket but its largest, and compares them with the members of
-other classes, until no two classes are left. So a family that hangs together takes few rows per
-member, members that are not similar are compared pair by pair, and a link between classes is missed
-only if its ends share no band.
+stay while the links found so far, of all buckets, leave them in several classes.
+
+Documents that share a common passage meet in such a bucket without being similar. What is left is therefore dealt
+anew by rare shingles: with shingles ordered by df, then key, two sets of the similarity sought share one that is in the
+first fifth of the weight of both, since the rest of either weighs less than they must have in common. These
+buckets are as small as the rarest shingles are rare. Each further round takes more centers, from all classes of a bucket
+but its largest, and compares them with the members of other classes, until no two classes are left. So
+a family that hangs together takes few rows per member, a passage in many documents parts into the documents
+it stands in, and a link between classes is missed only if its ends share no band.
 
 A null text is empty; a text without words has no shingles and is alone. Repeated rows and ids
 count one by one and equal rows share a class. The class id is the smallest id in the class,
@@ -50,7 +54,7 @@ _SAMPLED_AT_ONCE = 1 << 16  # shingles
 
 _NODES = (
     "row long, doc_id long, text_hash long, same binary, total double, shared double, bands array<long>, "
-    "keys binary, weights binary")
+    "rare array<long>, keys binary, weights binary")
 
 
 def shingles(chunk: exchange.Chunk, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,6 +139,14 @@ def similarity(a_keys: np.ndarray, a_weights: np.ndarray, b_keys: np.ndarray, b_
     return float(common / (a_weights.sum() + b_weights.sum() - common))
 
 
+def rare_keys(keys: np.ndarray, weights: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """The keys one of which any similar set shares: rarest first while what is left could reach the similarity."""
+    order = np.lexsort((keys, df))
+    left = weights.sum() - np.cumsum(weights[order]) + weights[order]  # the weight from this key on
+    first = order[left >= SIMILARITY * weights.sum() - _SLACK]
+    return keys[first[df[first] > 1]]
+
+
 def _nodes(docs: DataFrame) -> DataFrame:
     """Every document with its weight; bands, keys and weights only where it can have a near copy."""
     size = exchange.text_bytes(docs)
@@ -171,8 +183,8 @@ def _nodes(docs: DataFrame) -> DataFrame:
         chosen = possible[owner]
         nodes = np.flatnonzero(possible)
         cuts = np.concatenate([[0], np.cumsum(np.bincount(owner[chosen], minlength=number)[nodes])]).astype(np.int64)
-        keys, weights = key[chosen], weight[chosen]
-        bands, blobs, same = [None] * number, [None] * number, [None] * number
+        keys, weights, counts = key[chosen], weight[chosen], df[chosen]
+        bands, rare, blobs, same = [None] * number, [None] * number, [None] * number, [None] * number
         weight_blobs = [None] * number
         if len(nodes):
             found_bands = bands_of(_sampled(keys, weights, cuts)).view(np.int64)
@@ -182,13 +194,15 @@ def _nodes(docs: DataFrame) -> DataFrame:
                 same[node] = np.array(
                     [place.sum(dtype=np.uint64), scramble(place).sum(dtype=np.uint64), len(words)], dtype="<u8").tobytes()
                 bands[node] = found_bands[k]
+                cut = slice(cuts[k], cuts[k + 1])
+                rare[node] = rare_keys(keys[cut], weights[cut], counts[cut]).view(np.int64)
                 blobs[node] = exchange.squeeze_sorted(keys[cuts[k] : cuts[k + 1]])
                 weight_blobs[node] = exchange.squeeze(weights[cuts[k] : cuts[k + 1]])
         doc, is_known, text_hash = body.columns
         return pa.table({
             "row": (chunk << exchange.ROW_BITS) + np.arange(number), "doc_id": pa.array(doc, pa.int64(), mask=is_known == 0),
             "text_hash": text_hash, "same": pa.array(same, pa.binary()), "total": total, "shared": shared,
-            "bands": pa.array(bands, pa.list_(pa.int64())), "keys": pa.array(blobs, pa.binary()),
+            "bands": pa.array(bands, pa.list_(pa.int64())), "rare": pa.array(rare, pa.list_(pa.int64())), "keys": pa.array(blobs, pa.binary()),
             "weights": pa.array(weight_blobs, pa.binary())})
 
     return exchange.meet(asked.where("part < 0"), replies, weigh, _NODES)
@@ -223,16 +237,15 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _viable(members: DataFrame) -> DataFrame:
-    """Members that can be similar to one of another class in their bucket, given the least weight found there.
+    """Members, in buckets of several classes, that can be similar to one of another class in their bucket, given the least weight found there.
 
     What a member shares is at most ``shared``, so with a partner of ``lightest`` or more its similarity
     is at most shared / (total + max(lightest, shared) - shared).
     """
-    buckets = materialize(
+    buckets = (
         members.groupBy("band", "value")
         .agg(F.min("total").alias("lightest"), F.min("label").alias("low"), F.max("label").alias("high"))
-        .where("low < high").drop("low", "high"),
-        "near-buckets")
+        .where("low < high").drop("low", "high"))
     whole = F.col("total") + F.greatest("lightest", "shared") - F.col("shared")
     return materialize(
         members.join(buckets, ["band", "value"]).where(F.col("shared") >= (SIMILARITY - _SLACK) * whole).drop("lightest"),
@@ -260,47 +273,68 @@ def _reachable(center: Column) -> Column:
         least >= (SIMILARITY - _SLACK) * (F.col("total") + center["c_total"] - least))
 
 
+def _compared(members: DataFrame, eligible: DataFrame, centers: int, done: DataFrame | None, sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One round: the centers of every bucket, the new pairs of members with them, and those that are similar."""
+    order = Window.partitionBy("band", "value").orderBy("rank", F.desc("popular"), "row")
+    chosen = materialize(
+        eligible.withColumn("place", F.row_number().over(order)).where(F.col("place") <= centers)
+        .select("band", "value", F.col("row").alias("center"), F.col("label").alias("c_label"),
+                F.col("total").alias("c_total"), F.col("shared").alias("c_shared")),
+        "near-centers")
+    buckets = chosen.groupBy("band", "value").agg(
+        F.collect_list(F.struct("center", "c_label", "c_total", "c_shared")).alias("centers"))
+    offered = (  # the same centers come from several buckets: a row per member, not per bucket and center
+        members.join(buckets, ["band", "value"]).groupBy("row", "label", "total", "shared")
+        .agg(F.array_distinct(F.flatten(F.collect_list("centers"))).alias("centers")))
+    pairs = offered.select(F.col("row").alias("a"), F.explode(F.filter("centers", _reachable)).alias("c")).select(
+        F.least("a", "c.center").alias("a"), F.greatest("a", "c.center").alias("b")).distinct()
+    if done is not None:
+        pairs = pairs.join(done, ["a", "b"], "left_anti")
+    pairs = materialize(pairs, "near-pairs")
+    return chosen, pairs, materialize(_verified(pairs, sets), "near-links")
+
+
+def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """``row``, ``label`` after the new links: only classes that they join are looked at."""
+    ends = found
+    for side in "ab":
+        ends = ends.join(labels.select(F.col("row").alias(side), F.col("label").alias(f"{side}_label")), side)
+    joined = components(ends.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).where("a <> b"))
+    renamed = labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left")
+    return materialize(renamed.select("row", F.coalesce("new", "label").alias("label")), "near-labels")
+
+
 def _links(sets: DataFrame) -> DataFrame:
-    """Verified links between nodes (row, total, shared, bands, keys, weights), found by shared bands."""
+    """Verified links between nodes (row, total, shared, bands, rare, keys, weights), found by shared bands."""
     placed = sets.select("row", "total", "shared", F.posexplode("bands").alias("band", "value"))
     sizes = placed.groupBy("band", "value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = materialize(placed.join(sizes, ["band", "value"]), "near-members")
-    popular = members.groupBy("row").agg(F.sum("size").alias("popular"))
-    members = materialize(members.join(popular, "row").drop("size").withColumn("label", F.col("row")), "near-open")
-    links = compared = None
-    centers = CENTERS
-    members = _viable(members)
-    while members.limit(1).count():
-        # at first every member is a class of its own
-        eligible = members.withColumn("rank", F.lit(1)) if links is None else _outside_largest(members, centers)
-        order = Window.partitionBy("band", "value").orderBy("rank", F.desc("popular"), "row")
-        chosen = materialize(
-            eligible.withColumn("place", F.row_number().over(order)).where(F.col("place") <= centers)
-            .select("band", "value", F.col("row").alias("center"), F.col("label").alias("c_label"),
-                    F.col("total").alias("c_total"), F.col("shared").alias("c_shared")),
-            "near-centers")
-        buckets = chosen.groupBy("band", "value").agg(
-            F.collect_list(F.struct("center", "c_label", "c_total", "c_shared")).alias("centers"))
-        offered = (  # the same centers come from several bands: a row per member, not per band and center
-            members.join(buckets, ["band", "value"]).groupBy("row", "label", "total", "shared")
-            .agg(F.array_distinct(F.flatten(F.collect_list("centers"))).alias("centers")))
-        pairs = offered.select(F.col("row").alias("a"), F.explode(F.filter("centers", _reachable)).alias("c")).select(
-            "a", F.col("c.center").alias("b"))
-        if compared is not None:
-            both = compared.unionByName(compared.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            pairs = pairs.join(both, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "near-pairs")
-        found = materialize(_verified(pairs, sets), "near-links")
-        links = found if links is None else links.unionByName(found)
-        compared = pairs if compared is None else compared.unionByName(pairs)
+    popular = materialize(members.groupBy("row").agg(F.sum("size").alias("popular")), "near-popular")
+    # at first every member is a class of its own
+    members = _viable(members.join(popular, "row").drop("size").withColumn("label", F.col("row")))
+    chosen, pairs, links = _compared(members, members.withColumn("rank", F.lit(1)), CENTERS, None, sets)
+    compared = pairs
+    labels = _merged(popular.select("row", F.col("row").alias("label")), links)
+
+    def still_open(members: DataFrame, chosen: DataFrame) -> DataFrame:
         # a center has been compared with all members of other classes; pairs of the others are open
         left = members.join(
             chosen.select("band", "value", F.col("center").alias("row")), ["band", "value", "row"], "left_anti").drop("label")
-        labels = components(links).select(F.col("node").alias("row"), "label")
-        members = _viable(materialize(
-            left.join(labels, "row", "left").withColumn("label", F.coalesce("label", "row")), "near-open"))
+        return _viable(left.join(labels, "row"))
+
+    rows = materialize(still_open(members, chosen).select("row").distinct(), "near-rows")
+    if not rows.limit(1).count():
+        return links
+    dealt = sets.join(rows, "row").select("row", "total", "shared", F.lit(-1).alias("band"), F.explode("rare").alias("value"))
+    members = _viable(dealt.join(popular, "row").join(labels, "row"))
+    centers = CENTERS * MORE
+    while members.limit(1).count():
+        chosen, pairs, found = _compared(members, _outside_largest(members, centers), centers, compared, sets)
+        links, compared = links.unionByName(found), compared.unionByName(pairs)
+        labels = _merged(labels, found)
+        members = still_open(members, chosen)
         centers = min(centers * MORE, MOST_CENTERS)
-    return links if links is not None else sets.sparkSession.createDataFrame([], "a long, b long")
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -314,7 +348,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     possible = nodes.where("bands IS NOT NULL")
     first = possible.groupBy("same").agg(F.min("row").alias("node"))
     sets = materialize(
-        possible.select("row", "total", "shared", "bands", "keys", "weights").join(
+        possible.select("row", "total", "shared", "bands", "rare", "keys", "weights").join(
             first.select(F.col("node").alias("row")), "row", "left_semi"),
         "near-sets")
     links = materialize(

@@ -83,14 +83,18 @@ def test_a_large_group_of_variants(spark):
 def linked(spark, buckets):
     """The classes that are found, and those of all pairs, among sets of equal weights dealt to one bucket each."""
     rows, label = [], {}
+    buckets = [[{x + 10**12 * bucket for x in own} for own in sets] for bucket, sets in enumerate(buckets)]  # apart
+    df = Counter(x for sets in buckets for own in sets for x in own)
     for bucket, sets in enumerate(buckets):
         for k, own in enumerate(sets):
             keys = np.array(sorted(own), dtype=np.uint64)
             weight = float(len(keys))
-            rows.append((1000 * bucket + k, weight, weight, [bucket], exchange.squeeze_sorted(keys), exchange.squeeze(np.ones(len(keys)))))
+            rare = weighted_minhash.rare_keys(keys, np.ones(len(keys)), np.array([df[x] for x in sorted(own)])).tolist()
+            rows.append((1000 * bucket + k, weight, weight, [bucket], rare, exchange.squeeze_sorted(keys), exchange.squeeze(np.ones(len(keys)))))
             label[1000 * bucket + k] = 1000 * bucket + k
     nodes = weighted_minhash.materialize(
-        spark.createDataFrame(rows, "row long, total double, shared double, bands array<long>, keys binary, weights binary"), "near-test")
+        spark.createDataFrame(rows, "row long, total double, shared double, bands array<long>, rare array<long>, keys binary, weights binary"),
+        "near-test")
     links = weighted_minhash.materialize(weighted_minhash._links(nodes), "near-test")
     found = defaultdict(set)
     for r in components(links).collect():
@@ -136,6 +140,51 @@ def test_drifting_families_are_compared_whole(spark):
     assert found == right and len(right[0]) == 24
 
 
+def test_similar_sets_share_a_rare_key():
+    rng = np.random.default_rng(2)
+    df = rng.integers(2, 40, 3000)
+    near = 0
+    for _ in range(400):
+        size = int(rng.integers(5, 60))
+        a, b = rng.choice(3000, size, replace=False), rng.choice(3000, size, replace=False)
+        same = rng.random(size) < rng.uniform(0.8, 1)
+        b = np.unique(np.where(same, a, b))
+        a = np.unique(a)
+        w, v = rng.uniform(0.5, 2, 3000), rng.uniform(0.9, 1.1, 3000)
+        if weighted_minhash.similarity(a.astype(np.uint64), w[a], b.astype(np.uint64), (w * v)[b]) >= 0.8:
+            near += 1
+            assert set(weighted_minhash.rare_keys(a, w[a], df[a])) & set(weighted_minhash.rare_keys(b, (w * v)[b], df[b]))
+    assert near > 100
+
+
+def passage(number, seed=5):
+    """Pairs of near copies that all hold one long passage."""
+    rng = random.Random(seed)
+    shared = [f"p{k}" for k in range(120)]
+    rows = []
+    for k in range(number):
+        own = [f"o{rng.randrange(10**9)}" for _ in range(80)]
+        rows += [(2 * k, " ".join(own + shared)), (2 * k + 1, " ".join([*own[:-1], f"e{k}"] + shared))]
+    return rows
+
+
+def test_a_common_passage_takes_pairs_in_proportion(spark, monkeypatch):
+    verified, compared = weighted_minhash._verified, []
+
+    def counting(pairs, sets):
+        compared.append(pairs.count())
+        return verified(pairs, sets)
+
+    monkeypatch.setattr(weighted_minhash, "_verified", counting)
+    per_document = []
+    for number in (100, 400):
+        compared.clear()
+        docs = spark.createDataFrame(passage(number), "doc_id long, text string").repartition(4)
+        assert found_classes(docs) == sorted(str([str(2 * k), str(2 * k + 1)]) for k in range(number))
+        per_document.append(sum(compared) / number)
+    assert per_document[1] < 1.5 * per_document[0] < 120 and len(compared) <= 3, per_document
+
+
 def test_odd_documents(spark):
     docs = odd_docs(spark)
     assert found_classes(docs) == brute_classes(docs.collect())
