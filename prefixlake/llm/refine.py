@@ -58,7 +58,7 @@ def _possible(prefixes: DataFrame, groups: int) -> Column:
     """
     slots = min(MOST_SLOTS, 1 << max(10, (16 * groups - 1).bit_length()))
     slot = F.pmod(F.xxhash64(LENGTH, PREFIX), F.lit(slots))
-    word, bit = F.floor(slot / 64), F.shiftleft(F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
+    word, bit = F.floor(slot / 64), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
     words = prefixes.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     dense = prefixes.sparkSession.range(slots // 64).withColumnRenamed("id", "word").join(words, "word", "left")
     listed = F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
