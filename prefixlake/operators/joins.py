@@ -1,7 +1,7 @@
 """Equi-joins that hold up when one key owns a large share of the rows.
 
 A side is broadcast only after its size was measured. Beyond the bound the join is
-an ordinary shuffle join: every side occurs once in the plan, and adaptive execution,
+a sorted shuffle join by hint, whatever Spark estimates: every side occurs once in the plan, and adaptive execution,
 which sessions of this package turn on, splits the left rows of a hot key by bytes
 over several tasks. No row is dropped or capped on either path.
 """
@@ -98,4 +98,5 @@ def skew_join(
         small = fits_broadcast(right, limit)
     if small:
         return left.join(F.broadcast(right), on, how)
-    return left.join(right, on, how)
+    # Spark's own estimate knows neither exploded rows nor compressed files, and would broadcast either side on its word.
+    return left.join(right.hint("merge"), on, how)

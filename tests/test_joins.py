@@ -29,6 +29,16 @@ def test_paths_agree(rows, sides, how, limit):
     assert rows(found, *sorted(expected.columns)) == rows(expected, *sorted(expected.columns))
 
 
+def test_beyond_the_bound_no_side_is_broadcast(spark, tmp_path):
+    # 20 rows in the file, 20,000 after the explode, which Spark's estimate of the left side does not count
+    spark.range(20).write.parquet(str(tmp_path / "left"))
+    left = spark.read.parquet(str(tmp_path / "left")).select("id", F.explode(F.sequence(F.lit(1), F.lit(1000))).alias("k"))
+    right = spark.range(0, 900, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        joined = skew_join(left, right, ["k"], how, limit=0)
+        assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString(), how
+
+
 def test_composite_key(rows, spark, sides):
     left, _ = sides
     right = spark.range(0, 700, 3).select(F.col("id").alias("k"), (F.col("id") % 5).alias("part"), F.lit("x").alias("v"))
