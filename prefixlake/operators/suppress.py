@@ -69,7 +69,7 @@ def twin_hash(twin: tuple[str, ...]) -> Column:
 def with_twins(overlay: DataFrame, assignments: DataFrame | None, claims: DataFrame | None) -> DataFrame:
     """The overlay with ``twin_hash`` of every row that names an assignment or claim of the given runs.
 
-    This reads all rows of the runs, so it is for overlays that were stored without the hash; see
+    An id that stands on rows which say different things gives an overlay row for each of them. This reads all rows of the runs, so it is for overlays that were stored without the hash; see
     :func:`apply_suppression_requests` for how new ones get it.
     """
     overlay = overlay.withColumn(TWIN, F.col(TWIN) if TWIN in overlay.columns else F.lit(None).cast("string"))
@@ -80,7 +80,7 @@ def with_twins(overlay: DataFrame, assignments: DataFrame | None, claims: DataFr
         wanted = overlay.filter(F.col(target_id).isNotNull() & F.col(TWIN).isNull()).select(F.col(target_id).alias(row_id))
         found = (
             skew_join(rows.select(row_id, *twin), wanted, [row_id], "left_semi")
-            .groupBy(F.col(row_id).alias(target_id)).agg(F.min(twin_hash(twin)).alias("_found")))
+            .select(F.col(row_id).alias(target_id), twin_hash(twin).alias("_found")).distinct())
         overlay = skew_join(overlay, found, [target_id], "left", store="twin-index").withColumn(
             TWIN, F.coalesce(TWIN, "_found")).drop("_found")
     return overlay

@@ -155,3 +155,13 @@ def test_evidence_is_cut_per_assignment(spark, tables):
     assert len(by_id["a"]) == 100 and all(row.truncated for row in by_id["a"])
     assert {row.role for row in by_id["a"]} == {"corroborating"}  # sorted by role first
     assert [(row.evidence_id, row.truncated) for row in by_id["b"]] == [(None, False)]
+
+
+def test_an_id_of_several_rows_withholds_the_twins_of_all(spark, tables):
+    old = [block("MA-L", 24, name, ident="old") for name in ("One", "Two")]
+    new = [block("MA-L", 24, name, ident=f"new-{name}") for name in ("One", "Two", "Three")]
+    history, _, overlay = tables(old, [], [hide(resolved_assignment_id="old")])
+    run, _, _ = tables(new, [], [])
+    overlay = suppress.with_twins(overlay, history, None)
+    kept = suppress.unsuppressed_assignments(run, overlay, "2024-01-15 00:00:00", run_id="run-1")
+    assert [row["organization_name"] for row in kept.collect()] == ["Three"]
