@@ -197,23 +197,27 @@ def _checked(raw: DataFrame, rules: SourceRules, unknown: list[str], plain: bool
     )
 
 
-def batch_duplicates(records: DataFrame, source_class: str) -> DataFrame:
-    """Repeated normalized records, and repeated registry prefixes in an authoritative batch."""
-    same = (
-        records.groupBy(F.col("raw_record_hash").alias("duplicate_key")).agg(F.count(F.lit(1)).alias("copies"))
+def _repeated(rows: DataFrame, key: Column, code: str) -> DataFrame:
+    """Keys that occur more than once. They are counted by a short hash first, and only those that share one by their text,
+    so of a batch without repeats no key is moved."""
+    keyed = rows.select(key.alias("duplicate_key"), F.xxhash64(key).alias("_short"))
+    shared = keyed.groupBy("_short").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select("_short")
+    shared = materialize(shared, "repeated-keys")
+    return (
+        skew_join(keyed, shared, ["_short"], "left_semi")
+        .groupBy("duplicate_key").agg(F.count(F.lit(1)).alias("copies"))
         .filter(F.col("copies") > 1)
-        .select(F.lit("DUPLICATE_RECORD").alias("code"), "duplicate_key", "copies")
+        .select(F.lit(code).alias("code"), "duplicate_key", "copies")
     )
+
+
+def batch_duplicates(records: DataFrame, source_class: str) -> DataFrame:
+    """Repeated normalized records, and repeated registry prefixes in an authoritative batch."""
+    same = _repeated(records, F.col("raw_record_hash"), "DUPLICATE_RECORD")
     if source_class != "authoritative":
         return same
     key = F.concat_ws(":", "registry", F.col("prefix_length").cast("string"), F.col("prefix_bits").cast("string"))
-    repeated = (
-        records.filter(F.col("record_kind") == "assignment")
-        .groupBy(key.alias("duplicate_key")).agg(F.count(F.lit(1)).alias("copies"))
-        .filter(F.col("copies") > 1)
-        .select(F.lit("DUPLICATE_ASSIGNMENT").alias("code"), "duplicate_key", "copies")
-    )
-    return same.unionByName(repeated)
+    return same.unionByName(_repeated(records.filter(F.col("record_kind") == "assignment"), key, "DUPLICATE_ASSIGNMENT"))
 
 
 # Hexadecimal digits of an assignment per registry.

@@ -109,18 +109,24 @@ def assignment_conflicts(records: DataFrame, grouped: DataFrame | None = None) -
 
 
 def assignment_roles(records: DataFrame, grouped: DataFrame | None = None) -> DataFrame:
-    """Evidence: the core record of a key is ``selected``, the others ``corroborating``."""
+    """Evidence: the core record of a key is ``selected``, the others ``corroborating``.
+
+    A key with a single record is its own core, so only the records of the other keys are joined.
+    """
     keyed = _authoritative(records)
     grouped = _grouped(keyed) if grouped is None else grouped
-    agreed = grouped.filter("agreed").select(*_key_columns(), "core")
-    agreed = agreed.select(
+    fields = ["record_id", "source_slug", "raw_record_hash"]
+    agreed = grouped.filter("agreed").dropna(subset=_key_columns()).select(
         *_key_columns(),
+        "record_count",
         F.col("core.record_id").alias("core_record_id"),
         F.col("core.source_slug").alias("core_source_slug"),
         F.col("core.raw_record_hash").alias("core_record_hash"),
     )
-    joined = skew_join(keyed.select(*_key_columns(), "record_id", "source_slug", "raw_record_hash"),
-                       agreed, _key_columns(), "inner")
+    single = agreed.filter(F.col("record_count") == 1).select(
+        "*", *[F.col(core).alias(name) for core, name in zip(("core_record_id", "core_source_slug", "core_record_hash"), fields)])
+    shared = agreed.filter(F.col("record_count") > 1)
+    joined = single.unionByName(skew_join(keyed.select(*_key_columns(), *fields), shared, _key_columns(), "inner"))
     target = joined.withColumn(
         "assignment_id",
         stable_id("assignment", "core_source_slug", "core_record_hash", "prefix_length", "prefix_bits"),
@@ -184,29 +190,34 @@ def conflict_status(
     ).drop("official")
 
 
-def resolve_claims(records: DataFrame, assignments: DataFrame) -> DataFrame:
-    """Claims with final verification and their relation to the official layer."""
-    claims = records.filter(F.col("record_kind").isin(*CLAIM_KINDS))
-    checked = conflict_status(corroborate(claims), assignments)
-    return checked.select(
-        F.col("record_kind").alias("claim_type"), "prefix_bits", "prefix_length", "claim_json",
-        "organization_name", "verification_status", "origin_type", "conflict_status",
-        "record_id", "raw_record_hash", "source_slug", "source_release_id",
-    ).withColumn(
+def _claims(records: DataFrame) -> DataFrame:
+    return records.filter(F.col("record_kind").isin(*CLAIM_KINDS))
+
+
+def _with_claim_id(claims: DataFrame) -> DataFrame:
+    return claims.withColumn("claim_type", F.col("record_kind")).withColumn(
         "claim_id", stable_id("claim", "claim_type", "source_slug", "raw_record_hash", "prefix_length", "prefix_bits")
     )
 
 
+def resolve_claims(records: DataFrame, assignments: DataFrame) -> DataFrame:
+    """Claims with final verification and their relation to the official layer."""
+    claims = _claims(records).select(
+        "record_kind", "prefix_bits", "prefix_length", "claim_json", "organization_name", "verification_status",
+        "origin_type", "record_id", "raw_record_hash", "source_slug", "source_release_id")
+    return _with_claim_id(conflict_status(corroborate(claims), assignments)).drop("record_kind")
+
+
 def resolve(records: DataFrame) -> Resolution:
-    """Full resolution. The grouped keys and the assignments are stored once, because
-    conflicts, evidence and the claim comparison all read them."""
+    """Full resolution. The grouped keys are stored once, because assignments, conflicts, evidence and the
+    claim comparison all read them. The evidence of a claim needs its record alone, so it is made without the
+    joins that judge the claim."""
     grouped = materialize(_grouped(_authoritative(records)), "resolved-keys")
-    assignments = materialize(_assignments(grouped), "resolved-assignments")
-    claims = resolve_claims(records, assignments)
+    assignments = _assignments(grouped)
     return Resolution(
         assignments=assignments,
-        claims=claims,
-        evidence=evidence_rows(assignment_roles(records, grouped), claim_evidence(claims)),
+        claims=resolve_claims(records, assignments),
+        evidence=evidence_rows(assignment_roles(records, grouped), claim_evidence(_with_claim_id(_claims(records)))),
         conflicts=assignment_conflicts(records, grouped),
     )
 
@@ -241,11 +252,13 @@ def hash_buckets(df: DataFrame, columns: list[str]) -> DataFrame:
     hashes only, spread evenly whatever the rows are.
     """
     row_hash = F.sha2(json_key(*[F.col(name) for name in sorted(columns)]), 256)
-    distinct = df.select(row_hash.alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
-    entry = F.concat("_h", F.lit(":"), F.col("_n").cast("string"))
-    return distinct.groupBy(F.substring("_h", 1, TREE_LEVELS[0]).alias("bucket")).agg(
-        F.sum("_n").alias("row_count"),
-        F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), "|"), 256).alias("hash"))
+    # Hashes are moved as 32 bytes and written as text only inside a bucket.
+    distinct = df.select(F.unhex(row_hash).alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
+    entries = F.transform(
+        F.array_sort(F.collect_list(F.struct("_h", "_n"))),
+        lambda entry: F.concat(F.lower(F.hex(entry["_h"])), F.lit(":"), entry["_n"].cast("string")))
+    return distinct.groupBy(F.substring(F.lower(F.hex("_h")), 1, TREE_LEVELS[0]).alias("bucket")).agg(
+        F.sum("_n").alias("row_count"), F.sha2(F.array_join(entries, "|"), 256).alias("hash"))
 
 
 def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -116,11 +116,36 @@ def import_release(
         "source_release_id": F.lit(release_id),
         "record_id": F.sha2(F.concat_ws("|", F.lit(release_id), "raw_record_hash"), 256),
     })
-    records = materialize(records, "accepted-batch")
+    # The folder of the release is written once and judged there; it counts only with its row in source_releases.
+    wh.replace_part("source_records", release_id, records)
+    records = wh.read("source_records").filter(F.col("source_release_id") == release_id)
+    try:
+        changed = _judged_batch(wh, slug, records, rules, snapshot_kind, max_added_percent, max_removed_percent)
+    except BatchRejected:
+        wh.replace_part("source_records", release_id, wh.empty("source_records"))
+        raise
+
+    count = records.count()
+    wh.append("source_releases", wh.spark.createDataFrame(
+        [(release_id, slug, "valid", snapshot_kind, snapshot_kind == "full_snapshot" and snapshot_complete, import_key, content_hash,
+          count, 0, at, at)],
+        "source_release_id string, source_slug string, status string, snapshot_kind string, snapshot_complete boolean,"
+        " import_key string, content_hash string, record_count bigint, rejected_record_count bigint,"
+        " fetched_at timestamp_ntz, validated_at timestamp_ntz",
+    ))
+    _audit(wh, "source_release.imported", actor, "source_release", release_id, at, record_count=count, source_slug=slug)
+    return {"status": "imported", "source_release_id": release_id, "record_count": count,
+            "warnings": warnings.count(), "diff": changed.asDict()}
+
+
+def _judged_batch(
+    wh: Warehouse, slug: str, records: DataFrame, rules: contract.SourceRules, snapshot_kind: str,
+    max_added_percent: float | None, max_removed_percent: float | None,
+):
+    """The comparison of a batch with the last valid release; raises for repeated records or too large a change."""
     repeated = _first(contract.batch_duplicates(records, rules.source_class), "code", "duplicate_key")
     if repeated:
         raise BatchRejected(*repeated)
-
     history = wh.read("source_releases").filter(F.col("source_slug") == slug).withColumnsRenamed(
         {"source_slug": "slug", "source_release_id": "release_id"}
     )
@@ -133,19 +158,7 @@ def import_release(
     changed = diff.snapshot_diff(records, previous, max_added_percent, max_removed_percent, snapshot_kind).first()
     if changed["code"]:
         raise BatchRejected(changed["code"], f"+{changed['added_percent']}% -{changed['removed_percent']}%")
-
-    wh.replace_part("source_records", release_id, records)
-    count = records.count()
-    wh.append("source_releases", wh.spark.createDataFrame(
-        [(release_id, slug, "valid", snapshot_kind, snapshot_kind == "full_snapshot" and snapshot_complete, import_key, content_hash,
-          count, 0, at, at)],
-        "source_release_id string, source_slug string, status string, snapshot_kind string, snapshot_complete boolean,"
-        " import_key string, content_hash string, record_count bigint, rejected_record_count bigint,"
-        " fetched_at timestamp_ntz, validated_at timestamp_ntz",
-    ))
-    _audit(wh, "source_release.imported", actor, "source_release", release_id, at, record_count=count, source_slug=slug)
-    return {"status": "imported", "source_release_id": release_id, "record_count": count,
-            "warnings": warnings.count(), "diff": changed.asDict()}
+    return changed
 
 
 def _audit(wh: Warehouse, event: str, actor: str, kind: str, target: str, at: datetime, **facts) -> None:

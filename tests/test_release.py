@@ -312,3 +312,12 @@ def test_differing_buckets_name_what_changed(spark):
     twice = df.unionByName(df.limit(1))
     [row] = resolve.differing_buckets(twice, df, ["a", "id"]).collect()
     assert row.current_rows == row.previous_rows + 1
+
+
+def test_evidence_of_a_claim_needs_no_join(spark, rows):
+    given = records(spark, record("1"), record("2", "enr", "curated_vendor_claim", bits=0x02AABB0, length=28))
+    found = resolve.resolve(given)
+    plan = found.evidence.filter("claim_id is not null")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" not in plan
+    assert rows(found.evidence, "record_id", "role", "field_name") == [("1", "selected", "assignment"), ("2", "selected", "claim")]
+    assert found.claims.first().claim_id == found.evidence.filter("field_name = 'claim'").first().claim_id
