@@ -42,6 +42,7 @@ def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:
     return measured_bytes(df) <= (BROADCAST_BYTES if limit is None else limit)
 
 
+NULL_KEY_PARTS = 1 << 20  # ways in which left rows without a key are dealt
 CELL_ROWS = 1000  # rows of one key that one cell of a grid holds on either side
 
 
@@ -99,4 +100,13 @@ def skew_join(
     if small:
         return left.join(F.broadcast(right), on, how)
     # Spark's own estimate knows neither exploded rows nor compressed files, and would broadcast either side on its word.
-    return left.join(right.hint("merge"), on, how)
+    if how not in ("left", "left_anti"):
+        return left.join(right.hint("merge"), on, how)
+    # Left rows without a key are kept and match nothing; dealt by their other columns, they do not all meet in one task.
+    plain = [field.name for field in left.schema.fields if isinstance(field.dataType, (*_FIXED, T.StringType, T.BinaryType))]
+    spread = F.pmod(F.xxhash64(*plain), F.lit(NULL_KEY_PARTS)).cast("int")
+    none = F.greatest(*[F.col(name).isNull() for name in on], F.lit(False))
+    dealt = left.withColumn("_deal", F.when(none, spread).otherwise(F.lit(0)))
+    # Always 0; a literal would be folded out of the join keys.
+    keyed = right.withColumn("_deal", F.pmod(F.xxhash64(*on), F.lit(1)).cast("int"))
+    return dealt.join(keyed.hint("merge"), [*on, "_deal"], how).drop("_deal")

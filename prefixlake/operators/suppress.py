@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from prefixlake.functions.bits import prefix_key
 from prefixlake.functions.hashes import json_key
 from prefixlake.operators.joins import BROADCAST_BYTES, row_bytes, skew_join
+from prefixlake.session import materialize
 
 ASSIGNMENT_TWIN = (
     "registry", "prefix_bits", "prefix_length", "core_source_slug",
@@ -185,6 +186,14 @@ def expire_due(overlay: DataFrame, as_of: datetime | str) -> DataFrame:
     return overlay.withColumn("status", F.when(F.coalesce(due, F.lit(False)), "expired").otherwise(F.col("status")))
 
 
+def _named_twins(
+    creates: DataFrame, rows: DataFrame, row_id: str, target_id: str, twin: tuple[str, ...], name: str
+) -> DataFrame:
+    """The id and twin hash of the rows that a request names; the others are neither hashed nor moved when the ids fit a broadcast."""
+    named = skew_join(rows.select(row_id, *twin), creates.select(F.col(target_id).alias(row_id)).dropna(), [row_id], "left_semi")
+    return named.select(F.col(row_id).alias(target_id), twin_hash(twin).alias(name))
+
+
 def apply_suppression_requests(
     requests: DataFrame,
     overlay: DataFrame,
@@ -206,6 +215,7 @@ def apply_suppression_requests(
     if TWIN not in overlay.columns:
         overlay = with_twins(
             overlay, assignments if assignment_history is None else assignment_history, claims if claim_history is None else claim_history)
+        overlay = materialize(overlay, "overlay-twins")
     overlay = expire_due(overlay, as_of)
     revokes = requests.filter(F.col("action") == "revoke")
     creates = requests.filter(F.col("action") == "create")
@@ -218,17 +228,17 @@ def apply_suppression_requests(
         .when((F.col("_status") != "active") | (F.col("request_seq") != F.col("_first")), "SUPPRESSION_NOT_ACTIVE")
         .when(F.col("_run") != F.lit(run_id), "SUPPRESSION_NOT_CURRENT")
     )
-    revokes = revokes.withColumn("error_code", revoke_error)
+    revokes = materialize(revokes.select("request_seq", "action", "suppression_id", revoke_error.alias("error_code")), "judged-revokes")
     revoked = revokes.filter(F.col("error_code").isNull()).select("suppression_id", F.lit(True).alias("_revoked"))
     overlay = skew_join(overlay, revoked, ["suppression_id"], "left").withColumn(
         "status", F.when(F.col("_revoked"), "revoked").otherwise(F.col("status"))
     ).drop("_revoked")
 
-    by_assignment = assignments.select(F.col("assignment_id").alias("resolved_assignment_id"), twin_hash(ASSIGNMENT_TWIN).alias("_a_twin"))
-    by_claim = claims.select(F.col("claim_id").alias("resolved_claim_id"), twin_hash(CLAIM_TWIN).alias("_c_twin"))
+    by_assignment = _named_twins(creates, assignments, "assignment_id", "resolved_assignment_id", ASSIGNMENT_TWIN, "_a_twin")
+    by_claim = _named_twins(creates, claims, "claim_id", "resolved_claim_id", CLAIM_TWIN, "_c_twin")
     slugs = active_slugs.select("source_slug").distinct().withColumn("_slug_known", F.lit(True))
-    keyed = skew_join(creates, by_assignment, ["resolved_assignment_id"], "left")
-    keyed = skew_join(keyed, by_claim, ["resolved_claim_id"], "left")
+    keyed = skew_join(creates, by_assignment, ["resolved_assignment_id"], "left", store="named-assignments")
+    keyed = skew_join(keyed, by_claim, ["resolved_claim_id"], "left", store="named-claims")
     keyed = skew_join(keyed, slugs, ["source_slug"], "left")
     is_prefix = F.col("prefix_bits").isNotNull()
     keyed = keyed.withColumn(
@@ -274,7 +284,10 @@ def apply_suppression_requests(
         .when(is_prefix & F.col("source_slug").isNotNull() & F.col("_slug_known").isNull(), "SOURCE_NOT_ACTIVE")
         .when(F.col("_taken"), "ALREADY_SUPPRESSED")
     )
-    judged = keyed.withColumn("error_code", error)
+    # Stored: the first request of a target, the new rows and the refused ones all come from it.
+    judged = materialize(keyed.withColumn("error_code", error).select(
+        "request_seq", "action", "error_code", "_key", "suppression_id", "resolved_assignment_id", "resolved_claim_id",
+        "prefix_bits", "prefix_length", "surface", "source_slug", "reason_code", "expires_at", "_a_twin", "_c_twin"), "judged-requests")
     winners = judged.filter(F.col("error_code").isNull()).groupBy("_key").agg(F.min("request_seq").alias("_first"))
     judged = skew_join(judged, winners, ["_key"], "left").withColumn(
         "error_code",

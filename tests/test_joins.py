@@ -72,3 +72,12 @@ def test_a_name_that_is_hot_on_both_sides_is_cut_into_cells(spark):
     assert found.count() == plain.count() and found.exceptAll(plain.select(*found.columns)).count() == 0
     for side in joins.grid_sides(left, right, ["name"], rows=200):
         assert side.groupBy("name", "_left_block", "_right_block").count().agg(F.max("count")).first()[0] < 300
+
+
+def test_left_rows_without_a_key_are_dealt_over_tasks(spark):
+    left = spark.range(200).select(F.when(F.col("id") < 3, F.col("id")).alias("k"), F.col("id").alias("v"))
+    right = spark.range(2).select(F.col("id").alias("k"), F.lit("x").alias("w"))
+    for how, matched in (("left", 200), ("left_anti", 198)):
+        joined = skew_join(left, right, ["k"], how, limit=0)
+        assert joined.count() == matched and "_deal" not in joined.columns
+        assert "_deal" in joined._jdf.queryExecution().executedPlan().toString()
