@@ -1,7 +1,8 @@
 """Address lookup: longest official prefix, ranked claims and usage insights.
 
 Prefix containment becomes equality: every stored prefix of an address is one
-of at most 48 (bits, length) pairs, and an official block is one of three.
+of at most 48 (bits, length) pairs, and an official block is one of three. Claims are
+ranked once per longest stored prefix, not once per address.
 """
 
 from __future__ import annotations
@@ -153,60 +154,93 @@ def enrich_claims(
     limit: int | None = None,
 ) -> DataFrame:
     """Best ``k`` claims on any prefix of each distinct address, with ``claim_rank``
-    and ``truncated`` (there was a further claim).
+    and ``truncated`` (there was a further claim)."""
+    placed, ranked = _ranked_layers(macs, claim_index(claims, {"claims": (kinds, k)}, by_type), mac, limit)
+    return skew_join(placed, ranked, ["_longest"], "inner", limit, store="ranked-claims").select(
+        mac, *claims.columns, "claim_rank", "truncated")
 
-    An address shows at most k + 1 claims of one prefix, so claims are first cut to
-    k + 1 per prefix: exact, and no crowded prefix is multiplied by its addresses. An
-    address has one prefix per length, so length and place within the prefix already give
-    the full order, and addresses are ranked by one small number instead of text columns.
-    """
-    return _ranked_layers(macs, claims, {"claims": (kinds, k)}, by_type, mac, limit).drop("_layer", "_k")
 
+def _containing(prefixes: DataFrame, bits: Column, length: Column, keys: DataFrame, lengths: list[int], small: bool) -> DataFrame:
+    """Every row with each of the stored prefixes ``keys`` (``_key`` and more) that contains its prefix (bits, length)."""
+    probes = F.filter(F.array(*[F.lit(known) for known in sorted(lengths)]).cast("array<int>"), lambda known: known <= length)
+    candidates = prefixes.withColumn("_probe", F.explode(probes)).withColumn(
+        "_key", prefix_key(shift_right(bits, length - F.col("_probe")), "_probe")).drop("_probe")
+    return skew_join(candidates, keys, ["_key"], "inner", small=small)
 
-def _ranked_layers(
-    macs: DataFrame,
-    claims: DataFrame,
-    layers: dict[str, tuple[tuple[str, ...], int]],
-    by_type: bool,
-    mac: str,
-    limit: int | None,
-) -> DataFrame:
-    """Best claims of several layers in one pass. ``layers`` gives each layer's claim kinds,
-    which no two layers share, and how many claims it shows; column ``_layer`` names the layer."""
+
+@dataclass(frozen=True)
+class ClaimIndex:
+    """The claims that lookups can show, stored once for any number of them."""
+
+    layers: dict[str, tuple[tuple[str, ...], int]]
+    best: DataFrame  # the first k + 1 claims of a layer and prefix, with ``_key``, ``_layer`` and ``_place``
+    keys: DataFrame  # the stored prefixes, with their number of such claims per layer
+    lengths: list[int]
+    key_bytes: int
+
+
+def claim_index(claims: DataFrame, layers: dict[str, tuple[tuple[str, ...], int]], by_type: bool) -> ClaimIndex:
+    """``layers`` gives each layer's claim kinds, which no two layers share, and how many claims it shows; column
+    ``_layer`` names the layer. At most k + 1 claims of one stored prefix matter, so claims are cut to these, exactly."""
 
     def per_layer(value: Callable[[str], Column]) -> Column:
         return F.coalesce(*[F.when(F.col("claim_type").isin(*kinds), value(name)) for name, (kinds, _) in layers.items()])
 
-    order = _claim_order(by_type)
-    wanted = claims.withColumn("_layer", per_layer(F.lit)).filter(F.col("_layer").isNotNull())
-    # One pass over the stored claims gives a bound of their size and the at most 48 lengths to probe.
-    measured = wanted.agg(
-        F.sum(row_bytes(wanted).cast("bigint")).alias("bytes"), F.collect_set("prefix_length").alias("lengths")
-    ).first()
-    lengths, small = measured["lengths"], (measured["bytes"] or 0) <= (BROADCAST_BYTES if limit is None else limit)
-    keyed = wanted.withColumns({
-        "_key": prefix_key("prefix_bits", "prefix_length"), "_k": per_layer(lambda name: F.lit(layers[name][1])),
-    })
-    best = (
-        keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("_key", "_layer").orderBy(*order)))
-        .filter(F.col("_rank") <= F.col("_k") + 1)
-        .withColumn("_order", (F.lit(ADDRESS_BITS) - F.col("prefix_length")) * (F.col("_k") + 2) + F.col("_rank"))
-        .drop("_rank")
-    )
+    wanted = claims.withColumn("_layer", per_layer(F.lit)).withColumn("_key", prefix_key("prefix_bits", "prefix_length"))
+    # Bits beyond the length would give the key of another prefix; they contain no address.
+    valid = F.col("prefix_length").between(0, ADDRESS_BITS) & (shift_right("prefix_bits", "prefix_length") == 0)
+    most = per_layer(lambda name: F.lit(layers[name][1]))
+    place = F.row_number().over(Window.partitionBy("_key", "_layer").orderBy(*_claim_order(by_type)))
+    best = materialize(
+        wanted.filter(F.col("_layer").isNotNull() & valid).withColumn("_place", place)
+        # the fixed bound lets Spark cut a crowded prefix before it is moved
+        .filter((F.col("_place") <= max(k for _, k in layers.values()) + 1) & (F.col("_place") <= most + 1)),
+        "best-claims")
+    counts = [F.count_if(F.col("_layer") == name).alias(f"_n_{name}") for name in layers]
+    keys = materialize(best.groupBy("_key", F.col("prefix_length").alias("_length")).agg(*counts), "claim-prefixes")
+    measured = keys.agg(F.sum(row_bytes(keys).cast("bigint")).alias("bytes"), F.collect_set("_length").alias("lengths")).first()
+    return ClaimIndex(layers, best, keys, measured["lengths"], measured["bytes"] or 0)
+
+
+def _ranked_layers(macs: DataFrame, index: ClaimIndex, mac: str, limit: int | None) -> tuple[DataFrame, DataFrame]:
+    """The distinct addresses that any claim covers with ``_longest``, their longest stored prefix, and the best claims of each such prefix.
+
+    Addresses with one longest prefix show the same claims, so claims are ranked once per prefix. Longer prefixes come
+    first: the rank of a claim is its place within its own prefix, behind all claims of the longer ones, and only
+    prefixes that start within the first k are joined with their claims.
+    """
+    layers, best, keys, lengths = index.layers, index.best, index.keys, index.lengths
+    small = index.key_bytes <= (BROADCAST_BYTES if limit is None else limit)
     addresses = macs.select(mac).filter((F.col(mac) >= 0) & (F.col(mac) < ADDRESS_LIMIT)).distinct()
-    probes = F.array(*[F.lit(length) for length in sorted(lengths)]).cast("array<int>")
-    candidates = addresses.select(mac, F.explode(probes).alias("_length")).select(
-        mac, prefix_key(shift_right(mac, F.lit(ADDRESS_BITS) - F.col("_length")), "_length").alias("_key")
-    )
-    matched = skew_join(candidates, best, ["_key"], "inner", small=small).drop("_key")
-    per_address = Window.partitionBy(mac, "_layer")
-    return (
-        matched.withColumn("claim_rank", F.row_number().over(per_address.orderBy("_order")))
-        .drop("_order")
-        .filter(F.col("claim_rank") <= F.col("_k") + 1)
-        .withColumn("truncated", F.max("claim_rank").over(per_address) > F.col("_k"))
+    # A key grows with its length, so the longest prefix of an address has the largest.
+    placed = materialize(
+        _containing(addresses, F.col(mac), F.lit(ADDRESS_BITS), keys.select("_key"), lengths, small)
+        .groupBy(mac).agg(F.max("_key").alias("_longest")),
+        "placed-addresses")
+    used = skew_join(
+        placed.select(F.col("_longest").alias("_key")).distinct(), keys.select("_key", F.col("_length").alias("_size")), ["_key"], small=small
+    ).select(F.col("_key").alias("_longest"), "_size")
+    # The bits above the marker of the key shift out where a length is cut, as those of an address do.
+    bits = F.col("_longest").bitwiseXOR(prefix_key(F.lit(0).cast("bigint"), "_size"))
+    around = _containing(used, bits, F.col("_size"), keys, lengths, small)
+    longer = Window.partitionBy("_longest").orderBy(F.desc("_length"))
+    whole = Window.partitionBy("_longest")
+    for name, (_, k) in layers.items():
+        count = F.col(f"_n_{name}")
+        around = around.withColumns({
+            f"_end_{name}": F.sum(count).over(longer.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+            f"_more_{name}": F.sum(count).over(whole) > k})
+    shares = F.array(*[
+        F.struct(F.lit(name).alias("_layer"), F.lit(k).alias("_k"), F.col(f"_n_{name}").alias("_n"),
+                 (F.col(f"_end_{name}") - F.col(f"_n_{name}")).cast("int").alias("_before"), F.col(f"_more_{name}").alias("truncated"))
+        for name, (_, k) in layers.items()])
+    shown = around.select("_longest", "_key", F.inline(shares)).filter((F.col("_n") > 0) & (F.col("_before") < F.col("_k"))).drop("_n")
+    ranked = (
+        skew_join(shown, best, ["_key", "_layer"], "inner", limit)
+        .withColumn("claim_rank", F.col("_before") + F.col("_place"))
         .filter(F.col("claim_rank") <= F.col("_k"))
-    )
+        .drop("_key", "_k", "_before", "_place"))
+    return placed, ranked
 
 
 def enrich_insights(
@@ -223,7 +257,7 @@ def _source(slug: str, release: str) -> Column:
 
 
 def _nested(name: str, fields: list[Column]) -> list[Column]:
-    """At most k structs per address and layer, best first, and whether there were more."""
+    """At most k structs per longest prefix and layer, best first, and whether there were more."""
     here = F.col("_layer") == name
     listed = F.array_sort(F.collect_list(F.when(here, F.struct("claim_rank", F.struct(*fields).alias("item")))))
     return [
@@ -251,14 +285,42 @@ def lookup(
     return answer_from(macs, visible(release, as_of, mode == "enriched"), mode, mac, limit, claim_limit, insight_limit)
 
 
+def answer_layers(claim_limit: int = CLAIM_LIMIT, insight_limit: int = INSIGHT_LIMIT) -> dict[str, tuple[tuple[str, ...], int]]:
+    """The two lists of claims of an enriched answer."""
+    return {"curated_matches": (CURATED_KINDS, claim_limit), "insights": (INSIGHT_KINDS, insight_limit)}
+
+
 def answer_from(
     macs: DataFrame, shown: Release, mode: str = "enriched", mac: str = "mac_value", limit: int | None = None,
     claim_limit: int = CLAIM_LIMIT, insight_limit: int = INSIGHT_LIMIT,
 ) -> DataFrame:
     """Answers from a release whose suppressed rows are already left out."""
     addresses = macs.select(mac).filter((F.col(mac) >= 0) & (F.col(mac) < ADDRESS_LIMIT)).distinct()
-    if mode == "enriched":
-        addresses = materialize(addresses, "addresses")  # read by the official layer and by the claims
+    if mode == "official":
+        return _with_answers(addresses, shown, None, mac, limit)
+    addresses = materialize(addresses, "addresses")  # read by the official layer and by the claims
+    index = claim_index(shown.claims, answer_layers(claim_limit, insight_limit), True)
+    return _with_answers(addresses, shown, index, mac, limit)
+
+
+def answer_rows(
+    rows: DataFrame, shown: Release, index: ClaimIndex | None, mac: str = "mac_value", limit: int | None = None
+) -> DataFrame:
+    """Every row, duplicates included, with the answer for its address, NULL where that is no address.
+
+    The same as :func:`restore_inputs` of the answers, but the nested lists are stored once per longest prefix, not once
+    per address. ``index`` holds the claims of the layers :func:`answer_layers`; None gives the official answer.
+    """
+    found = _with_answers(rows, shown, index, mac, limit)
+    usable = (F.col(mac) >= 0) & (F.col(mac) < ADDRESS_LIMIT)
+    others = [name for name in rows.columns if name != mac]
+    return found.select(
+        mac, *others, *[F.when(usable, F.col(name)).alias(name) for name in found.columns if name not in rows.columns])
+
+
+def _with_answers(
+    addresses: DataFrame, shown: Release, index: ClaimIndex | None, mac: str, limit: int | None
+) -> DataFrame:
     found = enrich_official(addresses, shown.assignments, mac, limit)
     assignment = F.when(
         F.col("official").isNotNull(),
@@ -272,7 +334,7 @@ def answer_from(
         ),
     )
     answer = found.select(
-        mac,
+        *addresses.columns,
         F.lpad(F.hex(mac), 12, F.lit("0")).alias("normalized"),
         F.struct(
             (F.getbit(F.col(mac), F.lit(LOCAL_BIT)) == 1).alias("locally_administered"),
@@ -288,15 +350,14 @@ def answer_from(
             F.lit(shown.generated_at).alias("generated_at"),
         ).alias("release"),
     )
-    if mode == "official":
+    if index is None:
         return answer
     shared = [
         F.concat(F.lit("clm_"), F.col("claim_id")).alias("claim_id"),
         format_prefix("prefix_bits", "prefix_length").alias("prefix"),
         F.col("prefix_length"),
     ]
-    layers = {"curated_matches": (CURATED_KINDS, claim_limit), "insights": (INSIGHT_KINDS, insight_limit)}
-    ranked = _ranked_layers(addresses, shown.claims, layers, True, mac, limit)
+    placed, ranked = _ranked_layers(addresses, index, mac, limit)
     curated = _nested(
         "curated_matches",
         [*shared, F.lit("vendor_label").alias("claim_type"), F.col("organization_name"),
@@ -308,7 +369,9 @@ def answer_from(
         [*shared, F.col("claim_type"), F.col("organization_name"), F.col("claim_json").alias("details"),
          F.col("verification_status"), _source("source_slug", "source_release_id").alias("source")],
     )
-    full = answer.join(ranked.groupBy(mac).agg(*curated, *insights), mac, "left")
+    lists = ranked.groupBy("_longest").agg(*curated, *insights)
+    full = skew_join(
+        skew_join(answer, placed, [mac], "left", limit), lists, ["_longest"], "left", limit, store="claim-lists").drop("_longest")
     for name in ("curated_matches", "insights"):
         full = full.withColumn(name, F.coalesce(name, F.array().cast(full.schema[name].dataType)))
         full = full.withColumn(f"{name}_truncated", F.coalesce(f"{name}_truncated", F.lit(False)))

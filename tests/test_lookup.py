@@ -165,3 +165,37 @@ def test_an_id_of_several_rows_withholds_the_twins_of_all(spark, tables):
     overlay = suppress.with_twins(overlay, history, None)
     kept = suppress.unsuppressed_assignments(run, overlay, "2024-01-15 00:00:00", run_id="run-1")
     assert [row["organization_name"] for row in kept.collect()] == ["Three"]
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_claims_are_ranked_once_per_longest_stored_prefix(spark, tables, limit):
+    """Many addresses below one crowded prefix: its claims are ranked once, and given to each of them."""
+    crowd = [claim(f"x{i:03d}", 24) for i in range(30)] + [claim("deep", 30), claim("short", 8)]
+    claims = tables(claims=crowd)[1]
+    macs = spark.range(200).select((F.lit(MAC >> 12 << 12) + F.col("id")).alias("mac_value"))
+    index = lk.claim_index(claims, {"claims": (lk.CURATED_KINDS, 20)}, False)
+    placed, ranked = lk._ranked_layers(macs, index, "mac_value", limit)
+    assert placed.count() == 200 and placed.select("_longest").distinct().count() == 1
+    assert [row.claim_id for row in ranked.orderBy("claim_rank").collect()] == ["deep"] + [f"x{i:03d}" for i in range(19)]
+    rows = lk.enrich_claims(macs, claims, limit=limit)
+    assert rows.count() == 4000 and rows.where("truncated").count() == 4000
+
+
+def test_bits_beyond_the_length_of_a_claim_match_nothing(spark, tables):
+    """(3, 1) has the key of (1, 2): a claim that is no prefix is not found by another one's addresses."""
+    bad = ("bad", "curated_vendor_claim", 3, 1, "reviewed", "enr", "rel-enr", "Org", "{}", "imported", "agrees")
+    good = ("good", *bad[1:2], 1, 2, *bad[4:])
+    macs = spark.createDataFrame([(1 << 46,)], "mac_value long")
+    assert [row.claim_id for row in lk.enrich_claims(macs, tables(claims=[bad, good])[1]).collect()] == ["good"]
+
+
+def test_rows_of_a_batch_are_answered_like_restored_inputs(spark, tables):
+    release = lk.Release("run-1", 1, 2, "v1", NOW, *tables([block("MA-L", 24, "L")], [claim("c", 30), claim("d", 48, "usage_note")]))
+    rows = spark.createDataFrame([(1, MAC), (2, MAC), (3, None), (4, -1), (5, 5), (6, 1 << 48)], "event_id int, mac_value long")
+    for limit in (None, 0):
+        for index in (None, lk.claim_index(release.claims, lk.answer_layers(), True)):
+            answers = lk.answer_from(rows, release, "official" if index is None else "enriched", limit=limit)
+            expected = lk.restore_inputs(rows, answers, limit=limit)
+            found = lk.answer_rows(rows, release, index, limit=limit)
+            assert found.columns == expected.columns
+            assert found.orderBy("event_id").collect() == expected.orderBy("event_id").collect()
