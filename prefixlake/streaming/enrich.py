@@ -10,16 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from prefixlake.operators.lookup import Release, answer_from, restore_inputs, visible
+from prefixlake.operators.lookup import Release, answer_layers, answer_rows, claim_index, visible
 from prefixlake.operators.suppress import instant
 from prefixlake.streaming.batches import BatchTable
 
 
-def enrich_batch(batch: DataFrame, shown: Release, mode: str, mac: str = "mac_value") -> DataFrame:
-    """Every row of a micro-batch with the answer for its address."""
-    return restore_inputs(batch, answer_from(batch, shown, mode, mac), mac)
-
-
 def next_change(suppressions: DataFrame, as_of: datetime | str) -> datetime | None:
     """The first time after ``as_of`` at which an active suppression starts or ends."""
     times = suppressions.filter(F.col("status") == "active").select(F.explode(F.array("starts_at", "expires_at")).alias("at"))
@@ -64,7 +59,7 @@ def enrich_stream(
     ``read_release`` gives the release of a publication version, or the current one for None. The release and time of a
     micro-batch are logged before it is written, so one that runs again, after a restart too, replaces
     its folder by the same answers though another release was published since. Release rows without
-    the suppressed ones are stored again only when the publication changes or a suppression starts or ends.
+    the suppressed ones, and the claims they can show, are stored again only when the publication changes or a suppression starts or ends.
     """
     current: dict[str, object] = {}
 
@@ -74,8 +69,9 @@ def enrich_stream(
         key = (release.run_id, release.publication_version, mode)
         if current.get("key") != key or at < current["since"] or at >= current["until"]:
             shown = visible(release, at, mode == "enriched")
-            current.update(key=key, shown=shown, since=at, until=next_change(release.suppressions, at) or datetime.max)
-        BatchTable(spark, path).write(enrich_batch(batch, current["shown"], mode, mac), batch_id)
+            index = claim_index(shown.claims, answer_layers(), True) if mode == "enriched" else None
+            current.update(key=key, shown=shown, index=index, since=at, until=next_change(release.suppressions, at) or datetime.max)
+        BatchTable(spark, path).write(answer_rows(batch, current["shown"], current["index"], mac), batch_id)
 
     return (
         addresses.writeStream.foreachBatch(write)
