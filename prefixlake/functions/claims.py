@@ -110,7 +110,11 @@ def _given(value: Column | str) -> Column:
 def is_plain_claim(value: Column | str) -> Column:
     """Whether Spark's own JSON functions give the canonical text of a claim; an absent claim is plain."""
     text = _given(value)
-    members = F.length(text) - F.length(F.translate(text, "{[,", ""))
+    # Whole-text replacement is several times faster than translate, which looks up each character.
+    rest = text
+    for mark in "{[,":
+        rest = F.replace(rest, F.lit(mark), F.lit(""))
+    members = F.length(text) - F.length(rest)
     plain = (
         (F.octet_length(text) == F.length(text))
         & (F.length(text) <= FIELD_BYTES)
@@ -123,13 +127,15 @@ def is_plain_claim(value: Column | str) -> Column:
     return text.isNull() | F.coalesce(plain, F.lit(False))
 
 
-def canonical_json(value: Column | str, organization: Column | str | None = None, plain_only: bool = False) -> Column:
+def canonical_json(
+    value: Column | str, organization: Column | str | None = None, plain_only: bool = False, none_plain: bool = False
+) -> Column:
     """Struct ``value, error`` with key-sorted compact JSON of a claim object.
 
     Plain claims are handled by Spark's own JSON functions. Only texts with
     non-ASCII characters, escapes, fractions, long numbers, many members or a
     parse problem go to Python, where every bound is checked exactly; ``plain_only`` leaves that step out of the
-    plan for rows known to be plain. An absent claim becomes ``{"label": organization}`` or ``{}``.
+    plan for rows known to be plain, ``none_plain`` the test for rows known not to be. An absent claim becomes ``{"label": organization}`` or ``{}``.
     """
     text = _given(value)
     compact = F.to_json(F.try_parse_json(text))
@@ -141,6 +147,9 @@ def canonical_json(value: Column | str, organization: Column | str | None = None
     if plain_only:
         return F.struct(
             F.when(text.isNull(), default).otherwise(compact).alias("value"), F.lit(None).cast("string").alias("error"))
+    if none_plain:
+        slow = _canonical_udf(text)
+        return F.struct(slow["value"].alias("value"), slow["error"].alias("error"))
     plain = is_plain_claim(value)
     slow = _canonical_udf(F.when(~plain, text))
     return F.struct(
@@ -152,7 +161,7 @@ def canonical_json(value: Column | str, organization: Column | str | None = None
 def canonical_claims(df: DataFrame, col: str, out: str, organization: str | None = None) -> DataFrame:
     """``df`` with the struct of :func:`canonical_json`; plain rows do not meet the Python step."""
     return in_branches(
-        df, is_plain_claim(col), lambda rows, plain: rows.withColumn(out, canonical_json(col, organization, plain)))
+        df, is_plain_claim(col), lambda rows, plain: rows.withColumn(out, canonical_json(col, organization, plain, not plain)))
 
 
 __all__ = ["canonical_claims", "canonical_json", "is_plain_claim", "with_default"]

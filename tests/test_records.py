@@ -302,3 +302,14 @@ def test_locator_files_grow_in_number_not_in_size():
     from prefixlake.queries.sources import _locator_files
 
     assert [_locator_files(rows) for rows in (0, 150_000, 600_001, 54_000_000)] == [6, 6, 7, 540]
+
+
+def test_members_of_a_claim_are_not_counted_character_by_character(spark):
+    from prefixlake.functions.claims import canonical_claims
+
+    rows = spark.createDataFrame([('{"a":1}',), ('{"l":[' + "1," * 30 + "1]}",), (None,), ("[1]",)], "c string")
+    found = canonical_claims(rows, "c", "out")
+    assert "translate(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {row.c: (row.out.value, row.out.error) for row in found.collect()} == {
+        '{"a":1}': ('{"a":1}', None), '{"l":[' + "1," * 30 + "1]}": ('{"l":[' + "1," * 30 + "1]}", None),
+        None: ("{}", None), "[1]": (None, "INVALID_CLAIM_VALUE")}
